@@ -56,6 +56,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
