@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Byte order marks, the longer ones first: UTF-32 begins like UTF-16.
-MARKS = [("FFFE0000", "UTF-32LE"), ("0000FEFF", "UTF-32BE"), ("EFBBBF", "UTF-8"), ("FFFE", "UTF-16LE"), ("FEFF", "UTF-16BE")]
+MARKS = [("FFFE0000", "UTF-32"), ("0000FEFF", "UTF-32"), ("EFBBBF", "UTF-8"), ("FFFE", "UTF-16LE"), ("FEFF", "UTF-16BE")]
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -25,14 +25,17 @@ def decode_text(files: DataFrame, content: str = "content", encoding: Column | N
     text = F.lit(None).cast("string")
     for mark, name in reversed(MARKS):
         body = raw.substr(F.lit(len(mark) // 2 + 1), F.greatest(F.octet_length(raw) - len(mark) // 2, F.lit(0)))
-        value = F.when(F.is_valid_utf8(body.cast("string")), body.cast("string")) if name == "UTF-8" else F.decode(body, name)
+        if name == "UTF-8":
+            value = F.when(F.is_valid_utf8(body.cast("string")), body.cast("string"))
+        else:
+            value = F.decode(raw if name == "UTF-32" else body, name)  # the decoder of UTF-32 reads the mark itself
         text = F.when(F.startswith(head, F.lit(mark)), value).otherwise(text)
     marked = F.lit(False)
     for mark, _ in MARKS:
         marked = marked | F.startswith(head, F.lit(mark))
     plain = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
     if encoding is not None:
-        plain = F.coalesce(plain, F.when(encoding == "big5", F.decode(raw, "Big5")).when(encoding == "latin-1", F.decode(raw, "ISO-8859-1")))
+        plain = F.coalesce(plain, F.when(encoding == "latin-1", F.decode(raw, "ISO-8859-1")))
     out = F.when(marked, text).otherwise(plain)
     return files.withColumn("text", out).withColumn("error", F.when(raw.isNotNull() & F.col("text").isNull(), F.lit("undecodable")))
 
