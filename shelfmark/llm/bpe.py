@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,8 +29,8 @@ SEP, LETTER, S_T_M_D, R, V, E, L, NUMBER, OTHER, APOSTROPHE, BLANK, SPACE = rang
 #: States: what the token so far is. AFTER: a contraction just ended; QUOTE: an apostrophe that begins a token; QUOTE_R, _V, _L: it and a letter.
 BEGIN, WORD, DIGITS, SIGNS, WHITE, ONE_BLANK, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L, AFTER = range(11)
 SEPARATOR = 0x110000
-#: Pieces that a worker keeps merged, and the longest of them in bytes.
-CACHE_PIECES, CACHE_BYTES = 400_000, 64
+#: Pieces of a generation of merged ones (a worker keeps two), and the longest of them in bytes.
+CACHE_PIECES, CACHE_BYTES = 300_000, 64
 _BLOCK = 128
 
 
@@ -171,20 +172,25 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Coder(dict):
-    """From a piece to the little-endian unsigned 32-bit ids of its tokens; a missing piece is merged and, if short, kept."""
+    """From a piece to the little-endian unsigned 32-bit ids of its tokens; a missing piece is merged and, if short, kept for two generations."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks = ranks
+        self.old: dict[bytes, bytes] = {}
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
     def __missing__(self, piece: bytes) -> bytes:
-        rank = self.ranks.get(piece)
-        ids = np.array([rank] if rank is not None else self.merged(piece), dtype="<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            rank = self.ranks.get(piece)
+            found = [rank] if rank is not None else self.merged(piece)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= CACHE_BYTES:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= CACHE_PIECES:  # what is in use comes back from the old generation
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
