@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import clean_text, contextualize, estimate_tokens, is_low_value
@@ -119,13 +119,14 @@ def merge_small(chunks: DataFrame, budget: int, tokens: Column | None = None) ->
     return packed.select("file_id", "chunk_index", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("text"), F.col("all")[0]["page_no"].alias("page_no"), F.size("all").alias("merged"))
 
 
-def clean_leaves(chunks: DataFrame) -> DataFrame:
-    """Chunks (file_id, chunk_index, text) without control characters, blanks, low-value ones and repeats, with their drop counters by observe(`leaves`)."""
+def clean_leaves(chunks: DataFrame, counters: Observation | None = None) -> DataFrame:
+    """Chunks (file_id, chunk_index, text) without control characters, blanks, low-value ones and repeats; counters gets what was seen and what was low in value."""
     from .ranking import dedup_leaves
 
     cleaned = chunks.withColumn("text", clean_text(F.col("text"))).withColumn("_low", is_low_value(F.col("text")))
-    watched = cleaned.observe("leaves", F.count("*").alias("seen"), F.count_if("_low").alias("low_value"))
-    return dedup_leaves(watched.where(~F.col("_low")).drop("_low"))
+    if counters is not None:
+        cleaned = cleaned.observe(counters, F.count("*").alias("seen"), F.count_if("_low").alias("low_value"))
+    return dedup_leaves(cleaned.where(~F.col("_low")).drop("_low"))
 
 
 def build_hierarchy(leaves: DataFrame, budget: int = PARENT_TOKENS) -> tuple[DataFrame, DataFrame]:

@@ -29,7 +29,7 @@ def prune_stale(items: DataFrame, leaves: DataFrame) -> DataFrame:
     alive = alive_gold(items, leaves).agg(F.count("*").alias("alive"))
     out = items.agg(F.count("*").alias("items")).crossJoin(alive)  # two single rows
     share = F.when(F.col("items") > 0, 1 - F.col("alive") / F.col("items")).otherwise(1.0)
-    return out.withColumn("stale", F.round(share, 6)).withColumn("regenerate", (share > MOST_STALE) | (F.col("alive") == 0))
+    return out.withColumn("stale", F.round(share, 6)).withColumn("regenerate", (F.col("items") - F.col("alive") > MOST_STALE * F.col("items")) | (F.col("alive") == 0))
 
 
 def gold_ranks(items: DataFrame, results: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def f20_folder_panel(c: Corpus) -> DataFrame:
     return S.folder_panel(T.files_with_status(c.files, c.file_index).join(c.file_index.select("file_id", "embedding_model"), "file_id", "left"))
 
 
-@query("SELECT slug, mode, generated_at, recall, round(recall - lag(recall) OVER (PARTITION BY slug, mode ORDER BY generated_at), 6) AS delta FROM (SELECT event_type AS slug, CASE WHEN user_id % 2 = 0 THEN 'rrf' ELSE 'dense' END AS mode, CAST(ts AS DATE) AS generated_at, round(avg(value), 3) AS recall FROM events GROUP BY ALL)")
+@query("SELECT slug, mode, generated_at, recall, round(recall - lag(recall) OVER (PARTITION BY slug, mode ORDER BY generated_at), 6) AS delta FROM (SELECT event_type AS slug, CASE WHEN user_id % 2 = 0 THEN 'rrf' ELSE 'dense' END AS mode, CAST(ts AS DATE) AS generated_at, round(max(value), 3) AS recall FROM events GROUP BY ALL)")
 def w6_run_deltas(c: Corpus) -> DataFrame:
-    runs = c.events.groupBy(F.col("event_type").alias("slug"), F.when(F.col("user_id") % 2 == 0, "rrf").otherwise("dense").alias("mode"), F.to_date("ts").alias("generated_at")).agg(F.round(F.avg("value"), 3).alias("recall"))
+    runs = c.events.groupBy(F.col("event_type").alias("slug"), F.when(F.col("user_id") % 2 == 0, "rrf").otherwise("dense").alias("mode"), F.to_date("ts").alias("generated_at")).agg(F.round(F.max("value"), 3).alias("recall"))
     return R.run_deltas(runs, "recall").select("slug", "mode", "generated_at", "recall", F.round("delta", 6).alias("delta"))
