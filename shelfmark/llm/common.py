@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,12 +25,35 @@ def durable(df: DataFrame) -> DataFrame:
 
     The folder is the one named in spark.checkpoint.dir. Where that is unset, as in tests, a temporary one is taken.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfmark-"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of a loop as Parquet in the shared checkpoint folder: their sizes are known, so that Spark sends small ones to all tasks by itself."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        _checkpoint_folder(spark)
+        self.spark, self.count = spark, 0
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Deletes the tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _checkpoint_folder(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfmark-"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_ROWS rows from now on, so that a Python worker never holds thousands of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

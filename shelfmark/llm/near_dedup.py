@@ -5,9 +5,10 @@ coordinates of a signature from those places. Bands of coordinates name buckets;
 shingle sets confirms every link.
 
 No group is expanded into pairs. Texts with the same shingle set become one class first. Each bucket then links
-its members to its smallest one (a star). Confirmed stars give components; only members of a bucket that are still
-in different components are compared with one another, in blocks, and those links are confirmed likewise. So
-a group of copies, however large, costs one comparison for each member, and no link is given up.
+its members to its smallest one (a star), and confirmed stars give components. Members of a bucket that are still in
+different components are compared with one another: pair by pair in buckets of a few, and otherwise in blocks whose full sets
+are held against each other inside a task, which gives one link for each two components that meet. So copies cost
+one comparison each, no link is given up, and what is sent between tasks doesn't grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, as_bytes, durable, mix, small_batches, steps, windows
+from .common import Scratch, Words, as_bytes, durable, mix, small_batches, steps, windows
 
 #: Bands and coordinates in each: a pair at 0.85 misses all bands with probability 8e-7, at 0.9 with 3e-10.
 BANDS, ROWS = 24, 5
@@ -30,8 +31,8 @@ SIZE = 3
 PERCENT = 85
 #: A pair whose signatures agree in a smaller share of coordinates is not confirmed: 5 standard deviations below 0.85.
 LEAST_AGREEMENT = 0.69
-#: Members of a bucket that are compared in one block.
-BLOCK = 256
+#: Buckets of at most so many members are compared pair by pair; larger ones that share members are compared together, in blocks of BLOCK.
+SMALL, BLOCK = 8, 256
 
 _NONE = np.zeros(0, dtype=np.uint64)
 
@@ -143,40 +144,68 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_linked("left_set", "right_set")).select("a", "b")
 
 
+def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures let them be similar enough."""
+    left, right = (marks.select(F.col("id").alias(c), F.col("marks").alias(f"{c}_marks")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").where(_agree("a_marks", "b_marks")).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the edges (a, b), for every id in an edge.
 
-    Labels go to neighbours, then to the label's own label, until none changes: the number of rounds grows with the
-    logarithm of a chain's length. Each round is written to the checkpoint folder.
+    Every id joins its first neighbour, in two steps; edges then run between what was joined, and edges inside it are gone. The first
+    round goes by the ids themselves, which ends a star at once; later rounds go by hashes, so that a chain shrinks by a share of its length.
     """
-    both = durable(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = durable(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("id"), F.least("a", "near").alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        heard = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("heard"))
-        jump = labels.select(F.col("id").alias("heard"), F.col("component").alias("further"))
-        moved = durable(heard.join(jump, "heard", "left").select("id", "old", F.least("heard", "further").alias("component")))
-        labels = moved.select("id", "component")
-        if moved.where(F.col("old") != F.col("component")).isEmpty():
-            return labels
+    scratch = Scratch(edges.sparkSession)
+    left = scratch.keep(edges.select("a", "b").where("a != b").distinct())
+    roots = None
+    for turn in range(64):
+        order = F.lit(0) if turn == 0 else None
+        key = lambda c, order=order, turn=turn: F.struct((F.xxhash64(F.lit(turn), c) if order is None else order).alias("order"), F.col(c).alias("id"))
+        both = left.select("a", "b").union(left.select("b", "a"))
+        near = both.groupBy("a").agg(F.min(key("b")).alias("near"))
+        first = scratch.keep(near.select(F.col("a").alias("id"), F.least(key("a"), "near")["id"].alias("to")))
+        second = first.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        joined = scratch.keep(first.join(second, "to", "left").select("id", F.coalesce("further", "to").alias("root")))
+        if roots is None:
+            roots = joined
+        else:
+            roots = scratch.keep(roots.join(joined.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root")))
+        ends = [joined.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"]
+        left = scratch.keep(left.join(ends[0], "a").join(ends[1], "b").where("a_root != b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+        if left.isEmpty():
+            break
+    least = roots.groupBy("root").agg(F.min("id").alias("component"))
+    out = durable(roots.join(least, "root").select("id", "component"))
+    scratch.clear()
+    return out
 
 
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block that are in different components and may be similar enough."""
-    kind = rows.sort_values("id", ignore_index=True)
-    marks = np.frombuffer(b"".join(kind["marks"]), dtype=np.uint8).reshape(len(kind), -1)
-    ids, comps, sizes, blocks = (kind[c].to_numpy() for c in ("id", "component", "n_shingles", "block"))
-    low, high = kind["low"].iloc[0], kind["high"].iloc[0]
+    """Confirmed links of a block, or between two blocks, that join different components; one for each two components that meet."""
+    rows = rows.sort_values("id", ignore_index=True)
+    ids, sizes, blocks, group = (rows[c].to_numpy() for c in ("id", "n_shingles", "block", "component"))
+    apart = rows["low"].iloc[0] != rows["high"].iloc[0]
+    _, group = np.unique(group, return_inverse=True)
+    _, codes = np.unique(np.frombuffer(b"".join(rows["shingles"]), dtype=np.uint64), return_inverse=True)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    present = np.zeros(len(codes) + 1, dtype=bool)
     a, b = [], []
-    for i in range(len(kind)):
-        rest = slice(i + 1, None)
-        ok = (comps[rest] != comps[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= PERCENT * np.maximum(sizes[rest], sizes[i]))
-        if low != high:
-            ok &= blocks[rest] != blocks[i]
-        at = np.flatnonzero(ok) + i + 1
-        at = at[(marks[at] == marks[i]).mean(axis=1) >= LEAST_AGREEMENT] if len(at) else at
-        a.append(np.full(len(at), ids[i])), b.append(ids[at])
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+    for i in range(len(ids) - 1):
+        ok = (group[i + 1 :] != group[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= PERCENT * np.maximum(sizes[i + 1 :], sizes[i]))
+        if apart:
+            ok &= blocks[i + 1 :] != blocks[i]
+        if not ok.any():
+            continue
+        mine = codes[first[i] : first[i + 1]]
+        present[mine] = True
+        both = np.add.reduceat(present[codes[first[i + 1] :]].astype(np.int64), first[i + 1 : -1] - first[i + 1])
+        present[mine] = False
+        for j in np.flatnonzero(ok & (100 * both >= PERCENT * (sizes[i] + sizes[i + 1 :] - both))) + i + 1:
+            if group[i] != group[j]:
+                a.append(ids[i]), b.append(ids[j])
+                group[group == group[j]] = group[i]
+    return pd.DataFrame({"a": np.array(a, dtype=ids.dtype), "b": np.array(b, dtype=ids.dtype)})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -199,23 +228,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = _near_sizes(F.col("n_shingles"), F.col("center.n_shingles")) & (F.col("id") != F.col("center.id"))
     stars = durable(members.where(near).select(F.col("id").alias("a"), F.col("center.id").alias("b")).distinct())
     marks = classes.select("id", "marks")
-    tested = stars.join(marks.select(F.col("id").alias("a"), F.col("marks").alias("x")), "a").join(marks.select(F.col("id").alias("b"), F.col("marks").alias("y")), "b").where(_agree("x", "y")).select("a", "b")
     shared = members.select("id").distinct()
     needed = texts.join(shared.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     sets = durable(needed.mapInArrow(_sets, f"id {kind}, shingles binary"))
-    links = durable(_confirm(tested, sets))
+    links = durable(_confirm(_agreeing(stars, marks), sets))
     found = components(links)
 
+    # members of buckets that still have different components
     labelled = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-    rest = labelled.join(open_, "bucket").withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rest = rest.select("bucket", "id", "component", "n_shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(marks, "id")
-    across = rest.groupBy("bucket", "low", "high").applyInPandas(_across, f"a {kind}, b {kind}")
-    late = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = durable(_confirm(late, sets))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    mixed = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
+    open_ = durable(labelled.join(mixed, "bucket").select("bucket", "members", "id", "component", "n_shingles", "center"))
+    few = open_.where(F.col("members") <= SMALL)
+    other = few.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("id", "component", "n_shingles")])
+    pairs = few.join(other, "bucket").where((F.col("id") > F.col("other_id")) & (F.col("component") != F.col("other_component")) & _near_sizes(F.col("n_shingles"), F.col("other_n_shingles")))
+    pairs = pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    late = _confirm(_agreeing(pairs, marks), sets)
+
+    many = open_.where(F.col("members") > SMALL)
+    if not many.isEmpty():
+        chains = components(many.select(F.col("id").alias("a"), F.col("center.id").alias("b"))).withColumnRenamed("component", "chain")
+        rest = durable(many.select("id", "component", "n_shingles").distinct().join(chains, "id"))
+        size = rest.groupBy("chain").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed")
+        rest = rest.join(size, "chain").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        rest = rest.select("chain", "id", "component", "n_shingles", "shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        late = late.union(rest.groupBy("chain", "low", "high").applyInPandas(_across, f"a {kind}, b {kind}"))
+    late = durable(late)
+    if not late.isEmpty():
+        found = components(links.union(late))
 
     named = classes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
