@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Words, as_bytes, durable, hash_words, mix, small_batches, steps
 
 WINDOW = 5
-#: Share of an item's distinct windows that a leaking document has.
+#: Share of an item's windows that a leaking document has.
 COVERAGE = 0.8
 #: log2 of the bitmap's bits: 8 MB for any benchmark.
 BITS = 26
@@ -70,7 +70,7 @@ class Templates:
         if len(keep):
             rank = np.arange(len(token), dtype=np.uint64)
             value = np.add.reduceat(mix(value + np.where(follows, rank - rank[keep][np.cumsum(~follows) - 1], np.uint64(0))), keep)
-        self.token, self.value, self.slot, self.text = token[keep], value, slot[keep], words.text[keep]
+        self.token, self.value, self.slot, self.text, self.capital = token[keep], value, slot[keep], words.text[keep], capital[keep]
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +84,12 @@ class Templates:
         at = np.flatnonzero((self.text[:k] == self.text[WINDOW - 1 :][:k]) & (plain >= 2))
         return total[at], at
 
+    def opening_names(self) -> None:
+        """Makes a text's first word a name if it has a capital: so it looks where the text stands inside a sentence."""
+        first = self.first[:-1][self.first[:-1] < self.first[1:]]
+        first = first[self.capital[first] & ~self.slot[first]]
+        self.token[first], self.slot[first], self.value[first] = _NAME, True, 0  # its value is not compared
+
 
 _OUT = "hash bigint, id bigint, pos int, slots array<bigint>, windows int"
 
@@ -100,6 +106,11 @@ def _emitted(identity: str, shared):
                 found = Templates(texts[i:j])
                 hashes, at = found.windows()
                 counts = np.bincount(found.text[at], minlength=j - i)
+                if bitmap is None:
+                    found.opening_names()
+                    others, places = found.windows()
+                    opening = places == found.first[found.text[places]]
+                    hashes, at = np.concatenate((hashes, others[opening])), np.concatenate((at, places[opening]))
                 if bitmap is not None:
                     place = hashes >> np.uint64(64 - BITS)
                     ok = np.flatnonzero(bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
@@ -129,7 +140,7 @@ def _bitmap(windows: DataFrame) -> bytes:
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and item that it leaks: doc_id, item_id, windows, matched, coverage, slots, changed, kind.
 
-    windows, matched: the item's distinct windows, and those in the document. slots: distinct values of the item in slots that
+    windows, matched: the item's windows, and those in the document. slots: distinct values of the item in slots that
     were compared; changed: those that the document has otherwise. kind: exact, or reparameterised where slots changed
     consistently. A document in which one value of the item stands for several is a leak only if it has a share of
     windows of `coverage` without the inconsistent ones. Null and empty texts, and items with fewer than five tokens, have no
@@ -141,20 +152,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
     sent = docs.select("doc_id", text).mapInArrow(_emitted("doc_id", shared), _OUT)
     here = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    hits = sent.select("hash", F.col("id").alias("doc_id"), "pos", "slots").join(here, "hash").groupBy("doc_id", "item_id", "hash", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots").agg(F.lit(1).alias("one"))
+    hits = sent.select("hash", F.col("id").alias("doc_id"), "pos", "slots").join(here, "hash").groupBy("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots").agg(F.lit(1).alias("one"))
     hits = durable(hits)
-    size = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("hash").alias("windows"))
-    share = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("matched"))
+    size = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("windows"))
+    share = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("matched"))
     same = lambda a, b: a.eqNullSafe(b)
     near = share.alias("s").join(size.alias("z"), same(F.col("s.item_id"), F.col("z.item_id"))).where(F.col("matched") >= coverage * F.col("windows")).select("s.doc_id", "s.item_id", "windows", "matched")
     # the shift at which most windows agree tells which of the document's slots belong to the item's
-    shifts = hits.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("hash").alias("n"))
+    shifts = hits.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("item_pos").alias("n"))
     best = shifts.groupBy("doc_id", "item_id").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
-    aligned = hits.alias("h").join(best.alias("b"), same(F.col("h.doc_id"), F.col("b.doc_id")) & same(F.col("h.item_id"), F.col("b.item_id")) & (F.col("h.shift") == F.col("b.shift"))).select("h.doc_id", "h.item_id", "hash", "slots", "item_slots")
-    pairs = aligned.select("doc_id", "item_id", "hash", F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).where("p.item_slots != 0").select("doc_id", "item_id", "hash", F.col("p.item_slots").alias("asked"), F.col("p.slots").alias("found"))
+    aligned = hits.alias("h").join(best.alias("b"), same(F.col("h.doc_id"), F.col("b.doc_id")) & same(F.col("h.item_id"), F.col("b.item_id")) & (F.col("h.shift") == F.col("b.shift"))).select("h.doc_id", "h.item_id", "item_pos", "slots", "item_slots")
+    pairs = aligned.select("doc_id", "item_id", "item_pos", F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).where("p.item_slots != 0").select("doc_id", "item_id", "item_pos", F.col("p.item_slots").alias("asked"), F.col("p.slots").alias("found"))
     values = pairs.groupBy("doc_id", "item_id", "asked").agg((F.min("found") != F.max("found")).alias("mixed"), (F.max((F.col("found") != F.col("asked")).cast("int"))).alias("other"))
     slots = values.groupBy("doc_id", "item_id").agg(F.count("*").alias("slots"), F.sum("other").alias("changed"), F.count_if("mixed").alias("mixed"))
-    broken = pairs.join(values.where("mixed").select("doc_id", "item_id", "asked"), ["doc_id", "item_id", "asked"]).groupBy("doc_id", "item_id").agg(F.count_distinct("hash").alias("broken"))
+    broken = pairs.join(values.where("mixed").select("doc_id", "item_id", "asked"), ["doc_id", "item_id", "asked"]).groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("broken"))
     out = near.join(slots, ["doc_id", "item_id"], "left").join(broken, ["doc_id", "item_id"], "left")
     out = out.where(F.col("matched") - F.coalesce("broken", F.lit(0)) >= coverage * F.col("windows"))
     return out.select("doc_id", "item_id", "windows", "matched", (F.col("matched") / F.col("windows")).alias("coverage"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), F.when(F.coalesce("changed", F.lit(0)) > 0, "reparameterised").otherwise("exact").alias("kind"))
