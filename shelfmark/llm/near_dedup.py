@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that near_duplicates keeps, one row for each doc_id, with all their columns; rows without doc_id that are kept stay."""
+    """The documents that near_duplicates keeps, one row for each doc_id, with all their columns; rows without doc_id stay, since no decision can name them."""
     kept = near_duplicates(docs).where("kept").select("doc_id")
     with_id = docs.join(kept.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return with_id.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
