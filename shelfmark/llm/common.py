@@ -32,10 +32,10 @@ def durable(df: DataFrame) -> DataFrame:
 class Scratch:
     """Tables of a loop as Parquet in the shared checkpoint folder: their sizes are known, so that Spark sends small ones to all tasks by itself."""
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, name: str = "scratch") -> None:
         _checkpoint_folder(spark)
         self.spark, self.count = spark, 0
-        self.path = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1

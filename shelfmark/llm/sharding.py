@@ -12,10 +12,13 @@ a million times is spread like a million documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import durable
+from .common import Scratch, durable
 
 #: Bytes of records in a bucket on average; as objects of the JVM they take a few times as much.
 BUCKET_BYTES = 16 << 20
@@ -25,10 +28,10 @@ LEAST_BUCKETS = 1024
 GROUP = 4096
 
 
-def external_shuffle(records: DataFrame, row_bytes: Column | int, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS) -> DataFrame:
+def external_shuffle(records: DataFrame, row_bytes: Column | int, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """All rows of `records` in random order: columns `position` (0, 1, ... without gaps) and `record` (a struct of all columns).
 
-    row_bytes: size of a row, as a column or as a bound for all. A position is uniform up to the size of a bucket:
+    row_bytes: size of a row, as a column or as a bound for all. keep: writes the scattered records to the shared folder. A position is uniform up to the size of a bucket:
     buckets are in their own order, the rows of each bucket in the order that Fisher-Yates gives.
     An empty table gives an empty one; nulls and repeated rows are ordinary rows.
     """
@@ -38,7 +41,7 @@ def external_shuffle(records: DataFrame, row_bytes: Column | int, seed: int = 17
         total = records.agg(F.sum(row_bytes)).first()[0] or 0
     buckets = max(least_buckets, -(-total // bucket_bytes))
     numbered = records.select(F.struct("*").alias("record"), F.monotonically_increasing_id().alias("row_no"))
-    scattered = durable(numbered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "row_no"), F.lit(buckets))))
+    scattered = keep(numbered.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "row_no"), F.lit(buckets))))
     counts = scattered.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("bucket") / GROUP))
     parts = counts.groupBy("part").agg(F.sum("n").alias("part_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,26 +56,33 @@ def external_shuffle(records: DataFrame, row_bytes: Column | int, seed: int = 17
 def assign_shards(docs: DataFrame, shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """A shard and a slot in it for each document, by the law `rows`: shards' counts are at most one apart.
 
-    Takes doc_id and text; other columns don't count. A null text has no bytes: size 1, text_crc32 0. A null or
-    repeated doc_id gets a place as any other. The texts themselves don't move: only id, size and checksum do.
+    Takes doc_id, text and any other columns. The whole documents are written as shards (`write_shards`) under the shared
+    checkpoint folder, where they stay; size, checksum, shard and slot are those of the records read back from there.
+    A null text has no bytes: size 1, text_crc32 0. A null or repeated doc_id gets a place as any other.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    narrow = docs.select(F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = external_shuffle(narrow, row_bytes=48, seed=seed, bucket_bytes=bucket_bytes)
-    return placed.select(
-        "record.*",
+    path = Scratch(docs.sparkSession, "shards").path
+    schema = write_shards(docs, path, shards, seed, bucket_bytes)
+    text = F.coalesce(F.col("record.text").cast("string"), F.lit(""))
+    return docs.sparkSession.read.schema(schema).parquet(path).select(
+        F.col("record.doc_id").alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"),
-        (F.col("position") % shards).cast("int").alias("shard"),
-        F.floor(F.col("position") / shards).cast("long").alias("slot"),
+        "shard",
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Writes whole documents as Parquet, a folder `shard=k` for each shard, with their slot in a column `slot`.
+def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> StructType:
+    """Writes whole documents as Parquet, a folder `shard=k` for each shard, with their slot in a column `slot`; returns the schema to read them with.
 
     A column of docs named slot or shard would clash; it stays inside the struct `record`, as all columns do.
     """
     size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 64
-    placed = external_shuffle(docs, size, seed, bucket_bytes)
-    placed.select("record", F.floor(F.col("position") / shards).cast("long").alias("slot"), (F.col("position") % shards).cast("int").alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
+    scratch = Scratch(docs.sparkSession)
+    placed = external_shuffle(docs, size, seed, bucket_bytes, keep=scratch.keep)
+    placed = placed.select("record", F.floor(F.col("position") / shards).cast("long").alias("slot"), (F.col("position") % shards).cast("int").alias("shard"))
+    placed.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
+    scratch.clear()
+    return placed.schema

@@ -35,3 +35,14 @@ def test_buckets_follow_bytes_and_whole_records_are_written(spark, tmp_path):
 
 def test_empty_table(spark):
     assert S.assign_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_places_are_those_of_whole_documents_in_the_written_shards(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('long text ', cast(id AS int)) AS text", "concat('s', id) AS source")
+    out = S.assign_shards(docs, shards=4, bucket_bytes=1000)
+    files = out.inputFiles()
+    assert files and all("/shard=" in f for f in files)
+    folder = files[0].rsplit("/", 2)[0]
+    written = spark.read.parquet(folder).select("record.*", "shard", "slot").collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in written) == sorted(map(tuple, docs.collect()))
+    assert {(r.doc_id, r.shard, r.slot) for r in written} == {(r.doc_id, r.shard, r.slot) for r in out.collect()}
