@@ -1,10 +1,13 @@
-"""Language-model scoring with a log-bilinear model, trained in numpy by noise-contrastive estimation.
-
-Counts of all words are taken in Spark. The HEAD most frequent words, and one class for all others, are the model's
-vocabulary; a word of the other class gets its share of the class by its count. The model predicts a token from the two
-before it: score(w | a, b) = (R1[b] + R2[a]) . Q[w] + bias[w]. Every task trains on all training texts of its part
-of the input, and the tasks' parameters are averaged. Since contexts add up, the normalisers of all pairs of context words
-come out of one matrix product, so that every token's log-probability is normalised exactly.
+"""Language-model scoring with a class-factored log-bilinear model, trained in numpy by noise-contrastive estimation.
+
+Counts of all words are taken in Spark. The model's vocabulary follows the corpus: every word has vectors of its own whose
+count reaches a threshold that grows with the square root of the tokens, so that the vocabulary grows with the input; the
+rest is one symbol, and a word of the rest gets its share of it by its count. Symbols are dealt by frequency into classes
+of about the square root of their number. The model predicts a token from the two before it: with the context
+h = R1[b] + R2[a], P(w | a, b) = P(class | h) P(w | class, h), where a class has the score h . K[class] + its bias, and a word
+h . Q[w] + bias[w]. Both factors are softmaxes over all classes and over all words of the class, so that every token's
+log-probability is normalised exactly. Every task trains on all training texts of its part of the input, and the tasks'
+parameters are averaged.
 """
 
 from __future__ import annotations
@@ -19,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import Words, as_bytes, durable, small_batches, steps
 
-#: Words of the model besides the class of all others; width of its vectors.
-HEAD, WIDTH = 2047, 16
-#: Words whose counts are sent to all tasks (12 bytes each); rarer ones are joined in Spark.
+#: A word has vectors of its own if its count times this reaches the square root of all tokens; width of the vectors.
+DETAIL, WIDTH = 64, 16
+#: Words whose counts are sent to all tasks at least (12 bytes each), besides those of the model; rarer ones are joined in Spark.
 COMMON = 1 << 18
 #: Tokens of a training step, noise words of a step, and noise words that count for each token.
 BATCH, NOISE, PER_TOKEN = 4096, 64, 24
@@ -31,6 +34,8 @@ TRAINERS = 1024
 #: The hash that stands for a text's end.
 END = np.uint64(0)
 _CHUNK = 1024
+#: Tokens that are scored together.
+_SCORED = 8192
 
 
 def held_out():
@@ -78,22 +83,31 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def modelled(tokens: int) -> int:
+    """The least count of a word that has vectors of its own, among so many tokens."""
+    return max(1, math.ceil(math.sqrt(tokens) / DETAIL))
+
+
 class Vocabulary:
-    """Common words (hashes in order) with counts and classes, and the totals over all words."""
+    """Common words (hashes in order) with counts and symbols, and the totals over all words.
+
+    Symbol 0 stands for the rest, symbols from 1 on for the words of the model, the most frequent first.
+    """
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, distinct: int) -> None:
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.tokens, self.distinct = tokens, distinct
-        ranked = np.lexsort((self.words, -self.counts))[:HEAD]
-        self.classes = np.zeros(len(words), dtype=np.int32)
-        self.classes[ranked] = np.arange(1, len(ranked) + 1)
+        ranked = np.lexsort((self.words, -self.counts))
+        ranked = ranked[self.counts[ranked] >= modelled(tokens)]
+        self.symbols = np.zeros(len(words), dtype=np.int32)
+        self.symbols[ranked] = np.arange(1, len(ranked) + 1)
         head = self.counts[ranked].sum()
         self.other_tokens, self.other_distinct = tokens - int(head), distinct - len(ranked)
-        mass = np.concatenate(([max(self.other_tokens, 1)], self.counts[ranked])).astype(np.float64)
-        self.prior = mass / mass.sum()
+        self.mass = np.concatenate(([max(self.other_tokens, 1)], self.counts[ranked])).astype(np.float64)
+        self.prior = self.mass / self.mass.sum()
         end = np.searchsorted(self.words, END)
-        self.end = int(self.classes[end]) if end < len(self.words) and self.words[end] == END else 0
+        self.end = int(self.symbols[end]) if end < len(self.words) and self.words[end] == END else 0
 
     def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each token among the common words, and whether it is one."""
@@ -109,7 +123,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The words with the highest counts, COMMON at most, chosen by a limit that follows from a table of counts; ties are in or out together."""
+    """All words of the model, and those with the highest counts, COMMON at most, chosen by a limit that follows from a table of counts; ties are in or out together."""
     grade = F.floor(F.log2("n") * 16)
     table = counts.groupBy(grade.alias("grade")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens"), F.min("n").alias("least")).collect()
     taken, least = 0, None
@@ -117,38 +131,54 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if taken + row["words"] > COMMON:
             break
         taken, least = taken + row["words"], row["least"]
-    frequent = counts.where(F.col("n") >= least).toPandas() if least is not None else counts.limit(0).toPandas()
-    return Vocabulary(frequent["word"].to_numpy(dtype=np.int64).view(np.uint64), frequent["n"].to_numpy(dtype=np.int64), sum(r["tokens"] for r in table), sum(r["words"] for r in table))
+    tokens = sum(r["tokens"] for r in table)
+    least = modelled(tokens) if least is None else min(least, modelled(tokens))
+    frequent = counts.where(F.col("n") >= least).toArrow()
+    return Vocabulary(frequent["word"].to_numpy().view(np.uint64), frequent["n"].to_numpy(), tokens, sum(r["words"] for r in table))
 
 
 class Parameters:
-    """R1, R2 (vectors of the word before and the one before that), Q and bias."""
+    """R1, R2 (vectors of the word before and the one before that), Q and bias of the symbols, K and its bias of their classes.
+
+    `group` is each symbol's class; a class's symbols follow one another from first[class] on. The rest is a class of its own.
+    """
 
     def __init__(self, vocab: Vocabulary, seed: int = 7) -> None:
         size = len(vocab.prior)
+        width = max(1, math.isqrt(size))
+        self.group = np.concatenate(([0], 1 + np.arange(size - 1) // width)).astype(np.int32)
+        self.first = np.concatenate((np.flatnonzero(np.diff(self.group, prepend=-1)), [size]))
+        self.class_prior = np.add.reduceat(vocab.prior, self.first[:-1])
         random = np.random.default_rng(seed)
         self.r1, self.r2, self.q = (random.normal(0, 0.1, (size, WIDTH)).astype(np.float32) for _ in range(3))
-        self.bias = np.log(vocab.prior).astype(np.float32)
+        self.k = random.normal(0, 0.1, (len(self.class_prior), WIDTH)).astype(np.float32)
+        self.bias, self.class_bias = np.log(vocab.prior).astype(np.float32), np.log(self.class_prior).astype(np.float32)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r1, self.r2, self.q, self.bias)])
+        return np.concatenate([x.ravel() for x in (self.r1, self.r2, self.q, self.bias, self.k, self.class_bias)])
 
     def load(self, flat: np.ndarray) -> None:
-        n = self.r1.size
-        self.r1, self.r2, self.q = (flat[i * n : (i + 1) * n].reshape(-1, WIDTH).astype(np.float32) for i in range(3))
-        self.bias = flat[3 * n :].astype(np.float32)
+        parts = [self.r1, self.r2, self.q, self.bias, self.k, self.class_bias]
+        ends = np.cumsum([x.size for x in parts])
+        self.r1, self.r2, self.q, self.bias, self.k, self.class_bias = (flat[end - x.size : end].reshape(x.shape).astype(np.float32) for x, end in zip(parts, ends, strict=True))
+
+    def weights(self, symbols: np.ndarray, all_symbols: np.ndarray, tokens: int, all_tokens: int) -> np.ndarray:
+        """The share of a task in each parameter: a symbol's vectors by its occurrences in the task, all others by the task's tokens."""
+        share = np.repeat(symbols / all_symbols, WIDTH)
+        rest = np.full(self.bias.size + self.k.size + self.class_bias.size, tokens / all_tokens)
+        return np.concatenate((share, share, share, rest))
 
 
 def _contexts(vocab: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Classes of tokens and of the two before each; a text's first tokens have its predecessor's end before them, which is an end like its own."""
+    """Symbols of tokens and of the two before each; a text's first tokens have its predecessor's end before them, which is an end like its own."""
     tokens, ends = _tokens(texts)
     at, known = vocab.find(tokens)
-    classes = np.where(known, vocab.classes[at] if len(vocab.classes) else 0, 0)
-    before = np.concatenate(([vocab.end], classes[:-1]))
+    symbols = np.where(known, vocab.symbols[at] if len(vocab.symbols) else 0, 0)
+    before = np.concatenate(([vocab.end], symbols[:-1]))
     second = np.concatenate(([vocab.end], before[:-1]))
     after_first = np.concatenate(([1], ends[:-1] + 2))
     second[after_first[after_first < len(second)]] = vocab.end
-    return classes, before, second, tokens, ends, at, known
+    return symbols, before, second, tokens, ends, at, known
 
 
 class _Trainer:
@@ -157,9 +187,9 @@ class _Trainer:
     def __init__(self, vocab: Vocabulary, seed: int) -> None:
         self.p = Parameters(vocab)
         self.random = np.random.default_rng(seed)
-        self.cumulative = np.cumsum(vocab.prior)
-        self.log_noise = np.log(PER_TOKEN * vocab.prior).astype(np.float32)
-        self.squares = [np.full(len(vocab.prior), 1e-2, dtype=np.float32) for _ in range(4)]
+        self.cumulative = [np.cumsum(x) for x in (vocab.prior, self.p.class_prior)]
+        self.log_noise = [np.log(PER_TOKEN * x).astype(np.float32) for x in (vocab.prior, self.p.class_prior)]
+        self.squares = [np.full(len(x), 1e-2, dtype=np.float32) for x in (*[vocab.prior] * 4, *[self.p.class_prior] * 2)]
 
     def _add(self, k: int, matrix: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
@@ -170,65 +200,91 @@ class _Trainer:
         rate = RATE / np.sqrt(self.squares[k][at])
         matrix[at] += rate[:, None] * total if total.ndim == 2 else rate * total
 
+    def _against_noise(self, k: int, vectors: np.ndarray, bias: np.ndarray, w: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """A step of the symbols (k 0) or the classes (k 1) w after the contexts; returns the contexts' gradient."""
+        cumulative, log_noise, at = self.cumulative[k], self.log_noise[k], (2, 4)[k]
+        noise = np.minimum(np.searchsorted(cumulative, self.random.random(NOISE) * cumulative[-1]), len(cumulative) - 1).astype(w.dtype)
+        mine = vectors[w]
+        right = 1 / (1 + np.exp((context * mine).sum(axis=1) + bias[w] - log_noise[w]))
+        others = vectors[noise]
+        wrong = (-PER_TOKEN / NOISE) / (1 + np.exp(-(context @ others.T + (bias - log_noise)[noise])))
+        down = right[:, None] * mine + wrong @ others
+        self._add(at, vectors, np.concatenate((w, noise)), np.concatenate((right[:, None] * context, wrong.T @ context)))
+        self._add(at + 1, bias, np.concatenate((w, noise)), np.concatenate((right, wrong.sum(axis=0))))
+        return down
+
     def step(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         p = self.p
         context = p.r1[a] + p.r2[b]
-        noise = np.minimum(np.searchsorted(self.cumulative, self.random.random(NOISE)), len(self.cumulative) - 1).astype(w.dtype)
-        mine = p.q[w]
-        right = 1 / (1 + np.exp((context * mine).sum(axis=1) + p.bias[w] - self.log_noise[w]))
-        others = p.q[noise]
-        wrong = (-PER_TOKEN / NOISE) / (1 + np.exp(-(context @ others.T + (p.bias - self.log_noise)[noise])))
-        down = right[:, None] * mine + wrong @ others
-        self._add(2, p.q, np.concatenate((w, noise)), np.concatenate((right[:, None] * context, wrong.T @ context)))
-        self._add(3, p.bias, np.concatenate((w, noise)), np.concatenate((right, wrong.sum(axis=0))))
+        down = self._against_noise(0, p.q, p.bias, w, context) + self._against_noise(1, p.k, p.class_bias, p.group[w], context)
         self._add(0, p.r1, a, down)
         self._add(1, p.r2, b, down)
 
     def train(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         """All tokens once; a step takes tokens from all over the texts."""
-        w, a, b = (x.astype(np.int16) for x in (w, a, b))
+        w, a, b = (x.astype(np.int32) for x in (w, a, b))
         parts = max(1, len(w) // BATCH)
         for i in range(parts):
             self.step(w[i::parts], a[i::parts], b[i::parts])
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> Parameters:
-    """Parameters averaged over the tasks by the tokens that each was trained on; no text is left out."""
+    """Parameters averaged over the tasks by what each was trained on (`Parameters.weights`); no text is left out."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, seen = None, 0
+        trainer, seen = None, np.zeros(len(shared.value.prior), dtype=np.int64)
         for batch in batches:
             texts = [t or b"" for t in as_bytes(batch.column("text"))]
             for i, j in steps(texts):
                 w, a, b = _contexts(shared.value, texts[i:j])[:3]
                 trainer = trainer or _Trainer(shared.value, seed=len(w))
                 trainer.train(w, a, b)
-                seen += len(w)
+                seen += np.bincount(w, minlength=len(seen))
         if trainer is not None:
-            flat = trainer.p.flat().astype(np.float64) * seen
-            parts = [flat[i : i + _CHUNK] for i in range(0, len(flat), _CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], names=["part", "tokens", "total"])
+            flat = (trainer.p.flat() * trainer.p.weights(seen, shared.value.mass, seen.sum(), shared.value.tokens)).astype(np.float32)
+            for i in range(0, len(flat), 256 * _CHUNK):
+                parts = [flat[j : j + _CHUNK] for j in range(i, min(len(flat), i + 256 * _CHUNK), _CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(i // _CHUNK, i // _CHUNK + len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float32()))], names=["part", "total"])
 
-    sums = docs.select(F.col("text").cast("string").alias("text")).coalesce(TRAINERS).mapInArrow(trained, "part int, tokens bigint, total array<double>")
+    sums = docs.select(F.col("text").cast("string").alias("text")).coalesce(TRAINERS).mapInArrow(trained, "part int, total array<float>")
     zero = F.transform(F.col("all")[0], lambda x: F.lit(0.0))
-    added = sums.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.collect_list("total").alias("all")).select("part", "tokens", F.aggregate("all", zero, lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias("total"))
-    rows = sorted(added.collect())
+    added = sums.groupBy("part").agg(F.collect_list("total").alias("all")).select("part", F.aggregate("all", zero, lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias("total"))
+    table = added.toArrow().sort_by("part")
     parameters = Parameters(vocab)
-    if rows:
-        parameters.load(np.concatenate([np.array(r["total"]) / r["tokens"] for r in rows]))
+    if table.num_rows:
+        parameters.load(np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table["total"].chunks]))
     return parameters
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of each row."""
+    top = x.max(axis=1)
+    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+
+
 class Scorer:
-    """Tables for normalised log-probabilities (base 10) of a class after two classes."""
+    """Normalised log-probabilities (base 10) of a symbol after two symbols."""
 
     def __init__(self, p: Parameters) -> None:
-        self.one, self.two, self.bias = p.r1 @ p.q.T, p.r2 @ p.q.T + p.bias, p.bias
-        self.normaliser = np.log(np.maximum(np.exp(self.one) @ np.exp(self.two).T, 1e-30))
+        self.p = p
 
     def log10(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.one[a, w].astype(np.float64) + self.two[b, w] - self.normaliser[a, b]) / math.log(10)
+        p = self.p
+        out = np.zeros(len(w))
+        order = np.argsort(p.group[w], kind="stable")  # tokens of a class together
+        for i in range(0, len(w), _SCORED):
+            at = order[i : i + _SCORED]
+            context, group = p.r1[a[at]] + p.r2[b[at]], p.group[w[at]]
+            scores = context @ p.k.T + p.class_bias
+            out[at] = scores[np.arange(len(at)), group] - _log_sum(scores)
+            edges = np.concatenate((np.flatnonzero(np.diff(group, prepend=-1)), [len(at)]))
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                first, last = p.first[group[begin]], p.first[group[begin] + 1]
+                mine = at[begin:end]
+                scores = context[begin:end] @ p.q[first:last].T + p.bias[first:last]
+                out[mine] += scores[np.arange(end - begin), w[mine] - first] - _log_sum(scores)
+        return out / math.log(10)
 
 
 _scorers: dict[int, Scorer] = {}

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from shelfmark.llm import language_model as L
+from shelfmark.llm.common import hash_words
 
 LOWER = bytes(k + 32 if 65 <= k <= 90 else k for k in range(256))
 
@@ -62,3 +63,20 @@ def test_beats_the_base_on_held_out_texts(spark):
 
 def test_empty_table(spark):
     assert L.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_modelled_vocabulary_grows_and_words_beyond_the_old_head_have_vectors(spark):
+    """6000 words of about one frequency, too many for a head of 2047: each has a symbol and vectors that are trained."""
+    sizes = []
+    for pairs in (300, 3000):
+        rows = [(i, " ".join(f"left{j} right{j}" for j in np.random.default_rng(i).integers(0, pairs, 100))) for i in range(pairs)]
+        learnt = spark.createDataFrame(rows, "doc_id long, text string")
+        vocab = L.vocabulary(L.count_words(learnt))
+        sizes.append(len(vocab.prior))
+    assert sizes == [602, 6002]
+    at, known = vocab.find(hash_words([f"{side}{j}" for side in ("left", "right") for j in range(pairs)]))
+    symbols = vocab.symbols[at]
+    assert known.all() and len(set(symbols)) == 2 * pairs and 0 not in symbols
+    trained, new = L.train(learnt, vocab), L.Parameters(vocab)
+    for mine, start in ((trained.r1, new.r1), (trained.r2, new.r2), (trained.q, new.q)):
+        assert (np.abs(mine[symbols] - start[symbols]).max(axis=1) > 0.01).all()
