@@ -5,12 +5,16 @@ as one. Windows of five such tokens are joined by hash. A document leaks an item
 it; the values in the slots then tell an exact copy from a question with other parameters: each value of the item
 must stand for one value of the document throughout.
 
+An item without any such window (few words, mostly placeholders, a script without spaces) has a path of its own: its whole
+text, as lower-case words, or characters where the script has no spaces, must stand in the document in one run.
+
 The join runs in Spark, whatever the benchmark's size. Documents only send windows that a bitmap of fixed size (built from
 all windows of the benchmark) lets through, so that the shuffle has the size of the matches.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +44,11 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".?!:;\n\"(")] = True
 
 
+#: Punctuation outside ASCII, and characters of scripts without spaces (Thai to Khmer, kana, Chinese, Hangul, wide forms, beyond the basic plane).
+_MARK = re.compile(rb"\xe2[\x80\x81][\x80-\xbf]|\xe3\x80[\x80-\xbf]")
+_CHARACTER = re.compile(rb"(?:\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f]|[\xe3-\xed\xef][\x80-\xbf]|\xf0[\x80-\xbf]{2})[\x80-\xbf]")
+
+
 def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
@@ -74,7 +83,7 @@ class Templates:
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first token of each window with at least two words that are no placeholders; a shorter text of two tokens or more is one window."""
+        """Hash and first token of each window with at least two words that are no placeholders; a text can have none (see `_short_leaks`)."""
         n = len(self.token)
         k = max(0, n - WINDOW + 1)
         total, plain = np.zeros(k, dtype=np.uint64), np.zeros(k, dtype=np.int64)
@@ -137,14 +146,86 @@ def _bitmap(windows: DataFrame) -> bytes:
     return words.tobytes()
 
 
+def _units(texts: list[bytes]) -> Words:
+    """Lower-case words and numbers; each character of a script without spaces is one of its own."""
+    return Words([_CHARACTER.sub(rb" \g<0> ", _MARK.sub(b" ", t.translate(_PLAIN))) for t in texts], lower=True)
+
+
+def _runs(words: Words, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hashes of the runs of that many units from each place on) for the sizes 1, 2, 4 ... `most`; runs over the end of a text are among them."""
+    size, hashes = 1, words.hashes()
+    while size <= most and len(hashes):
+        yield size, mix(hashes + np.uint64(size))
+        hashes = mix(mix(hashes[:-size]) + hashes[size:])
+        size *= 2
+
+
+def _short_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two runs of a power of two units that together cover each text without windows: from its first unit on, and up to its last."""
+    for batch in batches:
+        texts = [t or b"" for t in as_bytes(batch.column("text"))]
+        ids = batch.column("item_id")
+        for i, j in steps(texts):
+            found = Templates(texts[i:j])
+            windows = np.bincount(found.text[found.windows()[1]], minlength=j - i)
+            words = _units(texts[i:j])
+            short = np.flatnonzero((windows == 0) & (words.count > 0))
+            size = 1 << np.floor(np.log2(np.maximum(words.count, 1))).astype(np.int64)
+            for each, hashes in _runs(words, int(size[short].max(initial=0))):
+                mine = short[size[short] == each]
+                offset = np.concatenate((np.zeros(len(mine), dtype=np.int64), words.count[mine] - each))
+                part = np.repeat([1, 2], len(mine))
+                mine = np.concatenate((mine, mine))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[words.first[mine] + offset].view(np.int64)), ids.slice(i, j - i).take(pa.array(mine)).cast(pa.int64()), pa.array(offset, pa.int32()), pa.array(part, pa.int32()), pa.array(np.full(len(mine), each), pa.int32()), batch.column("row").slice(i, j - i).take(pa.array(mine))],
+                    names=["hash", "id", "offset", "part", "size", "item_row"],
+                )
+
+
+def _short_runs(shared, sizes: set[int]):
+    """Runs of each document that the bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in batches:
+            texts = [t or b"" for t in as_bytes(batch.column("text"))]
+            ids = batch.column("doc_id")
+            for i, j in steps(texts):
+                words = _units(texts[i:j])
+                for size, hashes in _runs(words, max(sizes)):
+                    if size not in sizes:
+                        continue
+                    place = hashes >> np.uint64(64 - BITS)
+                    inside = words.text[: len(hashes)] == words.text[size - 1 :]
+                    at = np.flatnonzero(inside & (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+                    text = words.text[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), ids.slice(i, j - i).take(pa.array(text)).cast(pa.int64()), batch.column("row").slice(i, j - i).take(pa.array(text)), pa.array(at - words.first[text], pa.int32())], names=["hash", "id", "row", "pos"])
+
+    return run
+
+
+def _short_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id) where a document has the whole text of an item without windows; None where there is no such item."""
+    row = F.monotonically_increasing_id()  # runs of two texts of one id are kept apart
+    items = durable(benchmark.withColumn("row", row).mapInArrow(_short_items, "hash bigint, id bigint, offset int, part int, size int, item_row bigint"))
+    sizes = {r["size"] for r in items.select("size").distinct().collect()}
+    if not sizes:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
+    sent = docs.withColumn("row", row).mapInArrow(_short_runs(shared, sizes), "hash bigint, id bigint, row bigint, pos int")
+    here = items.select("hash", F.col("id").alias("item_id"), "offset", "part", "item_row")
+    whole = sent.withColumnRenamed("id", "doc_id").join(here, "hash").groupBy("doc_id", "item_id", "item_row", "row", (F.col("pos") - F.col("offset")).alias("start")).agg(F.bit_or("part").alias("parts")).where("parts = 3")
+    return whole.select("doc_id", "item_id").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and item that it leaks: doc_id, item_id, windows, matched, coverage, slots, changed, kind.
 
     windows, matched: the item's windows, and those in the document. slots: distinct values of the item in slots that
     were compared; changed: those that the document has otherwise. kind: exact, or reparameterised where slots changed
     consistently. A document in which one value of the item stands for several is a leak only if it has a share of
-    windows of `coverage` without the inconsistent ones. Null and empty texts, and items with fewer than five tokens, have no
-    windows; rows that repeat a doc_id or item_id count together; a null id is an id of its own.
+    windows of `coverage` without the inconsistent ones. An item's text without regular windows counts as one window, which a
+    document has if it holds the whole text: kind exact, without slots. Null texts and those without a letter or digit leak nothing; rows that repeat a doc_id or item_id count together; a null id is an id of its own.
     """
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string").alias("text")
@@ -168,7 +249,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     broken = pairs.join(values.where("mixed").select("doc_id", "item_id", "asked"), ["doc_id", "item_id", "asked"]).groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("broken"))
     out = near.join(slots, ["doc_id", "item_id"], "left").join(broken, ["doc_id", "item_id"], "left")
     out = out.where(F.col("matched") - F.coalesce("broken", F.lit(0)) >= coverage * F.col("windows"))
-    return out.select("doc_id", "item_id", "windows", "matched", (F.col("matched") / F.col("windows")).alias("coverage"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), F.when(F.coalesce("changed", F.lit(0)) > 0, "reparameterised").otherwise("exact").alias("kind"))
+    out = out.select("doc_id", "item_id", "windows", "matched", (F.col("matched") / F.col("windows")).alias("coverage"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), F.when(F.coalesce("changed", F.lit(0)) > 0, "reparameterised").otherwise("exact").alias("kind"))
+    short = _short_leaks(docs.select("doc_id", text), benchmark.select("item_id", text))
+    if short is None:
+        return out
+    one = F.lit(1).cast("long")
+    short = short.select("doc_id", "item_id", one.alias("windows"), one.alias("matched"), F.lit(1.0).alias("coverage"), F.lit(0).cast("long").alias("slots"), F.lit(0).cast("long").alias("changed"), F.lit("exact").alias("kind"))
+    # an item_id can have texts of both sorts
+    rest = ["windows", "matched", "coverage", "slots", "changed", "kind"]
+    return out.unionByName(short).groupBy("doc_id", "item_id").agg(F.max(F.struct(*rest)).alias("r")).select("doc_id", "item_id", *[f"r.{c}" for c in rest])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -59,3 +59,20 @@ def test_benchmark_passages_in_the_given_documents(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{folder}/benchmark.parquet").collect()
     assert {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text} <= found
+
+
+def test_items_without_regular_windows(spark):
+    """Few words, only numbers, mostly names or units, scripts without spaces: found where the whole text stands in a document."""
+    items = [(1, "Photosynthesis"), (2, "Blue whale?"), (3, "who wrote it"), (4, "name the largest planet"), (5, "12 + 30 * 5 = 9"), (6, "中国的首都是哪里？"), (7, "7 km 8 m Alice Bob Carol 9"), (8, "?!"), (9, QUESTION), (9, "short one"), (10, "日本で一番高い山")]
+    texts = ["about photosynthesis here", "A blue whale swims.", "So: who wrote it", "Please name the largest planet now", "It is 12 + 30 * 5 = 9, no?", "问：中国的首都是哪里？答", "from 7 km 8 m Alice Bob Carol 9 on", "?!", "a short one", "富士山は日本で一番高い山です"]
+    apart = ["photosynthetic", "blue. A whale", "who wrote", "it. who wrote", "name largest planet", "12 30 5", "中国的首都", "7 km 8 m Alice Carol Bob 9", "日本で一番", "short", None, ""]
+    docs = spark.createDataFrame(list(enumerate([*texts, *apart])), "doc_id long, text string")
+    found = leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (8, 9), (9, 10)}
+    assert len(found) == 9 and {(r.kind, r.windows, r.matched) for r in found} == {("exact", 1, 1)}
+
+
+def test_short_texts_of_one_id_are_not_mixed(spark):
+    items = spark.createDataFrame([(1, "red green blue"), (1, "lime pink grey")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "red green grey"), (2, "red green pink grey"), (3, "red green"), (3, "x green blue"), (None, "lime pink grey")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leaks(docs, items).collect()] == [(None, 1)]
