@@ -1,9 +1,12 @@
-"""Main text of web pages, with site templates removed.
-
-A page is read once into blocks of text, each with the element subtrees around it. Parts whose tag, role or class says
-that they are no article (menus, forms, adverts, comments) are left out. What remains is compared between the pages of a host:
-every element subtree is hashed, Spark counts on how many different pages of the host it stands, and subtrees that recur on
-a large share of them are deleted when the page is read for its text.
+"""Main text of web pages, with site templates removed by counting subtrees.
+
+A page is read once into elements and blocks of text. Every element's subtree is hashed twice from its children's hashes: with
+its text, and by its shape (names and classes, text masked, equal neighbours as one), since menus and adverts keep their shape
+and change their words. Spark counts on how many different pages of a host each hash stands, and how much of those pages'
+text it holds. Places (paths of names and classes) that hold half of the host's text or more are its content and stay.
+Beside them, what recurs on many pages goes: by text at once, by shape if it is short or mostly links. Inside them only
+what recurs much more often goes. Where the count cannot decide, as on hosts of a few pages, the page's own marks do:
+elements that HTML defines for menus, forms and the like, and classes made of words for such parts.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -19,10 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, durable, small_batches
 
-#: Different pages of a host that a template stands on at least, and their share of the host's: for a part of an element that says it is the article, and elsewhere.
-LEAST_PAGES, SHARE_INSIDE, SHARE_OUTSIDE = 10, 0.9, 0.3
-#: Hosts with templates that are sent to all tasks; beyond, pages and templates are joined by host.
-MOST_BROADCAST = 20_000
+#: Pages that a template stands on: at least so many, and at least the square root of the host's pages (by text) or this share of them (by shape).
+LEAST_PAGES, SHARE_SHAPE = 3, 0.1
+#: The share inside the content: of a paragraph or a list of links; and of a paragraph inside an element that says it is the article (on LEAST_STATED pages at least).
+SHARE_INSIDE, SHARE_STATED, LEAST_STATED = 0.5, 0.9, 10
+#: A recurring shape is short if it holds at most this share of its pages' text.
+SHORT = 0.2
+#: Hashes of all hosts' templates that are sent to all tasks (8 bytes each); beyond, pages and templates are joined by host.
+MOST_BROADCAST = 1_000_000
 
 # HTML element names, and words that name parts of a page.
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -30,140 +38,287 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("button option optgroup select caption head html body".split())
 CLOSED_BY_SAME = {"li": frozenset(("ul", "ol", "menu", "dir")), "dd": frozenset(("dl",)), "dt": frozenset(("dl",)), "tr": frozenset(("table", "tbody", "thead", "tfoot")), "td": frozenset(("tr", "table")), "th": frozenset(("tr", "table")), "option": frozenset(("select",))}
-LEFT_OUT = frozenset("head nav footer aside form button select dialog menu svg math canvas object audio video map".split())
+LEFT_OUT = frozenset("head nav footer aside form button select dialog menu svg canvas object audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tooltip".split())
+CONTAINERS = frozenset("aside center details div dl fieldset footer form header menu nav ol section table ul".split())
+HEADINGS = frozenset("h1 h2 hgroup".split())
 PARTS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations pagination pager toolbar skip login signup searchform searchbox".split())
+AROUND_PARTS = frozenset("area bar block bottom box buttons column container content dialog form global group header inline inner item items js left link links list main media message nav outer page panel policy post posts primary right row secondary section site slot text thread title top unit wrap wrapper".split())
+SUBJECT = frozenset("abstract article body content entry headline heading intro lead main post story summary text title".split())
 ARTICLE = frozenset(("article", "main"))
+# End of the fixed values.
 
-_TAG = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_TAG_END = re.compile(r"[^<>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^<>\"']*+)*+>")
 _ATTRIBUTE = re.compile(r"""(?i)(?<![a-z0-9-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z0-9]+")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE) for name in RAW}
 
+#: Kinds of hashes that are counted.
+SLOT, TEXT, SHAPE = range(3)
+_ROOT = 0
+#: What is known of a host (see `site_templates`).
+SETS = ["content", "outside", "inside", "stated", "containers"]
+
+
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(blake2b(b"\x00".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+#: Places and shapes are few, so their hashes are kept.
+_kept_hash = lru_cache(1 << 16)(_hash)
+
 
-def _hash(*parts: str) -> int:
-    return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _encoded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
-def _left_out(name: str, attributes: str, inside: bool) -> bool:
-    """Is an element no part of the article, by its name or attributes? A header inside the article is."""
-    if name in LEFT_OUT or name == "header" and not inside:
-        return True
-    if not attributes:
-        return False
-    for key, value in _ATTRIBUTE.findall(attributes):
+def _attributes(name: str, source: str) -> tuple[tuple[str, ...], bool]:
+    """Stable classes (without digits), and whether the attributes say that the element is no part of the article."""
+    classes: tuple[str, ...] = ()
+    out = False
+    for key, value in _ATTRIBUTE.findall(source):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id") and name not in ("html", "body") and not PARTS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            out = True
+        elif name in ARTICLE or name in ("html", "body"):
+            continue
+        elif key == "role":
+            out |= value in ROLES
+        elif key in ("class", "id") and name in CONTAINERS:
+            each = value.split()
+            # a class or id counts if it has a word for such a part and no word that may be an article's
+            out |= any(not PARTS.isdisjoint(words) and all(w in PARTS or w in AROUND_PARTS or w.isdigit() for w in words) for words in map(_WORD.findall, each))
+        if key == "class":
+            classes = tuple(sorted({c for c in value.split() if not any(x.isdigit() for x in c)}))
+    return classes, out
 
 
 class Page:
-    """Blocks (text, inside an article?, indices of the elements around it) of a page, and each element's subtree hash."""
+    """Elements and blocks of a page, in order. Element 0 stands for the page.
 
-    def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []
-        self.parts: list[list[str]] = []  # of each element: its name, then hashes and texts of what it has
-        self._stack: list[tuple[str, int, bool, bool]] = []  # name, index, left out, inside an article
+    Of each element: name, parent, classes, marked (by the page's own marks), chars and links (code points of text, and of that in links),
+    plain (chars that no mark covers), slot (hash of its path), shape and text hash. blocks: (text, element).
+    """
+
+    def __init__(self, source: str, marks: bool = True) -> None:
+        self.names, self.parent, self.classes, self.marked, self.in_article = ["#page"], [-1], [()], [False], [False]
+        self.blocks: list[tuple[str, int]] = []
+        self._seq: list[list[int]] = [[]]  # of each element: -1 - block, or child element
+        self._link_chars: list[int] = []
+        self._stack: list[tuple[str, int, bool, bool]] = []  # name, element, text left out, inside a link
+        self._open_at: dict[str, list[int]] = {}  # places in the stack by name
+        self._blocks_at: list[int] = []  # and those of all blocks
         self._text: list[str] = []
+        self._linked = 0
+        self._marks = marks
         self._read(source)
-        has_article = any(inside for _, inside, _ in self.blocks)
-        self.kept = [b for b in self.blocks if b[1]] if has_article else self.blocks
+        self._measure()
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join(entities.unescape("".join(self._text)).split())
-            self._text = []
             if text:
-                self.blocks.append((text, any(s[3] for s in self._stack), tuple(s[1] for s in self._stack if s[1] >= 0)))
-                for s in self._stack:
-                    if s[1] >= 0:
-                        self.parts[s[1]].append(text)
+                element = self._stack[-1][1] if self._stack else 0
+                self._seq[element].append(-1 - len(self.blocks))
+                self.blocks.append((text, element))
+                self._link_chars.append(min(len(text), self._linked))
+            self._text, self._linked = [], 0
 
     def _close(self, depth: int) -> None:
         """Closes all elements from depth on."""
-        if any(s[0] in BLOCK for s in self._stack[depth:]):
+        if self._blocks_at and self._blocks_at[-1] >= depth:
             self._flush()
-        del self._stack[depth:]
+        while len(self._stack) > depth:
+            name = self._stack.pop()[0]
+            self._open_at[name].pop()
+            if name in BLOCK:
+                self._blocks_at.pop()
+
+    def _last(self, names) -> int:
+        """Place in the stack of the innermost open element of these names; -1 without one."""
+        return max((at[-1] for n in names if (at := self._open_at.get(n))), default=-1)
 
     def _open(self, name: str, attributes: str) -> None:
-        stack = self._stack
         if name in BLOCK:
             self._flush()
             if name in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        self._close(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
+                at = self._last(("p",))
+                if at >= 0 and at == self._blocks_at[-1]:  # no other block is open inside it
+                    self._close(at)
             if name in CLOSED_BY_SAME:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name or {stack[i][0], name} <= {"dd", "dt"} or {stack[i][0], name} <= {"td", "th"}:
-                        self._close(i)
-                        break
-                    if stack[i][0] in CLOSED_BY_SAME[name]:
-                        break
+                at = self._last({"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,)))
+                if at > self._last(CLOSED_BY_SAME[name]):
+                    self._close(at)
         if name in VOID:
             if name == "br":
                 self._text.append(" ")
             return
-        out, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        out = out or _left_out(name, attributes, inside)
-        inside = inside or name in ARTICLE or "main" in attributes and bool(re.search(r"role\s*=\s*[\"']?main\b", attributes))
-        index = -1
-        if name in BLOCK and not out and name not in ("html", "body"):
-            index = len(self.parts)
-            self.parts.append([name])
-        stack.append((name, index, out, inside))
+        element, out, link = self._stack[-1][1:] if self._stack else (0, False, False)
+        classes, marked = _attributes(name, attributes) if attributes else ((), False)
+        if name in BLOCK and name not in ("html", "body"):
+            inside = self.in_article[element]
+            marked |= name in LEFT_OUT or name == "header" and not inside
+            self.parent.append(element)
+            self._seq[element].append(len(self.names))
+            element = len(self.names)
+            self.names.append(name), self.classes.append(classes), self._seq.append([])
+            self.marked.append(marked and self._marks)
+            self.in_article.append(inside or name in ARTICLE or "main" in attributes and bool(re.search(r"role\s*=\s*[\"']?main\b", attributes)))
+        else:
+            out |= name in LEFT_OUT or marked and name not in ("html", "body")
+        self._open_at.setdefault(name, []).append(len(self._stack))
+        if name in BLOCK:
+            self._blocks_at.append(len(self._stack))
+        self._stack.append((name, element, out, link or name == "a"))
+
+    def _add(self, text: str) -> None:
+        out, link = self._stack[-1][2:] if self._stack else (False, False)
+        if not out:
+            self._text.append(text)
+            self._linked += len(text.strip()) if link else 0
 
     def _read(self, source: str) -> None:
-        at = 0
-        while match := _TAG.search(source, at):
-            if match.start() > at and not (self._stack and self._stack[-1][2]):
-                self._text.append(source[at : match.start()])
-            at = match.end()
-            name = (match[2] or "").lower()
-            if not name:
+        """One pass: each search begins where the last one ended, and an end that was sought in vain is not sought again."""
+        at = start = 0
+        absent: set[str] = set()
+
+        def after(mark: str, begin: int) -> int:
+            if mark in absent:
+                return -1
+            found = source.find(mark, begin)
+            if found < 0:
+                absent.add(mark)
+                return -1
+            return found + len(mark)
+
+        while (at := source.find("<", at)) >= 0:
+            end, tag = -1, None
+            if source.startswith("<!--", at):
+                end = after("-->", at + 4)
+            elif source.startswith("<![CDATA[", at):
+                end = after("]]>", at + 9)
+            if end < 0 and source.startswith(("<!", "<?"), at):
+                end = after(">", at + 2)
+            elif end < 0 and (tag := _NAME.match(source, at + 1)):
+                match = _TAG_END.match(source, tag.end())
+                end = match.end() if match else -1
+            if end < 0:  # a sign of the text
+                at += 1
                 continue
-            if match[1]:
-                for i in range(len(self._stack) - 1, -1, -1):
-                    if self._stack[i][0] == name:
-                        self._close(i)
-                        break
-                continue
-            if name in RAW:
-                end = _RAW_END[name].search(source, at)
-                at = end.end() if end else len(source)
-                continue
-            self._open(name, match[3])
-        if at < len(source) and not (self._stack and self._stack[-1][2]):
-            self._text.append(source[at:])
+            if at > start:
+                self._add(source[start:at])
+            if tag:
+                name = tag[2].lower()
+                if tag[1]:
+                    depth = self._last((name,))
+                    if depth >= 0:
+                        self._close(depth)
+                elif name in RAW:
+                    found = _RAW_END[name].search(source, end)
+                    end = found.end() if found else len(source)
+                else:
+                    self._open(name, source[tag.end() : end - 1])
+            start = at = end
+        if start < len(source):
+            self._add(source[start:])
         self._close(0)
         self._flush()
 
-    def subtrees(self) -> dict[int, tuple[int, bool]]:
-        """Hash of each kept element by index, and whether it stands inside an article."""
-        out = {}
-        for _, inside, around in self.kept:
-            for k in around:
-                if k not in out:
-                    out[k] = (_hash(*self.parts[k]), inside)
-        return out
+    def _measure(self) -> None:
+        n = len(self.names)
+        self.chars, self.links, self.plain = [0] * n, [0] * n, [0] * n
+        self.covered = list(self.marked)  # by a mark of its own or of an element around it
+        self.slot = [_ROOT] * n
+        heads = [b"\x01".join(map(_encoded, (name, *classes))) for name, classes in zip(self.names, self.classes, strict=True)]
+        for i in range(1, n):
+            self.covered[i] |= self.covered[self.parent[i]]
+            self.slot[i] = _kept_hash(b"slot", b"%x" % self.slot[self.parent[i]], heads[i])
+        for (text, element), linked in zip(self.blocks, self._link_chars, strict=True):
+            self.chars[element] += len(text)
+            self.links[element] += linked
+            self.plain[element] += 0 if self.covered[element] else len(text)
+        self.shape, self.text_hash, self.leaf = [0] * n, [0] * n, [True] * n
+        self.titled = [name in HEADINGS or not SUBJECT.isdisjoint(w for c in classes for w in _WORD.findall(c)) for name, classes in zip(self.names, self.classes, strict=True)]
+        for i in range(n - 1, -1, -1):
+            shape, text = [], []
+            for x in self._seq[i]:
+                if x < 0:
+                    part, whole = b"#", _encoded(self.blocks[-1 - x][0])
+                else:
+                    if not self.chars[x]:
+                        continue
+                    self.leaf[i] = False
+                    part, whole = (b"%x" % v[x] for v in (self.shape, self.text_hash))
+                text.append(whole)
+                if not shape or shape[-1] != part:
+                    shape.append(part)
+            self.shape[i], self.text_hash[i] = _kept_hash(b"shape", heads[i], *shape), _hash(b"text", heads[i], *text)
+            if i:
+                up = self.parent[i]
+                self.chars[up] += self.chars[i]
+                self.links[up] += self.links[i]
+                self.plain[up] += self.plain[i]
+                self.titled[up] |= self.titled[i] and up > 0
+        # the innermost element, no paragraph, with more than half of the page's text; of children at most one has that
+        self.core, total = 0, self.plain[0]
+        for i in range(1, n):
+            if self.parent[i] == self.core and 2 * self.plain[i] > total and (self.names[i] in CONTAINERS or self.names[i] in ARTICLE):
+                self.core = i
 
     def signature(self) -> int:
-        return _hash(*[b[0] for b in self.kept])
+        """Equal for pages with the same main part; its copies count as one page."""
+        return self.text_hash[self.core]
+
+    def counted(self) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(kind, hash) of what stands on the page: its text, the page's, and text in links."""
+        out: dict[tuple[int, int], tuple[int, int, int]] = {(SLOT, _ROOT): (self.plain[0], self.plain[0], 0)}
+        for i in range(1, len(self.names)):
+            if self.chars[i]:
+                found = [(TEXT, self.text_hash[i], self.chars[i], self.chars[0]), (SHAPE, self.shape[i], self.chars[i], self.chars[0])]
+                if self.names[i] in CONTAINERS or self.names[i] in ARTICLE:  # a paragraph is no place for content of its own
+                    found.append((SLOT, self.slot[i], self.plain[i], self.plain[0]))
+                for kind, value, chars, page in found:
+                    before = out.get((kind, value), (0, 0, 0))
+                    out[kind, value] = (before[0] + chars, page, before[2] + self.links[i])
+        return out
 
-    def text(self, templates: frozenset[int]) -> str:
-        """The kept blocks without those inside a template."""
-        if not templates:
-            return "\n".join(b[0] for b in self.kept)
-        gone = {k for k, (h, _) in self.subtrees().items() if h in templates}
-        return "\n".join(b[0] for b in self.kept if gone.isdisjoint(b[2]))
+    def kept(self, content: frozenset[int], outside: frozenset[int], inside: frozenset[int], stated: frozenset[int], containers: frozenset[int]) -> list[str]:
+        """The blocks that stay, given the host's content places and templates (see `site_templates`)."""
+        n = len(self.names)
+        stays = [i > 0 and self.slot[i] in content for i in range(n)]
+        if not any(stays):  # the host says nothing about this page: what holds most of it stays
+            at = self.core
+            while at > 0:
+                stays[at], at = True, self.parent[at]
+        goes_on = [False] * n  # does the content go on in a smaller element?
+        for i in range(n - 1, 0, -1):
+            if stays[i] or goes_on[i]:
+                goes_on[self.parent[i]] = True
+        says_so = self._marks and any(stays[i] and self.names[i] in ARTICLE for i in range(n))
+        main = {0}  # the elements around the page's main part
+        at = self.core
+        while at > 0:
+            main.add(at)
+            at = self.parent[at]
+        gone, in_content, in_stated = [False] * n, [not goes_on[0]] * n, [False] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            in_content[i] = not goes_on[i] if stays[i] else in_content[up] and not goes_on[i]
+            in_stated[i] = in_stated[up] or stays[i] and self.names[i] in ARTICLE
+            if gone[up] or self.marked[i]:
+                gone[i] = True
+            elif i not in main:
+                text, shape, part = self.text_hash[i], self.shape[i], self.names[i] in CONTAINERS
+                if part and not self.leaf[i] and text in containers:
+                    gone[i] = True
+                elif stays[i] or goes_on[i]:
+                    pass
+                elif not in_content[up]:
+                    gone[i] = text in outside or part and not self.titled[i] and shape in outside
+                else:
+                    gone[i] = text in (stated if in_stated[i] else inside) or part and shape in inside
+        return [text for text, i in self.blocks if not gone[i] and (in_stated[i] or not says_so)]
 
 
 def host(url):
@@ -171,50 +326,86 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
 
 
-def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each different subtree of a page, and one with subtree null for the page itself."""
-    for batch in batches:
-        hosts, marks, subtrees, insides = [], [], [], []
-        for name, source in zip(batch.column("host").to_pylist(), as_bytes(batch.column("html")), strict=True):
-            page = Page((source or b"").decode())
-            mark = page.signature()
-            found = dict(page.subtrees().values())
-            hosts += [name] * (len(found) + 1)
-            marks += [mark] * (len(found) + 1)
-            subtrees += [None, *found]
-            insides += [False, *found.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(marks, pa.int64()), pa.array(subtrees, pa.int64()), pa.array(insides, pa.bool_())], names=["host", "mark", "subtree", "inside"])
+_SEEN = "site bigint, kind int, hash bigint, mark bigint, chars bigint, page_chars bigint, links bigint"
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, templates): hashes of the subtrees that recur on the host. Pages with the same kept text count once, so that copies of a page make no template of it."""
-    small_batches(pages.sparkSession)
-    named = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    seen = named.mapInArrow(_seen, "host string, mark bigint, subtree bigint, inside boolean").groupBy("host", "subtree", "mark").agg(F.max("inside").alias("inside"))
-    counts = durable(seen.groupBy("host", "subtree").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).where(F.col("subtree").isNull() | (F.col("n") >= LEAST_PAGES)))
-    sites = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
-    share = F.when(F.col("inside"), SHARE_INSIDE).otherwise(SHARE_OUTSIDE)
-    return counts.where("subtree IS NOT NULL").join(sites, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+def _seen(marks: bool):
+    """A row for each different hash of a page."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, ...]] = []
+            for site, source in zip(batch.column("site").to_pylist(), as_bytes(batch.column("html")), strict=True):
+                page = Page((source or b"").decode(errors="replace"), marks)
+                mark = page.signature()
+                rows += [(site, kind, value, mark, *sizes) for (kind, value), sizes in page.counted().items()]
+            kinds = [pa.int64(), pa.int32()] + [pa.int64()] * 5
+            columns = zip(*rows, strict=True) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SEEN.split(", ")])
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [Page((s or b"").decode()).text(frozenset(t or ())) for s, t in zip(as_bytes(batch.column("html")), batch.column("templates").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    return run
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def _named(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.xxhash64(host(F.col("url").cast("string"))).alias("site"))
+
+
+def site_templates(pages: DataFrame, marks: bool = True) -> DataFrame:
+    """(site, content, outside, inside, stated, containers): hashes by host (site is the hash of its name).
+
+    content: places with half of the host's text. outside: texts on as many pages as the square root of the host's, and shapes that are short or
+    mostly links on SHARE_SHAPE of them. inside: texts and shapes made of links on SHARE_INSIDE of them. stated: texts on SHARE_STATED of them.
+    containers: as outside, by text; they go inside the content too where they are more than a paragraph. Pages with the same main part count once. marks: whether the pages' own marks tell what is no text.
+    The hashes of a host are at most about as many as the square root of its pages times the elements of a page.
+    """
+    small_batches(pages.sparkSession)
+    seen = _named(pages).select("site", "html").mapInArrow(_seen(marks), _SEEN)
+    each = seen.groupBy("site", "kind", "hash", "mark").agg(*[F.max(c).alias(c) for c in ("chars", "page_chars", "links")])
+    root = (F.col("kind") == SLOT) & (F.col("hash") == _ROOT)
+    counts = each.groupBy("site", "kind", "hash").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("chars", "page_chars", "links")])
+    counts = durable(counts.where(root | (F.col("n") >= LEAST_PAGES)))
+    sites = counts.where(root).select("site", F.col("n").alias("pages"))
+    judged = counts.where(~root).join(sites, "site")
+    n, pages_, kind = F.col("n"), F.col("pages"), F.col("kind")
+    often, by_shape, mostly = n >= F.sqrt(pages_), n >= SHARE_SHAPE * pages_, n >= SHARE_INSIDE * pages_
+    linked, short = 2 * F.col("links") >= F.col("chars"), F.col("chars") <= SHORT * F.col("page_chars")
+    sets = {
+        "content": (kind == SLOT) & often & (2 * F.col("chars") >= F.col("page_chars")) & (F.col("page_chars") > 0),
+        "outside": (kind == TEXT) & often | (kind == SHAPE) & by_shape & (linked | short),
+        "inside": (kind == TEXT) & mostly & (n > LEAST_PAGES) | (kind == SHAPE) & mostly & linked,
+        "stated": (kind == TEXT) & (n >= SHARE_STATED * pages_) & (n >= LEAST_STATED),
+        "containers": (kind == TEXT) & often & (n > LEAST_PAGES),
+    }
+    some = sets["content"] | sets["outside"] | sets["inside"] | sets["stated"] | sets["containers"]
+    return judged.where(some).groupBy("site").agg(*[F.collect_list(F.when(c, F.col("hash"))).alias(name) for name, c in sets.items()])
+
+
+def _extracted(marks: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            sets = [batch.column(c).to_pylist() for c in SETS]
+            for source, *each in zip(as_bytes(batch.column("html")), *sets, strict=True):
+                page = Page((source or b"").decode(errors="replace"), marks)
+                texts.append("\n".join(page.kept(*[frozenset(x or ()) for x in each])))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
+
+def main_text(pages: DataFrame, marks: bool = True) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
-    A null or empty html gives an empty text. Pages without a URL make up one host. Null and repeated page_ids are
-    ordinary rows; other columns are left out. A host's templates are few, since each takes a share of its pages.
+    A null or empty html gives an empty text; bytes that are no UTF-8 become replacement characters. Pages without a URL make up one host. Null and
+    repeated page_ids are ordinary rows; other columns are left out; an empty table gives an empty one. A page is read as a whole by one task, in time
+    proportional to its length. marks: whether elements and classes that HTML or their words say are no article go where the count does not decide.
     """
     small_batches(pages.sparkSession)
-    templates = durable(site_templates(pages))
-    if templates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    templates = durable(site_templates(pages, marks))
+    size = templates.agg(F.coalesce(F.sum(sum((F.size(c) for c in SETS), F.lit(2))), F.lit(0))).first()[0]
+    if size <= MOST_BROADCAST:
         templates = F.broadcast(templates)
     kind = pages.schema["page_id"].dataType.simpleString()
-    named = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    joined = named.join(templates, "host", "left").select("page_id", "url", "html", "templates")
-    out = joined.mapInArrow(_extracted, f"page_id {kind}, url string, text string")
+    joined = _named(pages).join(templates, "site", "left").select("page_id", "url", "html", *SETS)
+    out = joined.mapInArrow(_extracted(marks), f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
