@@ -6,8 +6,11 @@ rest is one symbol, and a word of the rest gets its share of it by its count. Sy
 of about the square root of their number. The model predicts a token from the two before it: with the context
 h = R1[b] + R2[a], P(w | a, b) = P(class | h) P(w | class, h), where a class has the score h . K[class] + its bias, and a word
 h . Q[w] + bias[w]. Both factors are softmaxes over all classes and over all words of the class, so that every token's
-log-probability is normalised exactly. Every task trains on all training texts of its part of the input, and the tasks'
-parameters are averaged.
+log-probability is normalised exactly.
+
+Training texts are dealt by a hash of what they are into buckets of about the same number of tokens, and the buckets into
+rounds. In a round every bucket trains from the same parameters on all its texts, in the order of their hashes; what the
+buckets changed is averaged, each word's vectors by its occurrences. So the model does not depend on how the input is split.
 """
 
 from __future__ import annotations
@@ -29,13 +32,13 @@ COMMON = 1 << 18
 #: Tokens of a training step, noise words of a step, and noise words that count for each token.
 BATCH, NOISE, PER_TOKEN = 4096, 64, 24
 RATE = 0.08
-#: Tasks that train; their parameters are averaged.
-TRAINERS = 1024
+#: Rounds of averaging; tokens of a bucket, and buckets of a round at most (beyond, buckets get larger: a task streams its bucket).
+ROUNDS, BUCKET_TOKENS, MOST_BUCKETS = 3, 4_000_000, 4096
 #: The hash that stands for a text's end.
 END = np.uint64(0)
 _CHUNK = 1024
 #: Tokens that are scored together.
-_SCORED = 8192
+_SCORED = 16384
 
 
 def held_out():
@@ -160,13 +163,7 @@ class Parameters:
     def load(self, flat: np.ndarray) -> None:
         parts = [self.r1, self.r2, self.q, self.bias, self.k, self.class_bias]
         ends = np.cumsum([x.size for x in parts])
-        self.r1, self.r2, self.q, self.bias, self.k, self.class_bias = (flat[end - x.size : end].reshape(x.shape).astype(np.float32) for x, end in zip(parts, ends, strict=True))
-
-    def weights(self, symbols: np.ndarray, all_symbols: np.ndarray, tokens: int, all_tokens: int) -> np.ndarray:
-        """The share of a task in each parameter: a symbol's vectors by its occurrences in the task, all others by the task's tokens."""
-        share = np.repeat(symbols / all_symbols, WIDTH)
-        rest = np.full(self.bias.size + self.k.size + self.class_bias.size, tokens / all_tokens)
-        return np.concatenate((share, share, share, rest))
+        self.r1, self.r2, self.q, self.bias, self.k, self.class_bias = (flat[end - x.size : end].reshape(x.shape).astype(np.float32, copy=True) for x, end in zip(parts, ends, strict=True))
 
 
 def _contexts(vocab: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -176,16 +173,16 @@ def _contexts(vocab: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, ...]:
     symbols = np.where(known, vocab.symbols[at] if len(vocab.symbols) else 0, 0)
     before = np.concatenate(([vocab.end], symbols[:-1]))
     second = np.concatenate(([vocab.end], before[:-1]))
-    after_first = np.concatenate(([1], ends[:-1] + 2))
-    second[after_first[after_first < len(second)]] = vocab.end
+    second[ends[:-1] + 1] = vocab.end  # a text's first token; its second one has the end before it anyway
     return symbols, before, second, tokens, ends, at, known
 
 
 class _Trainer:
     """Steps of noise-contrastive estimation with rates by AdaGrad."""
 
-    def __init__(self, vocab: Vocabulary, seed: int) -> None:
-        self.p = Parameters(vocab)
+    def __init__(self, vocab: Vocabulary, start: np.ndarray, rate: float, seed: int) -> None:
+        self.p, self.rate = Parameters(vocab), rate
+        self.p.load(start)
         self.random = np.random.default_rng(seed)
         self.cumulative = [np.cumsum(x) for x in (vocab.prior, self.p.class_prior)]
         self.log_noise = [np.log(PER_TOKEN * x).astype(np.float32) for x in (vocab.prior, self.p.class_prior)]
@@ -197,7 +194,7 @@ class _Trainer:
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         at, total = ordered[first], np.add.reduceat(gradient[order], first, axis=0)
         self.squares[k][at] += (total**2).mean(axis=1) if total.ndim == 2 else total**2
-        rate = RATE / np.sqrt(self.squares[k][at])
+        rate = self.rate / np.sqrt(self.squares[k][at])
         matrix[at] += rate[:, None] * total if total.ndim == 2 else rate * total
 
     def _against_noise(self, k: int, vectors: np.ndarray, bias: np.ndarray, w: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -228,32 +225,74 @@ class _Trainer:
             self.step(w[i::parts], a[i::parts], b[i::parts])
 
 
-def train(docs: DataFrame, vocab: Vocabulary) -> Parameters:
-    """Parameters averaged over the tasks by what each was trained on (`Parameters.weights`); no text is left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+def _changed(trainer: _Trainer, start: np.ndarray, seen: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
+    """What a bucket's training changed, weighted: a symbol's vectors by its occurrences, all else by the tokens; then those weights themselves. In parts of _CHUNK numbers."""
+    each = np.repeat(seen, WIDTH)
+    rest = np.full(len(start) - 3 * len(each), seen.sum())
+    flat = np.concatenate(((trainer.p.flat() - start) * np.concatenate((each, each, each, rest)), seen)).astype(np.float32)
+    for i in range(0, len(flat), 256 * _CHUNK):
+        parts = [flat[j : j + _CHUNK] for j in range(i, min(len(flat), i + 256 * _CHUNK), _CHUNK)]
+        numbers = pa.array(range(i // _CHUNK, i // _CHUNK + len(parts)), pa.int32())
+        yield pa.RecordBatch.from_arrays([numbers, pa.array(np.full(len(parts), bucket), pa.int64()), pa.array(parts, pa.list_(pa.float32()))], names=["part", "bucket", "total"])
 
-    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, seen = None, np.zeros(len(shared.value.prior), dtype=np.int64)
+
+def _trained(vocab, start, rate: float):
+    """Trains on each bucket of a task, one after another; rows come sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, bucket, seen = None, None, None
         for batch in batches:
+            buckets = batch.column("bucket").to_numpy()
+            edges = np.concatenate((np.flatnonzero(np.diff(buckets, prepend=-1)), [len(buckets)]))
             texts = [t or b"" for t in as_bytes(batch.column("text"))]
-            for i, j in steps(texts):
-                w, a, b = _contexts(shared.value, texts[i:j])[:3]
-                trainer = trainer or _Trainer(shared.value, seed=len(w))
-                trainer.train(w, a, b)
-                seen += np.bincount(w, minlength=len(seen))
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                if bucket != buckets[low]:
+                    if trainer is not None:
+                        yield from _changed(trainer, start.value, seen, bucket)
+                    bucket = int(buckets[low])
+                    trainer, seen = _Trainer(vocab.value, start.value, rate, bucket), np.zeros(len(vocab.value.prior), dtype=np.int64)
+                for i, j in steps(texts[low:high]):
+                    w, a, b = _contexts(vocab.value, texts[low + i : low + j])[:3]
+                    trainer.train(w, a, b)
+                    seen += np.bincount(w, minlength=len(seen))
         if trainer is not None:
-            flat = (trainer.p.flat() * trainer.p.weights(seen, shared.value.mass, seen.sum(), shared.value.tokens)).astype(np.float32)
-            for i in range(0, len(flat), 256 * _CHUNK):
-                parts = [flat[j : j + _CHUNK] for j in range(i, min(len(flat), i + 256 * _CHUNK), _CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(i // _CHUNK, i // _CHUNK + len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float32()))], names=["part", "total"])
-
-    sums = docs.select(F.col("text").cast("string").alias("text")).coalesce(TRAINERS).mapInArrow(trained, "part int, total array<float>")
-    zero = F.transform(F.col("all")[0], lambda x: F.lit(0.0))
-    added = sums.groupBy("part").agg(F.collect_list("total").alias("all")).select("part", F.aggregate("all", zero, lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias("total"))
-    table = added.toArrow().sort_by("part")
-    parameters = Parameters(vocab)
-    if table.num_rows:
-        parameters.load(np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table["total"].chunks]))
+            yield from _changed(trainer, start.value, seen, bucket)
+
+    return run
+
+
+def _summed(column: str):
+    """The sum of arrays in the order of their buckets, so that it is the same each time."""
+    zero = F.transform(F.col("all")[0]["total"], lambda x: F.lit(0.0))
+    return F.aggregate(F.transform(F.array_sort("all"), lambda x: x["total"]), zero, lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias(column)
+
+
+def train(docs: DataFrame, vocab: Vocabulary) -> Parameters:
+    """Parameters after ROUNDS rounds; each text is trained on in one of them, and none is left out.
+
+    A row without doc_id is dealt by its place, so that many equal ones do not fill one bucket.
+    """
+    context = docs.sparkSession.sparkContext
+    shared, parameters = context.broadcast(vocab), Parameters(vocab)
+    per_round = min(MOST_BUCKETS, max(1, -(-vocab.tokens // (ROUNDS * BUCKET_TOKENS))))
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    text = F.col("text").cast("string")
+    dealt = docs.select(text.alias("text"), F.xxhash64("doc_id", text, place).alias("order"))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(F.lit(5), "order"), F.lit(ROUNDS * per_round)))
+    for turn in range(ROUNDS):
+        start = context.broadcast(parameters.flat())
+        mine = dealt.where(F.col("bucket") % ROUNDS == turn).repartition(per_round, "bucket").sortWithinPartitions("bucket", "order")
+        sums = mine.select("bucket", "text").mapInArrow(_trained(shared, start, RATE / (1 + turn)), "part int, bucket bigint, total array<float>")
+        few = sums.groupBy("part", (F.col("bucket") % 61).alias("at")).agg(F.collect_list(F.struct("bucket", "total")).alias("all")).select("part", "at", _summed("total"))
+        added = few.groupBy("part").agg(F.collect_list(F.struct("at", "total")).alias("all")).select("part", _summed("total"))
+        table = added.toArrow().sort_by("part")
+        if table.num_rows:
+            flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table["total"].chunks])
+            change, seen = flat[: -len(vocab.prior)], flat[-len(vocab.prior) :]
+            each = np.repeat(seen, WIDTH)
+            weight = np.concatenate((each, each, each, np.full(len(change) - 3 * len(each), seen.sum())))
+            parameters.load(start.value + change / np.maximum(weight, 1))
+        start.unpersist()
     return parameters
 
 
@@ -290,18 +329,32 @@ class Scorer:
 _scorers: dict[int, Scorer] = {}
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document.
+class Model:
+    """Counts of all words (a DataFrame), the common ones among them, and the parameters."""
 
-    A null text counts as empty: its end is its one token. Null and repeated doc_ids are ordinary rows; other columns
-    are left out. Without any training text every token is unknown, and both scores are those of empty counts.
+    def __init__(self, counts: DataFrame, vocab: Vocabulary, parameters: Parameters) -> None:
+        self.counts, self.vocab, self.parameters = counts, vocab, parameters
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of all rows of docs (doc_id, text). Without any row all words are unknown."""
+    small_batches(docs.sparkSession)
+    counts = durable(count_words(docs).where("n > 0"))
+    vocab = vocabulary(counts)
+    return Model(counts, vocab, train(docs, vocab))
+
+
+def score(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document; the model is by default that of the rows not held out.
+
+    A text's score follows from the text and the model alone. A null text counts as empty: its end is its one token. Null and repeated doc_ids are
+    ordinary rows; other columns are left out; an empty table gives an empty one. Without any training text every token is unknown, and both scores are
+    those of empty counts. A very long text takes some ten numbers of 8 bytes for each of its bytes in a task.
     """
     small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    learnt = docs.where(~held_out())
-    counts = durable(count_words(learnt).where("n > 0"))
-    vocab = vocabulary(counts)
-    parameters = train(learnt, vocab)
+    model = model or fit(docs.where(~held_out()))
+    counts, vocab, parameters = model.counts, model.vocab, model.parameters
     shared, flat = context.broadcast(vocab), context.broadcast(parameters)
     identity = hash(parameters.flat().tobytes())
 

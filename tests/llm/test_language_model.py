@@ -80,3 +80,48 @@ def test_the_modelled_vocabulary_grows_and_words_beyond_the_old_head_have_vector
     trained, new = L.train(learnt, vocab), L.Parameters(vocab)
     for mine, start in ((trained.r1, new.r1), (trained.r2, new.r2), (trained.q, new.q)):
         assert (np.abs(mine[symbols] - start[symbols]).max(axis=1) > 0.01).all()
+
+
+def _plain_score(model, text):
+    """log10 probability of a text by the formulas, word by word in Python's own floats."""
+    v, p = model.vocab, model.parameters
+    counts = {int(w): int(n) for w, n in zip(v.words, v.counts, strict=True)}
+    symbol = {int(w): int(k) for w, k in zip(v.words, v.symbols, strict=True)}
+    hashes = [int(hash_words([w])[0]) for w in text.encode().translate(LOWER).decode().split()] + [int(L.END)]
+    a = b = v.end
+    total = 0.0
+    for x in hashes:
+        w = symbol.get(x, 0)
+        h = [float(p.r1[a][i]) + float(p.r2[b][i]) for i in range(L.WIDTH)]
+        dot = lambda row, bias: sum(x * float(y) for x, y in zip(h, row, strict=True)) + float(bias)  # noqa: B023, E731
+        classes = [dot(r, c) for r, c in zip(p.k, p.class_bias, strict=True)]
+        members = [k for k in range(len(p.group)) if p.group[k] == p.group[w]]
+        words = {k: dot(p.q[k], p.bias[k]) for k in members}
+        total += classes[p.group[w]] - math.log(sum(map(math.exp, classes))) + words[w] - math.log(sum(map(math.exp, words.values())))
+        if w == 0:
+            total += math.log((counts.get(x, 0) + 1) / (v.other_tokens + v.other_distinct + 1))
+        a, b = w, a
+    return total / math.log(10)
+
+
+def test_scores_match_brute_force_and_do_not_depend_on_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(L, "DETAIL", 2)
+    rows = [(i, " ".join(f"w{(i * k) % 13}" for k in range(1, 9)) + f" rare{i}") for i in range(200)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert 0 < (model.vocab.symbols == 0).sum() and len(model.vocab.prior) > 5
+    texts = ["w1 w2 w3", "W5 unseen w5", "", "w3", "rare7 w1"]
+    alone = [L.score(spark.createDataFrame([(1, t)], "doc_id long, text string"), model).first().score for t in texts]
+    for text, found in zip(texts, alone, strict=True):
+        assert math.isclose(found, _plain_score(model, text), rel_tol=1e-5)
+    for before in ("w7 w8", "w2 w2 w2", "other"):
+        together = [(k, t) for k, t in enumerate([x for t in texts for x in (before, t)])]
+        found = {r.doc_id: r.score for r in L.score(spark.createDataFrame(together, "doc_id long, text string").coalesce(1), model).collect()}
+        assert all(math.isclose(found[2 * k + 1], alone[k], rel_tol=1e-6) for k in range(len(texts)))
+
+
+def test_the_model_does_not_depend_on_how_the_input_is_split(spark, monkeypatch):
+    monkeypatch.setattr(L, "BUCKET_TOKENS", 500)
+    rows = [(i if i % 10 else -i, " ".join(f"w{(i * k) % 17}" for k in range(1, 20))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, other = (L.fit(df).parameters.flat() for df in (docs.coalesce(1), docs.repartition(9, "text")))
+    assert np.array_equal(one, other) and np.abs(one - L.Parameters(L.vocabulary(L.count_words(docs))).flat()).max() > 0.01
