@@ -87,32 +87,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64. Those of a usual step are kept."""
-    if n <= len(_powers[0]):
-        return _powers[0][:n], _powers[1][:n]
-    size = max(n, STEP_BYTES + (1 << 16))
-    made = []
-    for base in (_BASE, _BASE_INVERSE):
-        powers = np.full(size, base, dtype=np.uint64)
-        powers[0] = 1
-        made.append(np.cumprod(powers, dtype=np.uint64))
-    if size <= 2 * STEP_BYTES:
-        _powers[:] = made
-    return made[0][:n], made[1][:n]
+#: A number for each byte at each of the first places of a word; the same for further places comes from `_at_place`.
+_PLACES = 64
+
+
+def _at_place(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix((place.astype(np.uint64) * np.uint64(256) + byte.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_TABLE = _at_place(*(x.ravel() for x in np.meshgrid(np.arange(_PLACES), np.arange(256), indexing="ij")))
 
 
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of several texts, as arrays over all of them.
 
     data: bytes of all texts, joined by spaces; start, end: each word's place in data; text: the text's index;
-    first: index of each text's first word, and one more entry for the end.
+    first: index of each text's first word, and one more entry for the end. Arrays over all bytes take up to some ten numbers of
+    8 bytes for each byte, of STEP_BYTES at a time (`steps`) or of one longer text.
     """
 
     def __init__(self, texts: list[bytes], lower: bool = False) -> None:
@@ -127,13 +118,23 @@ class Words:
         self.text = np.repeat(np.arange(len(texts)), self.count)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: a polynomial taken from prefix sums, then scattered."""
+        """A 64-bit hash of each word: the sum of a scattered number for each byte and its place in the word, scattered again with the length.
+
+        No algebra ties the numbers of different places, so that words made of repeated patterns don't fall together as they do in polynomials.
+        """
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
-        power, inverse = _powers_to(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * power[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        size = self.end - self.start
+        first = np.concatenate(([0], np.cumsum(size)))
+        byte = self.data[~_SPACE[self.data]]
+        place = np.arange(len(byte), dtype=np.int32) - np.repeat(first[:-1].astype(np.int32), size)
+        far = np.flatnonzero(place >= _PLACES)
+        numbers = _TABLE.take((np.minimum(place, _PLACES - 1) << 8) + byte)
+        if len(far):
+            numbers[far] = _at_place(place[far], byte[far])
+        sums = np.zeros(len(byte) + 1, dtype=np.uint64)
+        np.cumsum(numbers, out=sums[1:])
+        return mix(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def hash_bytes(word: bytes) -> int:

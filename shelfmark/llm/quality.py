@@ -25,6 +25,8 @@ SYMBOLS = 0.30
 #: The base rules: words at least, and percent of words in repeated 3-word windows at most.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
+#: Bytes of UTF-8 that begin no character.
+_CONTINUES = bytes(range(0x80, 0xC0))
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -60,10 +62,11 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
         total = again = 0
         for line in text.split(b"\n"):
             if line and not line.isspace():
-                total += len(line)
+                size = len(line) if line.isascii() else len(line.translate(None, _CONTINUES))
+                total += size
                 if line in seen:
                     repeated[i] += 1
-                    again += len(line)
+                    again += size
                 else:
                     seen.add(line)
         repeated_chars[i] = again / total if total else 0
@@ -86,6 +89,15 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(kept + [pa.array(found[n].astype(np.int64) if t == pa.int64() else found[n], t) for n, t in MEASURES], names=names + [n for n, _ in MEASURES])
 
 
+def _verdict(m: dict) -> tuple:
+    """Do the base rules fail, and is the text poor otherwise? From measures by name, as numpy arrays or columns."""
+    failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
+    poor = (m["dup_line_chars"] > LINES) | (m["n_symbols"] > SYMBOLS * m["n_words"])
+    for n, most in COVERAGE.items():
+        poor = poor | (m[f"dup_{n}gram_chars"] > most)
+    return failed, poor
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed and kept for each document.
 
@@ -96,10 +108,7 @@ def quality(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_measured, f"doc_id {kind}, {_DDL}")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    poor = (F.col("dup_line_chars") > LINES) | (F.col("n_symbols") > SYMBOLS * F.col("n_words"))
-    for n, most in COVERAGE.items():
-        poor = poor | (F.col(f"dup_{n}gram_chars") > most)
+    failed, poor = _verdict({n: F.col(n) for n, _ in MEASURES})
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~poor)
 
 
@@ -108,15 +117,15 @@ def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t or b"" for t in as_bytes(batch.column("text"))]
         keep: list[np.ndarray] = []
         for i, j in steps(texts):
-            m = measure(texts[i:j])
-            bad = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"]) | (m["dup_line_chars"] > LINES) | (m["n_symbols"] > SYMBOLS * m["n_words"])
-            for n, most in COVERAGE.items():
-                bad |= m[f"dup_{n}gram_chars"] > most
-            keep.append(~bad)
+            failed, poor = _verdict(measure(texts[i:j]))
+            keep.append(~(failed | poor))
         yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, dtype=bool)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that `quality` keeps, with all their columns; one pass without a join."""
+    """The documents that `quality` keeps, with all their columns whatever their names; one pass without a join.
+
+    Null texts go, as empty ones do; null and repeated doc_ids are ordinary rows; an empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_passing, docs.schema)

@@ -1,8 +1,11 @@
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from shelfmark.llm import common as C
+from shelfmark.llm import quality as Q
 from shelfmark.llm.quality import keep_good, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,3 +62,20 @@ def test_query_matches_brute_force(spark):
     for doc in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.col("text")).collect():
         r = rows[doc.doc_id]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(doc.text)
+
+
+def test_words_of_repeated_patterns_have_different_hashes():
+    """Two words that a polynomial modulo a power of two confuses: a Thue-Morse word over two letters and its mirror."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    assert C.hash_bytes(word.encode()) != C.hash_bytes(word.translate(str.maketrans("ab", "ba")).encode())
+    rng = np.random.default_rng(3)
+    words = list({bytes(rng.integers(97, 100, rng.integers(1, 200)).astype(np.uint8)) for _ in range(5000)})
+    assert len(set(C.Words([b" ".join(words)]).hashes().tolist())) == len(words)
+    assert [C.hash_bytes(w) for w in words[:50]] == C.Words(words[:50]).hashes().tolist()
+
+
+def test_lines_are_measured_in_characters():
+    m = Q.measure(["é é\né é\nabc abc abc".encode()])
+    assert m["dup_line_chars"][0] == 3 / 17
