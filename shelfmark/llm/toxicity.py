@@ -33,7 +33,7 @@ KNOWN = {
 #: Labelled rows that the words and the model are learnt from, at most.
 MOST_LABELLED = 20_000
 #: A word is toxic if it is in this share of toxic rows at least, in 5 at least, with these log-odds and deviations over other rows.
-LEAST_SHARE, LEAST_ROWS, LEAST_ODDS, LEAST_DEVIATIONS, MOST_WORDS = 0.01, 5, 1.8, 6.0, 2_000
+LEAST_SHARE, LEAST_ROWS, LEAST_ODDS, LEAST_DEVIATIONS = 0.01, 5, 1.8, 6.0
 #: What a known insult or threat weighs until labels tell.
 KNOWN_WEIGHT = 2.0
 
@@ -140,7 +140,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-            found[int(toxic == 1)].update({w.strip(_EDGES + ".!?;:") for w in (text or b"").decode().lower().split()} - {""})
+            found[int(toxic == 1)].update({w.strip(_EDGES + ".!?;:") for w in (text or b"").decode(errors="replace").lower().split()} - {""})
         if len(found[0]) + len(found[1]) > 500_000:
             yield out()
     yield out()
@@ -151,30 +151,32 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     small_batches(docs.sparkSession)
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
     ids = usable.select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
     known = {w: (kind, KNOWN_WEIGHT if kind in (INSULT, THREAT) else 0.0) for kind, words in KNOWN.items() for w in words.split()}
     totals = ids.agg(F.coalesce(F.count_if(F.col("toxic") == 1), F.lit(0)), F.count("*")).first()
     toxic, other = totals[0], totals[1] - totals[0]
-    counts = rows.mapInArrow(_counted, "word string, toxic_rows bigint, other_rows bigint").groupBy("word").agg(F.sum("toxic_rows").alias("t"), F.sum("other_rows").alias("o"))
+    counts = rows.select("text", "toxic").mapInArrow(_counted, "word string, toxic_rows bigint, other_rows bigint").groupBy("word").agg(F.sum("toxic_rows").alias("t"), F.sum("other_rows").alias("o"))
     rate_t, rate_o, rate = (F.col("t") + 0.5) / (toxic + 1), (F.col("o") + 0.5) / (other + 1), (F.col("t") + F.col("o")) / (toxic + other + 1)
     deviations = (rate_t - rate_o) / F.sqrt(rate * (1 - rate) * (1 / (toxic + 1) + 1 / (other + 1)) + 1e-12)
     learnt = counts.where((F.col("t") >= max(LEAST_ROWS, LEAST_SHARE * toxic)) & (F.log(rate_t / rate_o) >= LEAST_ODDS) & (deviations >= LEAST_DEVIATIONS))
-    for row in learnt.select("word", F.log(rate_t / rate_o).alias("odds")).orderBy(F.desc("odds"), "word").limit(MOST_WORDS).collect():
+    for row in learnt.select("word", F.log(rate_t / rate_o).alias("odds")).orderBy(F.desc("odds"), "word").collect():  # LEAST_SHARE bounds them: a row has so many words
         kind = known.get(row["word"], (INSULT, 0))[0]
         known[row["word"]] = (THREAT if kind == THREAT else INSULT, min(float(row["odds"]), 6.0))
     if not toxic or not other:
         return Model(known, np.zeros(5), np.ones(5), np.array([-3.0, 1.0, 0, 0, 0, 0]))
-    sample = rows.select("text", "toxic").mapInArrow(_featured(known, "toxic", "int"), "f array<double>, y double").toPandas()
+    featured = rows.select("doc_id", "text", "toxic").mapInArrow(_featured(known, "toxic"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, f array<double>, y double")
+    # one row for each label: of a doc_id that occurs again, the text with the highest score
+    sample = featured.groupBy("doc_id").agg(F.max("f").alias("f"), F.max("y").alias("y")).orderBy("doc_id").toPandas()
     mean, scale, weights = _logistic(np.array(sample["f"].tolist()), sample["y"].to_numpy())
     return Model(known, mean, scale, weights)
 
 
-def _featured(lexicon: dict[str, tuple[int, float]], label: str, _kind: str):
+def _featured(lexicon: dict[str, tuple[int, float]], label: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = frozenset(w for w, (kind, _) in lexicon.items() if kind in (INSULT, THREAT))
         for batch in batches:
-            rows = [_features((t or b"").decode().lower(), lexicon, toxic) for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(label).cast(pa.float64())], names=["f", "y"])
+            rows = [_features((t or b"").decode(errors="replace").lower(), lexicon, toxic) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64())), batch.column(label).cast(pa.float64())], names=["doc_id", "f", "y"])
 
     return run
 
@@ -196,7 +198,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = frozenset(w for w, (kind, _) in model.lexicon.items() if kind in (INSULT, THREAT))
         for batch in batches:
-            rows = [_features((t or b"").decode().lower(), model.lexicon, toxic) for t in as_bytes(batch.column("text"))]
+            rows = [_features((t or b"").decode(errors="replace").lower(), model.lexicon, toxic) for t in as_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(rows), pa.float64())], names=["doc_id", "score"])
 
     out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scored, f"doc_id {kind}, score double")
