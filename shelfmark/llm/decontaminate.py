@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,7 @@ class Templates:
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and first token of each window with at least two words that are no placeholders; a text can have none (see `_short_leaks`)."""
+        """Hash and first token of each window of WINDOW tokens with at least two words that are no placeholders; a shorter text has none (see `_short_leaks`)."""
         n = len(self.token)
         k = max(0, n - WINDOW + 1)
         total, plain = np.zeros(k, dtype=np.uint64), np.zeros(k, dtype=np.int64)
@@ -100,7 +101,15 @@ class Templates:
         self.token[first], self.slot[first], self.value[first] = _NAME, True, 0  # its value is not compared
 
 
-_OUT = "hash bigint, id bigint, pos int, slots array<bigint>, windows int"
+def _emits(df: DataFrame, identity: str) -> str:
+    return f"hash bigint, id {df.schema[identity].dataType.simpleString()}, pos int, slots array<bigint>"
+
+
+def _join(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """A join by columns in which null equals null."""
+    named = right.select(*[F.col(c).alias(f"_{c}" if c in names else c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
+    return left.join(named, same, how).drop(*[f"_{n}" for n in names])
 
 
 def _emitted(identity: str, shared):
@@ -114,7 +123,6 @@ def _emitted(identity: str, shared):
             for i, j in steps(texts):
                 found = Templates(texts[i:j])
                 hashes, at = found.windows()
-                counts = np.bincount(found.text[at], minlength=j - i)
                 if bitmap is None:
                     found.opening_names()
                     others, places = found.windows()
@@ -129,20 +137,19 @@ def _emitted(identity: str, shared):
                 values = np.where(found.slot[grid], found.value[grid], np.uint64(0)) if len(at) else np.zeros((0, WINDOW), dtype=np.uint64)
                 slots = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * WINDOW, pa.int32()), pa.array(values.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), ids.slice(i, j - i).take(pa.array(texts_of)).cast(pa.int64()), pa.array(at - found.first[texts_of], pa.int32()), slots, pa.array(counts[texts_of], pa.int32())],
-                    names=["hash", "id", "pos", "slots", "windows"],
+                    [pa.array(hashes.view(np.int64)), ids.slice(i, j - i).take(pa.array(texts_of)), pa.array(at - found.first[texts_of], pa.int32()), slots],
+                    names=["hash", "id", "pos", "slots"],
                 )
 
     return run
 
 
 def _bitmap(windows: DataFrame) -> bytes:
-    """2**BITS bits, one for the leading bits of each window's hash; what comes to the driver has at most as many bytes."""
+    """2**BITS bits, one for the leading bits of each window's hash; 2**BITS / 64 rows of two numbers come to the driver at most (16 MB)."""
     place = F.shiftrightunsigned("hash", 64 - BITS)
-    rows = windows.groupBy((place / 64).cast("long").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))).alias("bits")).collect()
+    rows = windows.groupBy((place / 64).cast("long").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))).alias("bits")).toArrow()
     words = np.zeros((1 << BITS) // 64, dtype=np.int64)
-    for at, bits in rows:
-        words[at] = bits
+    words[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     return words.tobytes()
 
 
@@ -177,7 +184,7 @@ def _short_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = np.repeat([1, 2], len(mine))
                 mine = np.concatenate((mine, mine))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[words.first[mine] + offset].view(np.int64)), ids.slice(i, j - i).take(pa.array(mine)).cast(pa.int64()), pa.array(offset, pa.int32()), pa.array(part, pa.int32()), pa.array(np.full(len(mine), each), pa.int32()), batch.column("row").slice(i, j - i).take(pa.array(mine))],
+                    [pa.array(hashes[words.first[mine] + offset].view(np.int64)), ids.slice(i, j - i).take(pa.array(mine)), pa.array(offset, pa.int32()), pa.array(part, pa.int32()), pa.array(np.full(len(mine), each), pa.int32()), batch.column("row").slice(i, j - i).take(pa.array(mine))],
                     names=["hash", "id", "offset", "part", "size", "item_row"],
                 )
 
@@ -199,7 +206,7 @@ def _short_runs(shared, sizes: set[int]):
                     inside = words.text[: len(hashes)] == words.text[size - 1 :]
                     at = np.flatnonzero(inside & (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
                     text = words.text[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), ids.slice(i, j - i).take(pa.array(text)).cast(pa.int64()), batch.column("row").slice(i, j - i).take(pa.array(text)), pa.array(at - words.first[text], pa.int32())], names=["hash", "id", "row", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), ids.slice(i, j - i).take(pa.array(text)), batch.column("row").slice(i, j - i).take(pa.array(text)), pa.array(at - words.first[text], pa.int32())], names=["hash", "id", "row", "pos"])
 
     return run
 
@@ -207,12 +214,12 @@ def _short_runs(shared, sizes: set[int]):
 def _short_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
     """(doc_id, item_id) where a document has the whole text of an item without windows; None where there is no such item."""
     row = F.monotonically_increasing_id()  # runs of two texts of one id are kept apart
-    items = durable(benchmark.withColumn("row", row).mapInArrow(_short_items, "hash bigint, id bigint, offset int, part int, size int, item_row bigint"))
+    items = durable(benchmark.withColumn("row", row).mapInArrow(_short_items, f"hash bigint, id {benchmark.schema['item_id'].dataType.simpleString()}, offset int, part int, size int, item_row bigint"))
     sizes = {r["size"] for r in items.select("size").distinct().collect()}
     if not sizes:
         return None
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
-    sent = docs.withColumn("row", row).mapInArrow(_short_runs(shared, sizes), "hash bigint, id bigint, row bigint, pos int")
+    sent = docs.withColumn("row", row).mapInArrow(_short_runs(shared, sizes), f"hash bigint, id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, pos int")
     here = items.select("hash", F.col("id").alias("item_id"), "offset", "part", "item_row")
     whole = sent.withColumnRenamed("id", "doc_id").join(here, "hash").groupBy("doc_id", "item_id", "item_row", "row", (F.col("pos") - F.col("offset")).alias("start")).agg(F.bit_or("part").alias("parts")).where("parts = 3")
     return whole.select("doc_id", "item_id").distinct()
@@ -225,29 +232,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     were compared; changed: those that the document has otherwise. kind: exact, or reparameterised where slots changed
     consistently. A document in which one value of the item stands for several is a leak only if it has a share of
     windows of `coverage` without the inconsistent ones. An item's text without regular windows counts as one window, which a
-    document has if it holds the whole text: kind exact, without slots. Null texts and those without a letter or digit leak nothing; rows that repeat a doc_id or item_id count together; a null id is an id of its own.
+    document has if it holds the whole text: kind exact, without slots. Null texts and those without a letter or digit leak nothing; rows that repeat a doc_id or item_id count together; a null id is an id like any other. Ids can have any type; other columns are left out;
+    an empty table on either side gives an empty one.
     """
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string").alias("text")
-    items = durable(benchmark.select("item_id", text).mapInArrow(_emitted("item_id", None), _OUT))
+    items = durable(benchmark.select("item_id", text).mapInArrow(_emitted("item_id", None), _emits(benchmark, "item_id")))
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
-    sent = docs.select("doc_id", text).mapInArrow(_emitted("doc_id", shared), _OUT)
+    sent = docs.select("doc_id", text).mapInArrow(_emitted("doc_id", shared), _emits(docs, "doc_id"))
     here = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     hits = sent.select("hash", F.col("id").alias("doc_id"), "pos", "slots").join(here, "hash").groupBy("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots").agg(F.lit(1).alias("one"))
     hits = durable(hits)
     size = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("windows"))
     share = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("matched"))
-    same = lambda a, b: a.eqNullSafe(b)
-    near = share.alias("s").join(size.alias("z"), same(F.col("s.item_id"), F.col("z.item_id"))).where(F.col("matched") >= coverage * F.col("windows")).select("s.doc_id", "s.item_id", "windows", "matched")
+    near = _join(share, size, ["item_id"]).where(F.col("matched") >= coverage * F.col("windows")).select("doc_id", "item_id", "windows", "matched")
     # the shift at which most windows agree tells which of the document's slots belong to the item's
     shifts = hits.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("item_pos").alias("n"))
     best = shifts.groupBy("doc_id", "item_id").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
-    aligned = hits.alias("h").join(best.alias("b"), same(F.col("h.doc_id"), F.col("b.doc_id")) & same(F.col("h.item_id"), F.col("b.item_id")) & (F.col("h.shift") == F.col("b.shift"))).select("h.doc_id", "h.item_id", "item_pos", "slots", "item_slots")
-    pairs = aligned.select("doc_id", "item_id", "item_pos", F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).where("p.item_slots != 0").select("doc_id", "item_id", "item_pos", F.col("p.item_slots").alias("asked"), F.col("p.slots").alias("found"))
-    values = pairs.groupBy("doc_id", "item_id", "asked").agg((F.min("found") != F.max("found")).alias("mixed"), (F.max((F.col("found") != F.col("asked")).cast("int"))).alias("other"))
+    aligned = _join(hits, best, ["doc_id", "item_id", "shift"], "left_semi")
+    pairs = aligned.select("doc_id", "item_id", "item_pos", F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).where("p.item_slots != 0")
+    pairs = pairs.select("doc_id", "item_id", "item_pos", F.col("p.item_slots").alias("asked"), F.col("p.slots").alias("found"))
+    asked = ["doc_id", "item_id", "asked"]
+    values = pairs.groupBy(*asked).agg((F.min("found") != F.max("found")).alias("mixed"), (F.max((F.col("found") != F.col("asked")).cast("int"))).alias("other"))
     slots = values.groupBy("doc_id", "item_id").agg(F.count("*").alias("slots"), F.sum("other").alias("changed"), F.count_if("mixed").alias("mixed"))
-    broken = pairs.join(values.where("mixed").select("doc_id", "item_id", "asked"), ["doc_id", "item_id", "asked"]).groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("broken"))
-    out = near.join(slots, ["doc_id", "item_id"], "left").join(broken, ["doc_id", "item_id"], "left")
+    broken = _join(pairs, values.where("mixed").select(*asked), asked, "left_semi").groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("broken"))
+    out = _join(_join(near, slots, ["doc_id", "item_id"], "left"), broken, ["doc_id", "item_id"], "left")
     out = out.where(F.col("matched") - F.coalesce("broken", F.lit(0)) >= coverage * F.col("windows"))
     out = out.select("doc_id", "item_id", "windows", "matched", (F.col("matched") / F.col("windows")).alias("coverage"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"), F.coalesce("changed", F.lit(0)).cast("long").alias("changed"), F.when(F.coalesce("changed", F.lit(0)) > 0, "reparameterised").otherwise("exact").alias("kind"))
     short = _short_leaks(docs.select("doc_id", text), benchmark.select("item_id", text))
@@ -261,6 +270,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak no item, with all their columns; a document without doc_id stays."""
+    """The documents that leak no item, with all their columns whatever their names; all rows of a doc_id that leaks go, a document without doc_id stays.
+
+    Null texts leak nothing and stay; an empty benchmark or table changes nothing.
+    """
     found = leaks(docs, benchmark).select("doc_id").where("doc_id IS NOT NULL").distinct()
     return docs.join(durable(found), "doc_id", "left_anti").select(docs.columns)

@@ -1,5 +1,6 @@
 import random
 
+from shelfmark.llm import decontaminate as D
 from shelfmark.llm.decontaminate import drop_leaks, leaks
 
 QUESTION = "What is 12 km plus 30 km when Bob walks with Alice in the rain today and tomorrow?"
@@ -76,3 +77,17 @@ def test_short_texts_of_one_id_are_not_mixed(spark):
     items = spark.createDataFrame([(1, "red green blue"), (1, "lime pink grey")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "red green grey"), (2, "red green pink grey"), (3, "red green"), (3, "x green blue"), (None, "lime pink grey")], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in leaks(docs, items).collect()] == [(None, 1)]
+
+
+def test_null_and_text_ids_are_judged_as_others(spark):
+    """The same inconsistent text is no leak under any id, a null one too; ids can be text."""
+    item = "A farmer has 12 apples and sells 12 apples then buys 30 pears and eats 30 pears before the long winter comes again"
+    mixed = item.replace("12", "7", 1).replace("12", "8", 1).replace("30", "5", 1).replace("30", "6", 1)
+    rows = [(2, mixed), (None, mixed), (3, item), (4, item.replace("12", "9").replace("30", "41"))]
+    for kind, own in (("long", lambda x: x), ("string", lambda x: None if x is None else f"d{x}")):
+        docs = spark.createDataFrame([(own(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        bench = spark.createDataFrame([(own(1), item), (None, "the quick brown fox jumps over the lazy dog every single day")], f"item_id {kind}, text string")
+        found = {(r.doc_id, r.item_id): r.kind for r in D.leaks(docs, bench).collect()}
+        assert found == {(own(3), own(1)): "exact", (own(4), own(1)): "reparameterised"}, found
+        kept = {r.doc_id for r in D.drop_leaks(docs, bench).collect()}
+        assert kept == {own(2), None}
