@@ -6,14 +6,17 @@ shingle sets confirms every link.
 
 No group is expanded into pairs. Texts with the same shingle set become one class first. Each bucket then links
 its members to its smallest one (a star), and confirmed stars give components. Members of a bucket that are still in
-different components are compared with one another: pair by pair in buckets of a few, and otherwise in blocks whose full sets
-are held against each other inside a task, which gives one link for each two components that meet. So copies cost
-one comparison each, no link is given up, and what is sent between tasks doesn't grow with the square of a group.
+different components are compared with one another inside tasks, in blocks of bounded size: first by their signatures, which
+leaves those that have a likely partner, then by their full sets, which gives one link for each two components that meet. All
+buckets go by this one rule, whatever their size; buckets with the same members are compared once. Copies cost one comparison
+each and no link is given up. Members of a bucket with more than one component are sent once for each block of their bucket, so
+that a family of near texts that are not linked costs its size divided by BLOCK; other texts are sent once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,8 @@ SIZE = 3
 PERCENT = 85
 #: A pair whose signatures agree in a smaller share of coordinates is not confirmed: 5 standard deviations below 0.85.
 LEAST_AGREEMENT = 0.69
-#: Buckets of at most so many members are compared pair by pair; larger ones that share members are compared together, in blocks of BLOCK.
-SMALL, BLOCK = 8, 256
+#: Members of a block at most on average, and bytes of what is compared; bytes that one call of Python gets.
+BLOCK, BLOCK_BYTES, CALL_BYTES = 2048, 4 << 20, 32 << 20
 
 _NONE = np.zeros(0, dtype=np.uint64)
 
@@ -81,6 +84,14 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
             yield _NONE
 
 
+def _set_key(found: np.ndarray) -> bytes | None:
+    """128 bits that tell a set from others; None for the empty set."""
+    if not len(found):
+        return None
+    total = np.concatenate((found, found[:1] * 0 + np.uint64(len(found))))
+    return mix(total).sum(dtype=np.uint64).tobytes() + mix(total ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).tobytes()
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band_seed = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
@@ -92,8 +103,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(found):
                     key.append(None), marks.append(None), bands.append(None)
                     continue
-                total = np.concatenate((found, found[:1] * 0 + np.uint64(len(found))))
-                key.append(mix(total).sum(dtype=np.uint64).tobytes() + mix(total ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).tobytes())
+                key.append(_set_key(found))
                 coordinates = signature(found)
                 marks.append(coordinates.astype(np.uint8).tobytes())
                 rows = coordinates.reshape(BANDS, ROWS).astype(np.uint64)
@@ -108,8 +118,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or b"" for t in as_bytes(batch.column("text"))]
         for i, j in steps(texts):
-            sets = [s.tobytes() for s in shingle_sets(texts[i:j])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = list(shingle_sets(texts[i:j]))
+            yield pa.RecordBatch.from_arrays([pa.array(map(_set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the key of their text's set behind them; column `text` is the last but for the key's."""
+    for batch in batches:
+        texts = [t or b"" for t in as_bytes(batch.column(batch.num_columns - 1))]
+        keys = [_set_key(found) for i, j in steps(texts) for found in shingle_sets(texts[i:j])]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], names=[*batch.schema.names[:-1], "set_key"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -159,7 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
     scratch = Scratch(edges.sparkSession)
     left = scratch.keep(edges.select("a", "b").where("a != b").distinct())
     roots = None
-    for turn in range(64):
+    for turn in count():
         order = F.lit(0) if turn == 0 else None
         key = lambda c, order=order, turn=turn: F.struct((F.xxhash64(F.lit(turn), c) if order is None else order).alias("order"), F.col(c).alias("id"))
         both = left.select("a", "b").union(left.select("b", "a"))
@@ -181,90 +199,176 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _units(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The rows of each bucket's block or pair of blocks, two or more."""
+    rows = rows.sort_values(["bucket", "low", "high", "id"], ignore_index=True)
+    keys = rows[["bucket", "low", "high"]].to_numpy()
+    edges = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        if high - low > 1:
+            yield rows.iloc[low:high]
+
+
+def _comparable(i: int, group: np.ndarray, sizes: np.ndarray, blocks: np.ndarray | None) -> np.ndarray:
+    """Which members after i can be linked with it and are not yet: by component, size and, between two blocks, block."""
+    ok = (group[i + 1 :] != group[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= PERCENT * np.maximum(sizes[i + 1 :], sizes[i]))
+    return ok if blocks is None else ok & (blocks[i + 1 :] != blocks[i])
+
+
+def _likely(rows: pd.DataFrame) -> pd.DataFrame:
+    """(bucket, id) of members whose signature agrees with that of another member in a different component."""
+    found = []
+    for unit in _units(rows):
+        sizes, group = unit["n_shingles"].to_numpy(), unit["component"].to_numpy()
+        blocks = unit["block"].to_numpy() if unit["low"].iloc[0] != unit["high"].iloc[0] else None
+        marks = np.frombuffer(b"".join(unit["payload"]), dtype=np.uint8).reshape(len(unit), -1)
+        partner = np.zeros(len(unit), dtype=bool)
+        for i in range(len(unit) - 1):
+            at = np.flatnonzero(_comparable(i, group, sizes, blocks)) + i + 1
+            if len(at):
+                at = at[(marks[at] == marks[i]).mean(axis=1) >= LEAST_AGREEMENT]
+                partner[at] = True
+                partner[i] |= len(at) > 0
+        if partner.any():
+            found.append(unit.loc[partner, ["bucket", "id"]])
+    return pd.concat(found) if found else rows.loc[[], ["bucket", "id"]]
+
+
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Confirmed links of a block, or between two blocks, that join different components; one for each two components that meet."""
-    rows = rows.sort_values("id", ignore_index=True)
-    ids, sizes, blocks, group = (rows[c].to_numpy() for c in ("id", "n_shingles", "block", "component"))
-    apart = rows["low"].iloc[0] != rows["high"].iloc[0]
-    _, group = np.unique(group, return_inverse=True)
-    _, codes = np.unique(np.frombuffer(b"".join(rows["shingles"]), dtype=np.uint64), return_inverse=True)
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    present = np.zeros(len(codes) + 1, dtype=bool)
+    """Confirmed links between members of different components; in a unit one for each two components that meet."""
     a, b = [], []
-    for i in range(len(ids) - 1):
-        ok = (group[i + 1 :] != group[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= PERCENT * np.maximum(sizes[i + 1 :], sizes[i]))
-        if apart:
-            ok &= blocks[i + 1 :] != blocks[i]
-        if not ok.any():
-            continue
-        mine = codes[first[i] : first[i + 1]]
-        present[mine] = True
-        both = np.add.reduceat(present[codes[first[i + 1] :]].astype(np.int64), first[i + 1 : -1] - first[i + 1])
-        present[mine] = False
-        for j in np.flatnonzero(ok & (100 * both >= PERCENT * (sizes[i] + sizes[i + 1 :] - both))) + i + 1:
-            if group[i] != group[j]:
-                a.append(ids[i]), b.append(ids[j])
-                group[group == group[j]] = group[i]
-    return pd.DataFrame({"a": np.array(a, dtype=ids.dtype), "b": np.array(b, dtype=ids.dtype)})
+    for unit in _units(rows):
+        ids, sizes = unit["id"].to_numpy(), unit["n_shingles"].to_numpy()
+        blocks = unit["block"].to_numpy() if unit["low"].iloc[0] != unit["high"].iloc[0] else None
+        _, group = np.unique(unit["component"].to_numpy(), return_inverse=True)
+        _, codes = np.unique(np.frombuffer(b"".join(unit["payload"]), dtype=np.uint64), return_inverse=True)
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        present = np.zeros(len(codes) + 1, dtype=bool)
+        for i in range(len(ids) - 1):
+            ok = _comparable(i, group, sizes, blocks)
+            if not ok.any():
+                continue
+            mine = codes[first[i] : first[i + 1]]
+            present[mine] = True
+            both = np.add.reduceat(present[codes[first[i + 1] :]].astype(np.int64), first[i + 1 : -1] - first[i + 1])
+            present[mine] = False
+            for j in np.flatnonzero(ok & (100 * both >= PERCENT * (sizes[i] + sizes[i + 1 :] - both))) + i + 1:
+                if group[i] != group[j]:
+                    a.append(ids[i]), b.append(ids[j])
+                    group[group == group[j]] = group[i]
+    return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+
+def _compared(members: DataFrame, payload: DataFrame, weight, compare, schema: str) -> DataFrame:
+    """`compare` over the blocks of each bucket's members (bucket, id, component, n_shingles) with their payload (id, payload) of about `weight` bytes."""
+    blocks = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(weight) / BLOCK_BYTES)).alias("blocks"))
+    dealt = members.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = durable(dealt.select("bucket", "id", "component", "n_shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
+    calls = max(1, -(-(dealt.agg(F.sum(weight)).first()[0] or 0) // CALL_BYTES))
+    sent = dealt.join(payload, "id").withColumn("call", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(calls)))
+    return sent.groupBy("call").applyInPandas(compare, schema)
+
+
+class _Graph:
+    """What near-duplicate detection finds out about the texts of docs.
+
+    signed: (doc_id, n_shingles, set_key, ...) of each row. classes: (set_key, id, least), the different sets with a number and their smallest doc_id.
+    links: (a, b), numbers of classes that are similar enough; found: (id, component), their components. repeated: does a doc_id occur again?
+    """
+
+    def __init__(self, docs: DataFrame) -> None:
+        small_batches(docs.sparkSession)
+        texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        self.signed = durable(texts.mapInArrow(_signed, f"doc_id {kind}, n_shingles bigint, set_key binary, marks binary, bands array<bigint>"))
+        some = self.signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+        self.repeated = not some.groupBy("doc_id").count().where("count > 1").isEmpty()
+        classes = durable(some.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"), F.first("bands").alias("bands")))
+        total = classes.count()
+        salt = next(k for k in count() if classes.select(F.xxhash64(F.lit(k), "set_key")).distinct().count() == total)  # one number for each
+        self.number = F.xxhash64(F.lit(salt), "set_key")
+        classes = classes.withColumn("id", self.number)
+        self.classes = classes.select("set_key", "id", "least")
+
+        placed = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
+        buckets = placed.groupBy("bucket").agg(F.min(F.struct("id", "n_shingles")).alias("center"), F.count("*").alias("members")).where("members > 1")
+        members = durable(placed.join(buckets.select("bucket", "center"), "bucket"))
+        near = _near_sizes(F.col("n_shingles"), F.col("center.n_shingles")) & (F.col("id") != F.col("center.id"))
+        stars = durable(members.where(near).select(F.col("id").alias("a"), F.col("center.id").alias("b")).distinct())
+        marks = classes.select("id", "marks")
+        shared = members.select("id").distinct()
+        needed = texts.join(self.classes.join(shared, "id").select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+        sets = needed.mapInArrow(_sets, "set_key binary, shingles binary").select(self.number.alias("id"), "shingles")
+        if self.repeated:  # a doc_id's rows can have other sets, or the same again
+            sets = sets.join(shared, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+        sets = durable(sets)
+        self.links = durable(_confirm(_agreeing(stars, marks), sets))
+        self.found = components(self.links)
+
+        # members of buckets that still have different components
+        labelled = members.join(self.found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        content = [F.count("*"), F.bit_xor(F.xxhash64("id")), F.bit_xor(F.xxhash64("id", F.lit(1)))]
+        mixed = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed"), F.struct(*[c.alias(f"c{k}") for k, c in enumerate(content)]).alias("content")).where("mixed")
+        mixed = mixed.groupBy("content").agg(F.min("bucket").alias("bucket")).select("bucket")
+        rest = durable(labelled.join(mixed, "bucket").select("bucket", "id", "component", "n_shingles"))
+        if rest.isEmpty():
+            return
+        likely = _compared(rest, marks.withColumnRenamed("marks", "payload"), F.lit(BANDS * ROWS + 40), _likely, "bucket bigint, id bigint").distinct()
+        rest = durable(rest.join(likely, ["bucket", "id"], "left_semi"))
+        late = durable(_compared(rest, sets.withColumnRenamed("shingles", "payload"), 8 * F.col("n_shingles") + 40, _across, "a bigint, b bigint"))
+        if not late.isEmpty():
+            self.links = self.links.union(late)
+            self.found = components(self.links)
+
+    def named(self, found: DataFrame) -> DataFrame:
+        """(set_key, id, least, component) of each class, by the components given."""
+        return self.classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each document.
+    """doc_id, n_shingles, component_id and kept for each row.
 
-    A null, empty or blank text has no shingles and is linked with nothing. Rows that repeat a doc_id get the same
-    component; if a doc_id has several texts, links of any of them count. A row without doc_id gets the smallest doc_id with the same shingle set, or null; a set
-    that only such rows have is not linked further. kept: doc_id is component_id (true where both are null).
+    A null, empty or blank text has no shingles and is linked with nothing. Rows that repeat a doc_id are linked with one another whatever their
+    texts, so that a doc_id has one component; n_shingles is that of the row's own text, and of rows with the smallest doc_id all are kept. A row without doc_id gets
+    the smallest doc_id of texts with the same shingle set, or null; a set that only such rows have is not linked further. kept: doc_id is component_id (true where
+    both are null). Other columns are left out; an empty table gives an empty one.
     """
-    small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = durable(texts.mapInArrow(_signed, f"doc_id {kind}, n_shingles bigint, set_key binary, marks binary, bands array<bigint>"))
-    some = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = durable(some.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"), F.first("bands").alias("bands")))
-
-    placed = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = placed.groupBy("bucket").agg(F.min(F.struct("id", "n_shingles")).alias("center"), F.count("*").alias("members")).where("members > 1")
-    members = durable(placed.join(buckets, "bucket"))
-    near = _near_sizes(F.col("n_shingles"), F.col("center.n_shingles")) & (F.col("id") != F.col("center.id"))
-    stars = durable(members.where(near).select(F.col("id").alias("a"), F.col("center.id").alias("b")).distinct())
-    marks = classes.select("id", "marks")
-    shared = members.select("id").distinct()
-    needed = texts.join(shared.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = durable(needed.mapInArrow(_sets, f"id {kind}, shingles binary"))
-    links = durable(_confirm(_agreeing(stars, marks), sets))
-    found = components(links)
-
-    # members of buckets that still have different components
-    labelled = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
-    open_ = durable(labelled.join(mixed, "bucket").select("bucket", "members", "id", "component", "n_shingles", "center"))
-    few = open_.where(F.col("members") <= SMALL)
-    other = few.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("id", "component", "n_shingles")])
-    pairs = few.join(other, "bucket").where((F.col("id") > F.col("other_id")) & (F.col("component") != F.col("other_component")) & _near_sizes(F.col("n_shingles"), F.col("other_n_shingles")))
-    pairs = pairs.select(F.col("id").alias("a"), F.col("other_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    late = _confirm(_agreeing(pairs, marks), sets)
-
-    many = open_.where(F.col("members") > SMALL)
-    if not many.isEmpty():
-        chains = components(many.select(F.col("id").alias("a"), F.col("center.id").alias("b"))).withColumnRenamed("component", "chain")
-        rest = durable(many.select("id", "component", "n_shingles").distinct().join(chains, "id"))
-        size = rest.groupBy("chain").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed")
-        rest = rest.join(size, "chain").join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        rest = rest.select("chain", "id", "component", "n_shingles", "shingles", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        late = late.union(rest.groupBy("chain", "low", "high").applyInPandas(_across, f"a {kind}, b {kind}"))
-    late = durable(late)
-    if not late.isEmpty():
-        found = components(links.union(late))
-
-    named = classes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    graph = _Graph(docs)
+    found, signed = graph.found, graph.signed
+    if graph.repeated:
+        own = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", graph.number.alias("id")).distinct()
+        firsts = own.groupBy("doc_id").agg(F.min("id").alias("b"))
+        again = own.join(firsts, "doc_id").where("id != b").select(F.col("id").alias("a"), "b")
+        found = components(graph.links.union(again))
+    named = graph.named(found)
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("set_key", "component_id")
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that near_duplicates keeps, one row for each doc_id, with all their columns; rows without doc_id stay, since no decision can name them."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    with_id = docs.join(kept.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of linked texts, that with the smallest doc_id, with all its columns whatever their names; rows without shingles stay.
+
+    Rows that repeat a doc_id are told apart by their texts: each text that is linked with no other stays, and rows that repeat a doc_id and a text
+    become one. Rows without doc_id stay, since no decision can name them. An empty table gives an empty one.
+    """
+    graph = _Graph(docs)
+    first = graph.named(graph.found).groupBy("component").agg(F.min(F.struct("least", "set_key")).alias("first"))
+    first = durable(first.select(F.col("first.least").alias("doc_id"), F.col("first.set_key").alias("set_key")))
+    if not graph.repeated:
+        blank = graph.signed.where("set_key IS NULL AND doc_id IS NOT NULL").select("doc_id")
+        kept = first.select("doc_id").union(blank).distinct()
+        with_id = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]) if _repeats(blank) else docs.join(kept, "doc_id", "left_semi")
+        return with_id.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    row = docs.where("doc_id IS NOT NULL").select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    keyed = row.mapInArrow(_keyed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row {row.schema['row'].dataType.simpleString()}, set_key binary")
+    blank = keyed.where("set_key IS NULL")
+    kept = keyed.join(first, ["doc_id", "set_key"], "left_semi").select("doc_id", "row", "set_key").unionByName(blank).dropDuplicates(["doc_id", "set_key"])
+    return kept.select("row.*").unionByName(docs.where("doc_id IS NULL"))
+
+
+def _repeats(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -74,6 +75,9 @@ def test_chains_and_a_large_near_copy_group(spark, words, monkeypatch):
         texts[2000 + i] = " ".join(rng.sample(words, 60))
     monkeypatch.setattr(N, "BLOCK", 16)
     check(spark, texts)
+    monkeypatch.setattr(N, "BLOCK", 2048)
+    monkeypatch.setattr(N, "CALL_BYTES", 20_000)
+    check(spark, texts)
 
 
 def test_empty_table(spark):
@@ -86,3 +90,51 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(120)] + [(500, 600), (600, 550)], "a long, b long")
     found = {r.id: r.component for r in N.components(edges).collect()}
     assert all(found[i] == 0 for i in range(121)) and found[550] == found[600] == found[500] == 500
+
+
+def test_a_doc_id_has_one_component_and_no_text_is_lost(spark):
+    rows = [(1, "a b c d e", "x"), (5, "a b c d e", "x"), (5, "q r s t u", "x"), (5, "q r s t u", "x"), (6, "q r s t u", "x"), (7, None, "x"), (7, "", "x"), (None, "q r s t u", "x"), (8, "only this one here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, set_key string")
+    found = {(r.doc_id, r.component_id) for r in N.near_duplicates(docs).collect()}
+    assert found == {(1, 1), (5, 1), (6, 1), (7, 7), (None, 1), (8, 8)}
+    kept = sorted(((r.doc_id, r.text) for r in N.keep_first(docs).collect()), key=str)
+    assert [k for k in kept if k[0] != 7] == sorted([(1, "a b c d e"), (5, "q r s t u"), (8, "only this one here"), (None, "q r s t u")], key=str)
+    assert len([k for k in kept if k[0] == 7]) == 1 and N.keep_first(docs).columns == docs.columns
+
+
+def test_blank_texts_stay_once(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, ""), (3, None), (4, " ")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in N.keep_first(docs).collect()) == [1, 3, 4]
+
+
+def test_recall_on_the_given_documents(spark):
+    """All links of 10,000 documents, found by indexing the rarest shingles of each: components must be the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = sets_of({r.doc_id: r.text for r in docs.collect()})
+    df = Counter(g for s in sets.values() for g in s)
+    index, parent = {}, {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = 0
+    for k in sorted(sets):
+        mine = sorted(sets[k], key=lambda g: (df[g], g))
+        n = len(mine)
+        prefix = mine[: n - -(-85 * n // 100) + 1]  # two linked sets share one of their rarest shingles
+        for other in {o for g in prefix for o in index.get(g, ())}:
+            if find(other) == find(k):
+                continue
+            both = len(sets[k] & sets[other])
+            if 100 * both >= 85 * (n + len(sets[other]) - both):
+                links += 1
+                x, y = find(k), find(other)
+                parent[max(x, y)] = min(x, y)
+        for g in prefix:
+            index.setdefault(g, []).append(k)
+    found = {r.doc_id: r.component_id for r in N.near_duplicates(docs).collect()}
+    wrong = sum(found[k] != find(k) for k in sets)
+    assert links > 500 and wrong <= 0.01 * links, (links, wrong)
