@@ -32,8 +32,9 @@ COMMON = 1 << 18
 #: Tokens of a training step, noise words of a step, and noise words that count for each token.
 BATCH, NOISE, PER_TOKEN = 4096, 64, 24
 RATE = 0.08
-#: Rounds of averaging; tokens of a bucket, and buckets of a round at most (beyond, buckets get larger: a task streams its bucket).
-ROUNDS, BUCKET_TOKENS, MOST_BUCKETS = 3, 4_000_000, 4096
+#: Rounds of averaging; tokens of a bucket at least, in all and for each word of the model (so that what buckets send stays a share of the text); buckets of a
+#: round at most (beyond, buckets get larger: a task streams its bucket); changes that are summed at once.
+ROUNDS, BUCKET_TOKENS, TOKENS_PER_WORD, MOST_BUCKETS, AT_ONCE = 3, 4_000_000, 80, 4096, 64
 #: The hash that stands for a text's end.
 END = np.uint64(0)
 _CHUNK = 1024
@@ -274,7 +275,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Parameters:
     """
     context = docs.sparkSession.sparkContext
     shared, parameters = context.broadcast(vocab), Parameters(vocab)
-    per_round = min(MOST_BUCKETS, max(1, -(-vocab.tokens // (ROUNDS * BUCKET_TOKENS))))
+    per_round = min(MOST_BUCKETS, max(1, -(-vocab.tokens // (ROUNDS * max(BUCKET_TOKENS, TOKENS_PER_WORD * len(vocab.prior))))))
     place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     text = F.col("text").cast("string")
     dealt = docs.select(text.alias("text"), F.xxhash64("doc_id", text, place).alias("order"))
@@ -283,8 +284,10 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Parameters:
         start = context.broadcast(parameters.flat())
         mine = dealt.where(F.col("bucket") % ROUNDS == turn).repartition(per_round, "bucket").sortWithinPartitions("bucket", "order")
         sums = mine.select("bucket", "text").mapInArrow(_trained(shared, start, RATE / (1 + turn)), "part int, bucket bigint, total array<float>")
-        few = sums.groupBy("part", (F.col("bucket") % 61).alias("at")).agg(F.collect_list(F.struct("bucket", "total")).alias("all")).select("part", "at", _summed("total"))
-        added = few.groupBy("part").agg(F.collect_list(F.struct("at", "total")).alias("all")).select("part", _summed("total"))
+        if per_round > AT_ONCE:
+            at = F.floor(F.col("bucket") / (ROUNDS * AT_ONCE)).alias("at")
+            sums = sums.groupBy("part", at).agg(F.collect_list(F.struct("bucket", "total")).alias("all")).select("part", F.col("at").alias("bucket"), _summed("total"))
+        added = sums.groupBy("part").agg(F.collect_list(F.struct("bucket", "total")).alias("all")).select("part", _summed("total"))
         table = added.toArrow().sort_by("part")
         if table.num_rows:
             flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in table["total"].chunks])
@@ -296,17 +299,27 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Parameters:
     return parameters
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """log of the sum of exp of each row."""
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+def _log_probability(context: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """log of the share that the vector `chosen` has in the softmax of each context's products with all vectors."""
+    scores = context @ vectors.T
+    mine = scores[np.arange(len(chosen)), chosen].astype(np.float64)
+    np.exp(scores, out=scores)
+    total = scores.sum(axis=1, dtype=np.float64)
+    far = np.flatnonzero(~np.isfinite(total) | (total < 1e-30))  # out of the range of single precision
+    out = mine - np.log(np.where(total > 0, total, 1.0))
+    if len(far):
+        scores = context[far].astype(np.float64) @ vectors.T.astype(np.float64)
+        top = scores.max(axis=1)
+        out[far] = scores[np.arange(len(far)), chosen[far]] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    return out
 
 
 class Scorer:
-    """Normalised log-probabilities (base 10) of a symbol after two symbols."""
+    """Normalised log-probabilities (base 10) of a symbol after two symbols. A bias is one more coordinate, against a one in the context."""
 
     def __init__(self, p: Parameters) -> None:
         self.p = p
+        self.k, self.q = (np.concatenate((vectors, bias[:, None]), axis=1) for vectors, bias in ((p.k, p.class_bias), (p.q, p.bias)))
 
     def log10(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         p = self.p
@@ -314,15 +327,16 @@ class Scorer:
         order = np.argsort(p.group[w], kind="stable")  # tokens of a class together
         for i in range(0, len(w), _SCORED):
             at = order[i : i + _SCORED]
-            context, group = p.r1[a[at]] + p.r2[b[at]], p.group[w[at]]
-            scores = context @ p.k.T + p.class_bias
-            out[at] = scores[np.arange(len(at)), group] - _log_sum(scores)
+            group = p.group[w[at]]
+            context = np.ones((len(at), WIDTH + 1), dtype=np.float32)
+            np.add(p.r1[a[at]], p.r2[b[at]], out=context[:, :WIDTH])
+            out[at] = _log_probability(context, self.k, group)
             edges = np.concatenate((np.flatnonzero(np.diff(group, prepend=-1)), [len(at)]))
             for begin, end in zip(edges[:-1], edges[1:], strict=True):
                 first, last = p.first[group[begin]], p.first[group[begin] + 1]
-                mine = at[begin:end]
-                scores = context[begin:end] @ p.q[first:last].T + p.bias[first:last]
-                out[mine] += scores[np.arange(end - begin), w[mine] - first] - _log_sum(scores)
+                if last - first > 1:
+                    mine = at[begin:end]
+                    out[mine] += _log_probability(context[begin:end], self.q[first:last], w[mine] - first)
         return out / math.log(10)
 
 
