@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,9 +24,9 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared checkpoint folder; later jobs read them and survive lost executors.
 
-    The folder is the one named in spark.checkpoint.dir. Where that is unset, as in tests, a temporary one is taken.
+    The folder is the one named in spark.checkpoint.dir (`checkpoint_folder`).
     """
-    _checkpoint_folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -33,9 +34,8 @@ class Scratch:
     """Tables of a loop as Parquet in the shared checkpoint folder: their sizes are known, so that Spark sends small ones to all tasks by itself."""
 
     def __init__(self, spark: SparkSession, name: str = "scratch") -> None:
-        _checkpoint_folder(spark)
         self.spark, self.count = spark, 0
-        self.path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -49,9 +49,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfmark-"))
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. Where that is unset, a session on one machine takes a temporary one; on a cluster that is an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shelfmark-"))
+    return context.getCheckpointDir()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -3,27 +3,29 @@
 A payload becomes rows of record identifier and chunk number, each with a part of bounded size and the digest of the payload
 so far; no step builds a record as a whole. Each row is written as a WARC record of its own: the first chunk as
 `response`, the others as `continuation` records of the same segmented record. Payloads that occurred before are
-`revisit` records. Spark's text writer writes the archives, since records end with two line breaks, and its reader
-streams them back line by line; the digest is taken again while the lines go by.
+`revisit` records. Every record carries the digest of its block, and each segment also the payload's digest so far, so that a
+damaged chunk is told where it stands. Spark's text writer writes the archives, since records end with two line breaks, and its reader
+streams them back line by line; the digests are taken again while the lines go by and held against those written.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Scratch, durable, small_batches
 
 #: Bytes of a chunk; bytes of chunks that are handed on together.
 CHUNK, TOGETHER = 64 << 10, 4 << 20
 #: Equal payloads of this many bytes are written once.
 LEAST_BYTES = 100
+#: Digests that are sent to all tasks at most (about 100 bytes each); beyond, payloads are joined to them.
+MOST_BROADCAST = 500_000
 #: Archives have a fixed date, so that the same pages give the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n"
@@ -74,7 +76,11 @@ def record_table(pages: DataFrame) -> DataFrame:
     """
     small_batches(pages.sparkSession)
     bodies = payload(pages)
-    firsts = bodies.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("payload_digest", "refers_to")
+    # only digests and ids are grouped; payloads move if the digests that occur again are too many for a broadcast
+    firsts = bodies.select("page_id", "payload_bytes", "payload_digest").where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("payload_digest", "refers_to")
+    firsts = durable(firsts)
+    if firsts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        firsts = F.broadcast(firsts)
     joined = bodies.join(firsts, "payload_digest", "left")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -82,13 +88,18 @@ def record_table(pages: DataFrame) -> DataFrame:
     return marked.mapInArrow(_chunked, f"page_id {kind}, url string, payload_bytes bigint, payload_digest string, refers_to {kind}, chunk_no bigint, digest_so_far string, data binary")
 
 
+def _written_id(column: str) -> Column:
+    """An id as part of a URN: `id-` and its text, encoded as in a URL; `none` for null."""
+    return F.coalesce(F.concat(F.lit("id-"), F.url_encode(F.col(column).cast("string"))), F.lit("none"))
+
+
 def _record() -> Column:
     """A chunk's row as a WARC record, without the two line breaks at its end."""
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit(_END))
 
-    urn = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    urn = F.concat(F.lit("<urn:page:"), _written_id("page_id"))
     first = F.col("chunk_no") == 0
     revisit = F.col("refers_to").isNotNull()
     last = (F.col("chunk_no") + 1) * CHUNK >= F.col("payload_bytes")
@@ -103,10 +114,12 @@ def _record() -> Column:
         line("WARC-Date", F.lit(DATE)),
         F.when(first, F.coalesce(line("WARC-Target-URI", url), none)).otherwise(line("WARC-Segment-Origin-ID", F.concat(urn, F.lit(">")))),
         F.when(first, line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest")))).otherwise(none),
-        F.coalesce(F.when(first & revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))), F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_END}"))), none),
+        F.coalesce(F.when(first & revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), _written_id("refers_to"), F.lit(">"))), F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_END}"))), none),
         F.when(~first | ~last & ~revisit, line("WARC-Segment-Number", (F.col("chunk_no") + 1).cast("string"))).otherwise(none),
         F.when(~first & last, line("WARC-Segment-Total-Length", (F.octet_length(http) + F.col("payload_bytes")).cast("string"))).otherwise(none),
         F.when(first, F.lit(f"Content-Type: application/http; msgtype=response{_END}")).otherwise(none),
+        line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.sha2(block, 256))),
+        F.when(revisit, none).otherwise(line("X-Payload-Digest-So-Far", F.concat(F.lit("sha256:"), F.col("digest_so_far")))),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(_END),
     )
@@ -128,6 +141,13 @@ class _Reader:
         self.http = False
         self.page: tuple[bytes, dict[bytes, bytes]] | None = None
         self.size, self.digest, self.announced = 0, hashlib.sha256(), b""
+        self.block, self.expected = hashlib.sha256(), (b"", b"")  # of the record that is read
+
+    def check(self) -> None:
+        """At a block's end: are its digest and the payload's so far those that the record has?"""
+        block, so_far = self.expected
+        if block and block != b"sha256:" + self.block.hexdigest().encode() or so_far and so_far != b"sha256:" + self.digest.hexdigest().encode():
+            raise ValueError(f"a damaged record of {self.page[0].decode()}")
 
     def finished(self) -> tuple | None:
         if self.page is None:
@@ -152,6 +172,7 @@ class _Reader:
         else:
             head, self.head = self.head, None
             self.left = int(head[b"content-length"])
+            self.block, self.expected = hashlib.sha256(), (head.get(b"warc-block-digest", b""), head.get(b"x-payload-digest-so-far", b""))
             if head[b"warc-type"] != b"continuation":
                 row = self.finished()
                 self.page = (head[b"warc-record-id"][len("<urn:page:") : -1], head)
@@ -161,6 +182,7 @@ class _Reader:
     def _block(self, line: bytes) -> None:
         """One line of a block; the line break after it belongs to the block unless that ends with the line."""
         more = len(line) < self.left
+        self.block.update(line + b"\r\n" if more else line)
         if self.http:
             if line.lower().startswith(b"content-length: "):
                 self.announced = line[16:]
@@ -174,6 +196,7 @@ class _Reader:
         self.left -= len(line) + 2 * more
         if not more:
             self.left = -1
+            self.check()
         elif self.left == 0 and not self.http:
             pass  # the block ends with a line break: an empty rest follows
 
@@ -183,8 +206,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         ids, sizes, digests, kinds, refers = zip(*rows, strict=True)
-        number = lambda values: pa.array([int(v) if v else None for v in values], pa.int64())
-        return pa.RecordBatch.from_arrays([number(ids), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(kinds, pa.string()), number(refers)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        name = lambda values: pa.array([unquote_plus(v[3:].decode()) if v.startswith(b"id-") else None for v in values], pa.string())
+        return pa.RecordBatch.from_arrays([name(ids), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(kinds, pa.string()), name(refers)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     for batch in batches:
         rows = [row for line in batch.column("value").to_pylist() if (row := reader.line(line)) is not None]
@@ -194,21 +217,23 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([row])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of each record in the archives of the folder path; digests are taken from the bytes read."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each record in the archives of the folder path; digests are taken from the bytes read.
+
+    A record whose bytes don't have the digests that it was written with is an error.
+    """
+    small_batches(spark)
     lines = spark.read.option("lineSep", _END).text(path).select(F.col("value").cast("binary").alias("value"))
-    return lines.mapInArrow(_lines, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    rows = lines.mapInArrow(_lines, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
+    return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages' archives in the shared checkpoint folder (a temporary one where that is unset), and reads them back.
+    """Writes the pages' archives in the shared checkpoint folder and reads them back; the archives stay there.
 
     A null html is an empty payload; a null page_id is read back as null and never referred to; repeated page_ids
     give a record for each row. An empty table gives no record.
     """
-    spark = pages.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfmark-")
-    path = f"{folder}/warc-{uuid.uuid4().hex}"
+    path = Scratch(pages.sparkSession, "warc").path
     write(pages, path)
-    return read(spark, path)
+    return read(pages.sparkSession, path, pages.schema["page_id"].dataType.simpleString())

@@ -3,6 +3,8 @@ import hashlib
 from collections import Counter
 from pathlib import Path
 
+import pytest
+
 from shelfmark.llm import warc
 
 BIG = "x\r\n" * 50_000 + "\r\ny\r"
@@ -60,3 +62,17 @@ def test_archive_follows_the_format(spark, tmp_path):
         at += 4
     assert kinds == [b"response", b"continuation"]
     assert int(fields[b"WARC-Segment-Total-Length"]) == length
+
+
+def test_ids_of_any_type_and_damage(spark, tmp_path):
+    body = "some words of a page " * 20
+    pages = spark.createDataFrame([("a b>/é", "u", body), (None, "u", body), ("", "u", "x"), ("b", "u", body)], "page_id string, url string, html string").coalesce(1)
+    found = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert found == Counter([("a b>/é", "response", None), (None, "revisit", "a b>/é"), ("", "response", None), ("b", "revisit", "a b>/é")])
+    warc.write(pages.where("page_id = 'b'"), str(tmp_path / "w"))
+    data = gzip.decompress(next(Path(tmp_path / "w").glob("*.gz")).read_bytes())
+    assert b"WARC-Block-Digest: sha256:" in data and b"X-Payload-Digest-So-Far: sha256:" in data
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.warc.gz").write_bytes(gzip.compress(data.replace(b"some words of", b"same words of", 1)))
+    with pytest.raises(Exception, match="damaged record"):
+        warc.read(spark, str(tmp_path / "bad"), "string").collect()
