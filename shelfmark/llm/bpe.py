@@ -5,7 +5,8 @@ a small automaton that follows the pre-tokenisation rules (contractions, an opti
 other signs, white space up to the last before a word). Functions compose associatively, so the composed functions form
 a finite table, and prefix compositions over a whole batch are found block by block, all blocks at once. The states
 before and after a place tell whether a piece begins there. Slices of the UTF-8 bytes then go through a cache of merged
-pieces. Offsets are kept so that a token can be traced to its bytes.
+pieces. The byte offset of each token's end is kept beside its id; decoding puts all tokens of a text in their places by those
+offsets at once.
 """
 
 from __future__ import annotations
@@ -181,6 +182,9 @@ class Coder(dict):
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.joined = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.old.get(piece)
@@ -236,12 +240,21 @@ class Coder(dict):
     def encode(self, pieces: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, pieces))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+    def decode(self, ids: bytes, ends: bytes | None = None) -> bytes:
+        """The bytes of the tokens; with ends each token stands where these say, and ends that are not those of the tokens are an error."""
+        numbers = np.frombuffer(ids, dtype="<u4")
+        sizes = self.sizes[numbers]
+        after = np.cumsum(sizes)
+        if ends is not None and not np.array_equal(after, np.frombuffer(ends, dtype="<u4")):
+            raise ValueError("the offsets are not those of the tokens")
+        if not len(numbers):
+            return b""
+        # the place of each byte in the joined tokens: where its token begins there, and how far the byte is inside it
+        return self.joined[np.repeat(self.first[numbers] - (after - sizes), sizes) + np.arange(after[-1])].tobytes()
 
     def ends(self, ids: bytes) -> bytes:
         """Byte offset of each token's end in its text, as unsigned 32-bit integers."""
-        return np.cumsum([len(self.tokens[i]) for i in np.frombuffer(ids, dtype="<u4").tolist()]).astype("<u4").tobytes()
+        return np.cumsum(self.sizes[np.frombuffer(ids, dtype="<u4")]).astype("<u4").tobytes()
 
 
 _coders: dict[int, Coder] = {}
@@ -286,7 +299,8 @@ def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in as_bytes(batch.column("text"))]
             for i, j in steps(texts):
-                ids = [coder.encode(p) for p in split(texts[i:j])]
+                valid = [t if t.isascii() else t.decode(errors="replace").encode() for t in texts[i:j]]  # bytes that are no UTF-8 become replacement characters
+                ids = [coder.encode(p) for p in split(valid)]
                 arrays = [batch.column("doc_id").slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 names = ["doc_id", "n_tokens", "ids"]
                 if offsets:
@@ -299,20 +313,24 @@ def encode(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """The columns of tokens and decoded, the bytes that the ids stand for. A null in ids gives no bytes."""
+    """The columns of tokens and decoded, the bytes that the ids stand for, put in place by the offsets where there is a column ends. A null in ids gives no bytes."""
     small_batches(tokens.sparkSession)
     ranks = _Ranks(tokens, path)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks)
         for batch in batches:
-            texts = [coder.decode(x or b"") for x in batch.column("ids").to_pylist()]
+            ends = batch.column("ends").to_pylist() if "ends" in batch.schema.names else [None] * batch.num_rows
+            texts = [coder.decode(x or b"", e if x else None) for x, e in zip(batch.column("ids").to_pylist(), ends, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(decoded, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document: encoded, then decoded from the ids alone."""
-    there = decode(encode(docs, path), path)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document: encoded with offsets, then decoded from ids and offsets.
+
+    A null or empty text has no tokens; null and repeated doc_ids are ordinary rows; other columns are left out; an empty table gives an empty one.
+    """
+    there = decode(encode(docs, path, offsets=True), path)
     return there.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
