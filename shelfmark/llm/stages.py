@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import Scratch
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -57,12 +57,24 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str, stages: Sequence[tuple[str, Stage]]) -> DataFrame:
-    """The last stage's rows; every stage before it is written as Parquet under the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfmark-")
+def run(spark: SparkSession, sf_dir: str, stages: Sequence[tuple[str, Stage]], folder: str | None = None) -> DataFrame:
+    """The last stage's rows. Every stage is written as Parquet under `folder` (a new one in the shared checkpoint folder by default), in a folder of its name.
+
+    With a folder of its own a run that failed goes on where it stopped: stages that are complete there are read, not made again.
+    Null texts and blank ones go in the first stage; an empty table passes through all stages; columns beside doc_id and text stay to the last stage but one,
+    whatever their names; rows that repeat a doc_id are told apart by their texts.
+    """
+    folder = folder or Scratch(spark, "pipeline").path
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in stages:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    for k, (name, stage) in enumerate(stages):
+        path = f"{folder}/{k}-{name}"
+        if not _complete(spark, path):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
     return docs
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Was a table written to its end? Spark's committer leaves a mark."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
