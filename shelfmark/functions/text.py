@@ -33,7 +33,11 @@ NOISE = [
     r"由志[愿願]者[^。\n]{0,15}?[提組]供",
     r"字幕志[愿願]者[^。\n]{0,30}",
 ]
+# A phrase said again, what chunks of mere structure are made of, an empty code fence, and what an error rate leaves out.
 REPEATED = r"([\x{4e00}-\x{9fff}]{3,30})(?:[\s,，。、!?！？]*\1){2,}"
+STRUCTURE = r"[ \t\r\n`#|>*_~\-→▪●·•]+"
+FENCE = r"\n[ \t\r\n]*```[a-zA-Z0-9_+-]*[ \t\r\n]*$"
+PUNCTUATION = r"""[\s,，。.、;；:：!！?？"'「」『』()（）\-—·…]+"""
 # Characters that only simplified Chinese has (a sample).
 SIMPLIFIED = "会议记录检统计设进军对开关买卖东车书长门问间闻风飞马鸟龙点级红绿语说读写听讲话让认识谁请谢边这远运动过还货质银钱铁钟错难题华万与专业丛严个临为丽举义乐习乡产亲亿仅从仓仪们价众优传伤体办务"
 
@@ -50,9 +54,8 @@ def strip(text: Column) -> Column:
 def is_low_value(text: Column) -> Column:
     """Has a chunk nothing to retrieve: blank, only structure, or an empty code fence after fewer than 40 characters? NULL counts as blank."""
     bare = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{200b}\x{200c}\x{200d}\x{feff}]", ""))
-    fence = r"\n[ \t\r\n]*```[a-zA-Z0-9_+-]*[ \t\r\n]*$"
-    body = F.regexp_replace(F.regexp_replace(bare, fence, ""), r"[ \t\r\n`#|>*_~\-→▪●·•]+", "")
-    return (F.length(bare) == 0) | (F.length(body) == 0) | (bare.rlike(fence) & (F.length(body) < 40))
+    body = F.regexp_replace(F.regexp_replace(bare, FENCE, ""), STRUCTURE, "")
+    return (F.length(bare) == 0) | (F.length(body) == 0) | (bare.rlike(FENCE) & (F.length(body) < 40))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -138,7 +141,7 @@ def clean_transcript(text: Column) -> Column:
 
 def cer(reference: Column, hypothesis: Column) -> Column:
     """Edits for each character of the reference after punctuation and blanks are removed; an empty reference gives 0 or 1."""
-    bare = lambda c: F.regexp_replace(c, r"""[\s,,。.、;;::!!??"'「」『』()()\-—·…]+""", "")
+    bare = lambda c: F.regexp_replace(c, PUNCTUATION, "")
     a, b = bare(reference), bare(hypothesis)
     return F.when(F.length(a) == 0, F.when(F.length(b) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(a, b) / F.length(a))
 

@@ -1,9 +1,13 @@
-"""Documents to leaf chunks and their parents, as DataFrame operations; greedy folds run over arrays of small numbers only."""
+"""Documents to leaf chunks and their parents, as DataFrame operations; greedy groups are made from arrays of small numbers, an Arrow batch at a time."""
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.text import clean_text, contextualize, estimate_tokens, is_low_value
 
@@ -16,24 +20,41 @@ def leaf_budget(leaf_tokens: int, contextual: bool) -> int:
     return min(leaf_tokens, 380 if contextual else 450)
 
 
-def greedy_groups(sizes: Column, budget: int) -> Column:
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _greedy(sizes: pd.Series, room: pd.Series, least: pd.Series) -> pd.Series:
+    """Group numbers: an element joins the group before if their sum fits in the room and both are below `least`. In time proportional to the elements."""
+    out = []
+    for each, budget, below in zip(sizes, room, least, strict=True):
+        groups, group, total = [], -1, 0
+        for n in () if each is None else each:
+            if group >= 0 and total + n <= budget and total < below and n < below:
+                total += n
+            else:
+                group, total = group + 1, n
+            groups.append(group)
+        out.append(groups)
+    return pd.Series(out)
+
+
+_ANY = float(1 << 53)
+
+
+def greedy_groups(sizes: Column, budget: int | Column) -> Column:
     """Group number of each element: elements join the group before while its sum stays within the budget; one that is larger is a group of its own."""
-    zero = F.struct(F.lit(-1).alias("group"), F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("out"))
+    room = budget if isinstance(budget, Column) else F.lit(budget)
+    return _greedy(sizes.cast("array<bigint>"), room.cast("double"), F.lit(_ANY))
 
-    def step(a: Column, n: Column) -> Column:
-        joins = (a["group"] >= 0) & (a["sum"] + n <= budget)
-        group = F.when(joins, a["group"]).otherwise(a["group"] + 1)
-        return F.struct(group.alias("group"), F.when(joins, a["sum"] + n).otherwise(n.cast("bigint")).alias("sum"), F.concat(a["out"], F.array(group)).alias("out"))
 
-    return F.aggregate(sizes, zero, step, lambda a: a["out"])
+#: A table in a text, without the blanks at its ends; marks without a partner are text.
+_TABLE = r"(?s)\[TABLE_START\]\s*(.*?)\s*\[TABLE_END\]"
 
 
 def split_structure(docs: DataFrame) -> DataFrame:
-    """(file_id, seg, text, is_table): text between tables, and tables whole; blank parts are left out."""
-    marked = F.replace(F.replace("text", F.lit(START), F.lit("\x01T")), F.lit(STOP), F.lit("\x01"))
+    """(file_id, seg, text, is_table): text between tables, and tables whole; blank parts are left out. Two control characters that mark the parts go from the text."""
+    marked = F.regexp_replace(F.translate("text", "\x01\x02", ""), _TABLE, "\x01\x02$1\x01")
     parts = docs.select("file_id", F.posexplode(F.split(marked, "\x01")).alias("seg", "part"))
-    table = F.startswith("part", F.lit("T")) & (F.col("seg") % 2 == 1)
-    out = parts.select("file_id", "seg", F.when(table, F.expr("substr(part, 2)")).otherwise(F.col("part")).alias("text"), table.alias("is_table"))
+    table = F.startswith("part", F.lit("\x02"))
+    out = parts.select("file_id", "seg", F.translate("part", "\x02", "").alias("text"), table.alias("is_table"))
     return out.where(F.length(F.trim(F.regexp_replace("text", r"\s", ""))) > 0)
 
 
@@ -80,23 +101,12 @@ def refine_oversized(chunks: DataFrame, budget: int) -> DataFrame:
 
     body = F.when(F.col("header").isNotNull(), F.slice("lines", 3, F.size("lines"))).otherwise(F.col("lines"))
     pieces = marked.withColumn("pieces", F.when(F.col("over"), F.flatten(F.transform(body, by_sentence))).otherwise(F.array("text")))
-    grouped = pieces.withColumn("g", F.when(F.col("over"), _groups_with_room(F.transform("pieces", lambda x: estimate_tokens(x) + 1), room)).otherwise(F.array(F.lit(0))))
+    grouped = pieces.withColumn("g", F.when(F.col("over"), greedy_groups(F.transform("pieces", lambda x: estimate_tokens(x) + 1), room)).otherwise(F.array(F.lit(0))))
     rows = grouped.select("node_id", "header", "over", F.posexplode(F.arrays_zip("pieces", "g")).alias("pos", "x"))
     parts = rows.groupBy("node_id", F.col("x.g").alias("part"), "header", "over").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x.pieces"))), lambda p: p["pieces"]), "\n").alias("body"))
     return parts.select("node_id", "part", F.when(F.col("header").isNotNull() & F.col("over"), F.concat("header", F.lit("\n"), "body")).otherwise(F.col("body")).alias("text"))
 
 
-def _groups_with_room(sizes: Column, room: Column) -> Column:
-    zero = F.struct(F.lit(-1).alias("group"), F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, n: Column) -> Column:
-        joins = (a["group"] >= 0) & (a["sum"] + n <= room)
-        group = F.when(joins, a["group"]).otherwise(a["group"] + 1)
-        return F.struct(group.alias("group"), F.when(joins, a["sum"] + n).otherwise(n.cast("bigint")).alias("sum"), F.concat(a["out"], F.array(group)).alias("out"))
-
-    return F.aggregate(sizes, zero, step, lambda a: a["out"])
-
-
 def merge_small(chunks: DataFrame, budget: int, tokens: Column | None = None) -> DataFrame:
     """(file_id, chunk_index, text, page_no, merged): neighbours below half the budget are put together until they reach it; the first one's page counts.
 
@@ -104,16 +114,9 @@ def merge_small(chunks: DataFrame, budget: int, tokens: Column | None = None) ->
     """
     cost = tokens if tokens is not None else estimate_tokens(F.col("text"))
     rows = chunks.select("file_id", F.struct("chunk_index", "text", "page_no", cost.alias("n")).alias("x"))
-    half = budget / 2
     each = rows.groupBy("file_id").agg(F.array_sort(F.collect_list("x")).alias("all"))
-    zero = F.struct(F.lit(-1).alias("group"), F.lit(1 << 40).cast("bigint").alias("sum"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, n: Column) -> Column:
-        joins = (a["sum"] < half) & (n < half)
-        group = F.when(joins, a["group"]).otherwise(a["group"] + 1)
-        return F.struct(group.alias("group"), F.when(joins, a["sum"] + n).otherwise(n.cast("bigint")).alias("sum"), F.concat(a["out"], F.array(group)).alias("out"))
-
-    grouped = each.withColumn("g", F.aggregate(F.transform("all", lambda x: x["n"]), zero, step, lambda a: a["out"]))
+    sizes = F.transform("all", lambda x: x["n"]).cast("array<bigint>")
+    grouped = each.withColumn("g", _greedy(sizes, F.lit(_ANY), F.lit(budget / 2)))
     pairs = grouped.select("file_id", F.inline(F.arrays_zip("all", "g")))
     packed = pairs.groupBy("file_id", F.col("g").alias("chunk_index")).agg(F.array_sort(F.collect_list("all")).alias("all"))
     return packed.select("file_id", "chunk_index", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("text"), F.col("all")[0]["page_no"].alias("page_no"), F.size("all").alias("merged"))
@@ -161,7 +164,19 @@ def chunk_corpus(docs: DataFrame, leaf_tokens: int = LEAF_TOKENS, parent_tokens:
     return build_hierarchy(clean_leaves(pack_sentences(docs, leaf_tokens)), parent_tokens)
 
 
+def structured_chunks(docs: DataFrame, leaf_tokens: int = LEAF_TOKENS) -> DataFrame:
+    """(file_id, chunk_index, text): tables whole and sentences packed between them, what is over the budget cut, small neighbours merged, clean."""
+    parts = split_structure(docs.withColumn("text", clean_text(F.col("text"))))
+    place = F.struct("file_id", "seg").alias("file_id")
+    packed = pack_sentences(parts.where("NOT is_table").select(place, "text"), leaf_tokens)
+    tables = parts.where("is_table").select(place, F.lit(0).alias("chunk_index"), "text")
+    pieces = refine_oversized(packed.unionByName(tables).select(F.struct("file_id.file_id", "file_id.seg", "chunk_index").alias("node_id"), "text"), leaf_tokens)
+    small = pieces.select(F.col("node_id.file_id").alias("file_id"), F.struct("node_id.seg", "node_id.chunk_index", "part").alias("chunk_index"), "text", F.lit(None).cast("int").alias("page_no"))
+    return clean_leaves(merge_small(small, leaf_tokens).select("file_id", "chunk_index", "text"))
+
+
 def with_context(leaves: DataFrame, prefix: Column, file_name: Column) -> DataFrame:
+    """Leaves whose text has a prefix that tells where it stands, the file name where the prefix fails."""
     return leaves.withColumn("text", contextualize(F.col("text"), prefix, file_name))
 
 
@@ -188,16 +203,42 @@ def provenance(chunks: DataFrame) -> DataFrame:
     return chunks.select("node_id", kind.alias("content_type"), page.alias("page_no"), F.array_distinct(F.filter(F.transform("items", lambda x: x["heading"]), lambda h: h.isNotNull())).alias("headings"))
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    """Texts with their character references decoded, also the named ones, of which there are over two thousand."""
+    return text.map(unescape, na_action="ignore")
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, block_index, text, heading): visible blocks of pages with the heading they stand under; scripts and styles are left out."""
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|head)\b.*?</\1>", ""), r"(?s)<!--.*?-->", "")
-    marked = F.regexp_replace(bare, r"(?i)<(h[1-6])\b[^>]*>", "\x01H")
+    """(page_id, block_index, text, heading, headings): visible blocks of pages with the heading they stand under and those above it; scripts and styles are left out."""
+    bare = F.regexp_replace(F.translate("html", "\x01\x02", ""), r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", "")
+    marked = F.regexp_replace(bare, r"(?i)<h([1-6])\b[^>]*>", "\x01\x02$1")
     blocks = F.split(F.regexp_replace(marked, r"(?i)</?(p|div|h[1-6]|li|ul|ol|table|tr|td|th|article|section|nav|footer|header|br|body|html|main|aside)\b[^>]*>", "\x01"), "\x01+")
     rows = pages.select("page_id", F.posexplode(blocks).alias("at", "raw"))
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("raw"), r"^H", ""), r"<[^>]*>", ""), r"\s+", " "))
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    rows = rows.select("page_id", "at", text.alias("text"), F.startswith("raw", F.lit("H")).alias("is_heading")).where(F.length("text") > 0)
+    level = F.when(F.startswith("raw", F.lit("\x02")), F.substring("raw", 2, 1).cast("int"))
+    plain = F.regexp_replace(F.regexp_replace("raw", "^\x02[1-6]", ""), r"<[^>]*>", "")
+    decoded = F.when(F.contains(plain, F.lit("&")), _unescaped(plain)).otherwise(plain)
+    text = F.trim(F.regexp_replace(decoded, r"[\s\x{00a0}]+", " "))
+    rows = rows.select("page_id", "at", text.alias("text"), level.alias("level")).where(F.length("text") > 0)
     w = Window.partitionBy("page_id").orderBy("at")
-    out = rows.withColumn("heading", F.last(F.when(F.col("is_heading"), F.col("text")), ignorenulls=True).over(w))
-    return out.select("page_id", (F.row_number().over(w) - 1).alias("block_index"), "text", "heading")
+    seen = {k: F.last(F.when(F.col("level") == k, F.struct("at", "text")), ignorenulls=True).over(w) for k in range(1, 7)}
+    rows = rows.withColumns({f"h{k}": c for k, c in seen.items()})
+    # a heading counts if none of a higher level came after it
+    higher = lambda k: F.greatest(F.lit(-1), *[F.coalesce(F.col(f"h{j}.at"), F.lit(-1)) for j in range(1, k)], F.lit(-1))
+    path = F.array_compact(F.array(*[F.when(F.col(f"h{k}.at") > higher(k), F.col(f"h{k}.text")) for k in range(1, 7)]))
+    return rows.select("page_id", (F.row_number().over(w) - 1).alias("block_index"), "text", path.alias("headings")).select("page_id", "block_index", "text", F.try_element_at("headings", F.lit(-1)).alias("heading"), "headings")
+
+
+def register_table_cells(spark, name: str = "table_cells") -> None:
+    """A table function for SQL: rows (row, col, value) of a Markdown pipe table, as `table_cells` finds them."""
+
+    class Cells:
+        def eval(self, text: str):
+            lines = [x for x in (text or "").split("\n") if "|" in x and x.strip(" \t|:-")]
+            split = lambda x: [c.strip() for c in x.strip().removeprefix("|").removesuffix("|").split("|")]
+            for line in lines[1:]:
+                cells = split(line)
+                for head, cell in list(zip(split(lines[0]), cells, strict=False))[1:]:
+                    yield cells[0], head, cell
+
+    spark.udtf.register(name, F.udtf(Cells, returnType="row string, col string, value string"))

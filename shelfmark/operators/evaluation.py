@@ -60,13 +60,26 @@ def mrr(retrieved: Column, expected: Column) -> Column:
 
 
 def file_eval(results: DataFrame, qa: DataFrame) -> DataFrame:
-    """Per question: recall at 5 and 10 and reciprocal rank over files. results: (query_id, file_id, rank); qa: (query_id, expected ARRAY)."""
+    """Per question: recall at 5 and 10 and reciprocal rank over files. results: (query_id, file_id, rank); qa: (query_id, expected ARRAY).
+
+    The mean over all questions, and what changed against a baseline, comes from `summary`.
+    """
     ranked = dedup_ranked(results, "query_id", "file_id")
     lists = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file_id"))), lambda x: x["file_id"]).alias("files"))
     joined = qa.join(lists, "query_id", "left").withColumn("files", F.coalesce("files", F.array().cast(lists.schema["files"].dataType)))
     return joined.select("query_id", F.round(recall_at_k(F.col("files"), F.col("expected"), 5), 6).alias("recall_5"), F.round(recall_at_k(F.col("files"), F.col("expected"), 10), 6).alias("recall_10"), F.round(mrr(F.col("files"), F.col("expected")), 6).alias("mrr"))
 
 
+def summary(scores: DataFrame, metrics: list[str], baseline: DataFrame | None = None) -> DataFrame:
+    """One row: n, the mean of each metric, and with a baseline (one row of the same metrics, or none) the difference to it, NULL where it lacks the metric."""
+    out = scores.agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in metrics])
+    if baseline is None:
+        return out
+    old = baseline.agg(*[(F.first(m) if m in baseline.columns else F.first(F.lit(None).cast("double"))).alias(f"old_{m}") for m in metrics])
+    both = out.crossJoin(old)  # two single rows
+    return both.select("n", *metrics, *[F.round(F.col(m) - F.col(f"old_{m}"), 6).alias(f"{m}_delta") for m in metrics])
+
+
 def answer_quality(scores: DataFrame) -> DataFrame:
     return scores.agg(F.round(F.avg("faithfulness"), 3).alias("faithfulness"), F.round(F.avg("relevance"), 3).alias("relevance"), F.greatest(F.count("faithfulness"), F.count("relevance")).alias("n_judged"))
 

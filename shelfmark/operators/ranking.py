@@ -30,6 +30,12 @@ def dedup_ranked(df: DataFrame, group: str, key: str) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("first_rank", key)))
 
 
+def rank_by_best(df: DataFrame, group: str, key: str, *order: Column) -> DataFrame:
+    """(group, key, rank): the keys of each group in the order of their best row. Rows become one for each key before any is sent, so that large groups don't meet in a task."""
+    best = df.groupBy(group, key).agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("best"))
+    return best.select(group, key, F.row_number().over(Window.partitionBy(group).orderBy("best", key)).alias("rank"))
+
+
 def dedup_leaves(leaves: DataFrame, file: str = "file_id", at: str = "chunk_index", text: str = "text") -> DataFrame:
     """The first of each file's chunks with the same trimmed text; only hashes are sorted."""
     key = F.xxhash64(F.trim(text))

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from shelfmark.functions.text import fingerprint, or_query, tokenize
 
 from .ranking import top_k
 
-#: Query vectors that are sent to all tasks, in bytes at most; beyond, blocks of queries are joined to blocks of vectors.
-MOST_BROADCAST = 64 << 20
+#: Queries of a block and leaves of a block that a task holds against each other.
+QUERIES, LEAVES = 512, 1024
 
 
 def only_leaves(df: DataFrame) -> DataFrame:
@@ -27,66 +29,116 @@ def apply_cutoff(df: DataFrame, cutoff: float) -> DataFrame:
     return df.where(F.col("score") >= cutoff)
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.stack(rows.to_numpy()).astype(np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+def _packed(df: DataFrame, most: int) -> DataFrame:
+    """The rows of each partition in blocks of at most `most`: a row for each block, a column for each column with the array of its values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, most):
+                part = batch.slice(i, most)
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.concat_arrays([c])) for c in part.columns]
+                yield pa.RecordBatch.from_arrays(lists, names=part.schema.names)
 
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in df.schema))
 
-def dense_topk(queries: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
-    """(query_id, node_id, score, rank): the k leaves of greatest cosine to each query; ties by node_id.
 
-    queries: (query_id, embedding), leaves: (node_id, embedding). Queries are cut into blocks of bounded size; every task
-    holds one block against its leaves by a matrix product and keeps k of each query, so that what is sent has k rows for
-    each query and task. Each block is read by its own pass over the leaves; a query table of ordinary size is one block.
+def _block_topk(queries: DataFrame, leaves: DataFrame, k: int, score: Callable[[dict[str, pa.Array]], np.ndarray]) -> DataFrame:
+    """(query_id, node_id, score, rank): the k best leaves of each query by score(columns of both blocks) -> leaves x queries; zero and less is no hit.
+
+    Where leaves have a `scope` and queries an `asked_scope`, a query gets only leaves of its own scope.
+
+    A stated set of queries against all leaves, block by block: queries are dealt into blocks of QUERIES rows and leaves stay where they are, in
+    blocks of LEAVES rows; every pair of blocks is scored by matrix operations inside a task, which keeps k of each query. So only k rows for each query and task
+    are sent on, and nothing goes through the driver. Spark broadcasts the blocks of queries if they are few, and else pairs partitions.
     """
-    spark = queries.sparkSession
-    width = leaves.select(F.size("embedding")).head()
-    per_block = max(1, MOST_BROADCAST // (8 * max(1, width[0] if width else 1)))
-    total = queries.count()
-    blocks = max(1, -(-total // per_block))
+    blocks = max(1, -(-queries.count() // QUERIES))
+    asked = _packed(queries.repartition(blocks, F.xxhash64("query_id")), QUERIES)
+    both = _packed(leaves, LEAVES).crossJoin(asked)
+    names = [*leaves.columns, *queries.columns]
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (leaves, "node_id"))}
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast(part.select("query_id", "embedding").toPandas())
-        found = leaves.select("node_id", "embedding").mapInPandas(_best_of(sent, k), f"query_id {kinds['query_id']}, node_id {kinds['node_id']}, score double")
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, k, ["query_id"], F.desc("score"), F.col("node_id"))
-
-
-def _best_of(sent, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries = sent.value
-        if not len(queries):
-            return
-        q, best = _unit(queries["embedding"]), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool: list[pd.DataFrame] = []
+        size = limit = 0
+
+        def best() -> pd.DataFrame:
+            return pd.concat(pool).sort_values(["query_id", "score", "node_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
         for batch in batches:
-            if not len(batch):
-                continue
-            scores = (_unit(batch["embedding"]) @ q.T).round(9)
-            ids = batch["node_id"].to_numpy()
-            rows = []
-            for j in range(len(q)):
-                order = np.lexsort((ids, -scores[:, j]))[:k]
-                rows.append(pd.DataFrame({"query_id": queries["query_id"].iloc[j], "node_id": ids[order], "score": scores[order, j]}))
-            best = pd.concat(rows if best is None else [best, *rows]).sort_values(["query_id", "score", "node_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return run
-
-
-def dense_topk_ann(queries: DataFrame, leaves: DataFrame, k: int, tables: int = 12, width: float = 0.9, seed: int = 3) -> DataFrame:
-    """As dense_topk, from candidates that share a bucket of random projections with the query; every leaf is in the index, scores are exact."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df: Normalizer(inputCol="_v", outputCol="vector").transform(df.withColumn("_v", array_to_vector("embedding")))
-    a, b = unit(queries.select("query_id", "embedding")), unit(leaves.select("node_id", "embedding"))
-    model = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(b.select("vector"))
-    keyed = lambda df, key: model.transform(df).select(key, "embedding", F.posexplode("hashes").alias("at", "h")).select(key, "embedding", F.hash("at", F.col("h").cast("string")).alias("bucket"))
-    pairs = keyed(a, "query_id").withColumnRenamed("embedding", "q").join(keyed(b, "node_id").withColumnRenamed("embedding", "v"), "bucket").groupBy("query_id", "node_id").agg(F.first("q").alias("q"), F.first("v").alias("v"))
-    return top_k(pairs.select("query_id", "node_id", cosine(F.col("q"), F.col("v")).alias("score")), k, ["query_id"], F.desc("score"), F.col("node_id"))
+            for i in range(batch.num_rows):
+                columns = {c: batch.column(c).slice(i, 1).flatten() for c in names}
+                scores = score(columns).round(9)
+                if not scores.size:
+                    continue
+                if "scope" in columns:
+                    scores = np.where(columns["scope"].to_numpy(zero_copy_only=False)[:, None] == columns["asked_scope"].to_numpy(zero_copy_only=False)[None, :], scores, 0)
+                n = min(k, len(scores))
+                least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]  # ties with the last one stay in
+                leaf, query = np.nonzero((scores >= least) & (scores > 0))
+                node, asked_by = columns["node_id"].to_numpy(zero_copy_only=False), columns["query_id"].to_numpy(zero_copy_only=False)
+                pool.append(pd.DataFrame({"query_id": asked_by[query], "node_id": node[leaf], "score": scores[leaf, query]}))
+                size += len(leaf)
+                if size > max(50_000, 2 * limit):
+                    pool = [best()]
+                    size = limit = len(pool[0])
+        if pool:
+            yield pa.RecordBatch.from_pandas(best(), preserve_index=False)
+
+    found = both.mapInArrow(run, f"query_id {kinds['query_id']}, node_id {kinds['node_id']}, score double")
+    return top_k(found, k, ["query_id"], F.desc("score"), F.col("node_id"))
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _cosines(columns: dict[str, pa.Array]) -> np.ndarray:
+    # above zero for every pair, so that the k best are found however far they are
+    return _unit(columns["embedding"]) @ _unit(columns["asked"]).T + 2
+
+
+def _scope(df: DataFrame, name: str) -> list[Column]:
+    """The folder that a query asks or a leaf lies in, where there is such a column."""
+    return [F.col("folder_id").cast("string").alias(name)] if "folder_id" in df.columns else []
+
+
+def dense_topk(queries: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
+    """(query_id, node_id, score, rank): the k leaves of greatest cosine to each query; ties by node_id. Rows without embedding don't count.
+
+    queries: (query_id, embedding[, folder_id]), leaves: (node_id, embedding[, folder_id]); with folders on both sides a query gets leaves of its own only.
+    """
+    if not ("folder_id" in queries.columns and "folder_id" in leaves.columns):
+        queries, leaves = queries.select("query_id", "embedding"), leaves.select("node_id", "embedding")
+    asked = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").alias("asked"), *_scope(queries, "asked_scope"))
+    found = _block_topk(asked, leaves.where("embedding IS NOT NULL").select("node_id", "embedding", *_scope(leaves, "scope")), k, _cosines)
+    return found.withColumn("score", F.round(F.col("score") - 2, 9))
+
+
+def dense_topk_ann(queries: DataFrame, leaves: DataFrame, k: int, tables: int = 48, bits: int = 6, seed: int = 3) -> DataFrame:
+    """As dense_topk, from candidates that share a bucket with the query: in each table the signs of `bits` random projections name a vector's bucket.
+
+    Every leaf is in the index and scores are exact. Only ids are joined by bucket; vectors join the distinct candidates.
+    """
+    width = queries.select(F.size("embedding")).head()
+    planes = np.random.default_rng(seed).normal(size=(width[0] if width else 1, tables * bits))
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def keyed(df: DataFrame, key: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    signs = (_unit(batch.column("embedding")) @ planes > 0).reshape(-1, tables, bits)
+                    buckets = signs @ weights + np.arange(tables, dtype=np.int64) * (1 << bits)
+                    yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(buckets.tolist(), pa.list_(pa.int64()))], names=[key, "buckets"])
+
+        kind = df.schema[key].dataType.simpleString()
+        return df.select(key, "embedding").mapInArrow(run, f"{key} {kind}, buckets array<bigint>").select(key, F.explode("buckets").alias("bucket"))
+
+    a, b = queries.where("embedding IS NOT NULL"), leaves.where("embedding IS NOT NULL")
+    pairs = keyed(a, "query_id").join(keyed(b, "node_id"), "bucket").select("query_id", "node_id").distinct()
+    scored = pairs.join(b.select("node_id", F.col("embedding").alias("v")), "node_id").join(a.select("query_id", F.col("embedding").alias("q")), "query_id")
+    return top_k(scored.select("query_id", "node_id", cosine(F.col("q"), F.col("v")).alias("score")), k, ["query_id"], F.desc("score"), F.col("node_id"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -94,21 +146,52 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 9)
 
 
-def bm25_topk(queries: DataFrame, leaves: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def _okapi(k1: float, b: float) -> Callable[[dict[str, pa.Array]], np.ndarray]:
+    """Scores of a block of leaves (tokens) for a block of queries (terms: term, idf, mean length)."""
+
+    def score(columns: dict[str, pa.Array]) -> np.ndarray:
+        terms, tokens = columns["terms"], columns["tokens"]
+        each = terms.flatten()
+        idf = each.field("idf").to_numpy(zero_copy_only=False)
+        mean = each.field("mean")[0].as_py() if len(each) else 1.0
+        words = pc.unique(each.field("term"))
+        length = np.diff(tokens.offsets.to_numpy()).astype(np.float64)
+        leaf = np.repeat(np.arange(len(tokens)), length.astype(np.int64))
+        at = pc.index_in(tokens.flatten(), value_set=words)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        pair, tf = np.unique(leaf[known] * len(words) + pc.drop_null(at).to_numpy(), return_counts=True)
+        leaf, word = np.divmod(pair, max(1, len(words)))
+        weight = np.zeros((len(tokens), len(words)))
+        weight[leaf, word] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[leaf] / mean))
+        asks = np.zeros((len(words), len(terms)))
+        asks[pc.index_in(each.field("term"), value_set=words).to_numpy(), np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))] = idf
+        return weight @ asks
+
+    return score
+
+
+def bm25_topk(queries: DataFrame, leaves: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, segmenter: Column | None = None) -> DataFrame:
     """(query_id, node_id, score, rank): Okapi BM25 over leaves that have any of a query's tokens; ties by node_id.
 
-    queries: (query_id, query), leaves: (node_id, text). Postings are restricted to the queries' terms before they are sent anywhere.
+    queries: (query_id, query[, folder_id]), leaves: (node_id, text[, tokens][, folder_id]); with folders a query gets leaves of its own only. segmenter: tokens of a leaf from another segmenter; a null falls back to the text's own
+    tokens, as does a leaf without `tokens`. Only counts of the queries' terms are sent; scores come from `_block_topk`.
     """
+    whole = "\x00"  # stands for all leaves among the terms
     terms = queries.select("query_id", F.explode(or_query(F.col("query"))).alias("term"))
-    tokens = leaves.select("node_id", tokenize(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
-    totals = tokens.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    postings = tokens.select("node_id", "length", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("node_id", "length", "term").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = terms.join(frequency, "term").join(postings, "term").crossJoin(F.broadcast(totals))  # one row of totals
+    own = tokenize(F.col("text"))
+    given = segmenter if segmenter is not None else (F.col("tokens") if "tokens" in leaves.columns else None)
+    scoped = "folder_id" in queries.columns and "folder_id" in leaves.columns
+    tokens = leaves.select("node_id", (own if given is None else F.coalesce(given, own)).alias("tokens"), *(_scope(leaves, "scope") if scoped else [])).where("tokens IS NOT NULL")
+    asked = terms.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([(whole,)], "term string"))
+    seen = tokens.select(F.size("tokens").alias("length"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(whole)))).alias("term"))
+    counts = seen.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
+    totals = counts.where(F.col("term") == whole).select(F.col("df").alias("docs"), "mean")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scores = weighed.groupBy("query_id", "node_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return top_k(scores, k, ["query_id"], F.desc("score"), F.col("node_id"))
+    weighed = terms.join(counts.select("term", "df"), "term").crossJoin(F.broadcast(totals))  # one row of totals
+    weighed = weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"), "mean")).alias("terms"))
+    if scoped:
+        weighed = weighed.join(queries.select("query_id", *_scope(queries, "asked_scope")), "query_id")
+    return _block_topk(weighed, tokens, k, _okapi(k1, b))
 
 
 def rrf(lists: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:

@@ -47,6 +47,12 @@ def owned_by(df: DataFrame, owner: str) -> DataFrame:
     return df.where(F.col("user_token") == F.lit(owner))
 
 
+def jobs_for_owner(jobs: DataFrame, folders: DataFrame, owner: Column, status: str | None = None) -> DataFrame:
+    """Jobs of the folders that an owner has (a condition over folders), those of one status if it is given."""
+    mine = jobs.join(folders.where(owner).select("folder_id"), "folder_id", "left_semi")
+    return mine if status is None else mine.where(F.col("status") == status)
+
+
 def search_files(files: DataFrame, tag: str | None = None, mime: str | None = None, name: str | None = None) -> DataFrame:
     """Files with a tag and a type that contain a term in any case, and with an exact name; a None does not count."""
     out = files
@@ -98,16 +104,32 @@ def needs_index(files: DataFrame, index: DataFrame, force: bool = False) -> Data
 
 
 def upsert_index(current: DataFrame, updates: DataFrame) -> DataFrame:
-    """The index after updates (file_id, index_status, chunk_count, error): success replaces all fields and clears the error; failure sets status and error only."""
+    """The index after updates (file_id, index_status, chunk_count, error and any other columns of an index row).
+
+    Success replaces all fields that the update has and clears the error; failure sets status and error only. All columns of both tables stay.
+    """
     a, b = current.alias("a"), updates.alias("b")
-    ok = F.col("b.index_status") == "indexed"
+    ok, new = F.col("b.index_status") == "indexed", F.col("b.file_id").isNotNull() & F.col("a.file_id").isNull()
     joined = a.join(b, F.col("a.file_id") == F.col("b.file_id"), "full_outer")
-    return joined.select(
-        F.coalesce("a.file_id", "b.file_id").alias("file_id"),
-        F.coalesce("b.index_status", "a.index_status").alias("index_status"),
-        F.when(ok, F.col("b.chunk_count")).otherwise(F.coalesce("a.chunk_count", F.lit(0))).alias("chunk_count"),
-        F.when(ok, F.lit(None).cast("string")).when(F.col("b.file_id").isNotNull(), F.col("b.error")).otherwise(F.col("a.error")).alias("error"),
-    )
+
+    def field(name: str) -> Column:
+        old = F.col(f"a.{name}") if name in current.columns else F.lit(None)
+        if name == "file_id":
+            return F.coalesce("a.file_id", "b.file_id")
+        if name == "index_status":
+            return F.coalesce("b.index_status", "a.index_status")
+        if name == "error":
+            return F.when(ok, F.lit(None).cast("string")).when(F.col("b.file_id").isNotNull(), F.col("b.error")).otherwise(old)
+        if name not in updates.columns:
+            return old
+        if name == "chunk_count":
+            return F.when(ok, F.col("b.chunk_count")).otherwise(F.coalesce(old, F.lit(0)))
+        if name == "folder_id":  # where a file lies is known whatever comes of it
+            return F.coalesce("b.folder_id", old)
+        return F.when(ok, F.col(f"b.{name}")).when(new, F.lit(None)).otherwise(old)
+
+    names = [*current.columns, *[c for c in updates.columns if c not in current.columns]]
+    return joined.select(*[field(c).alias(c) for c in names])
 
 
 def patch_rows(df: DataFrame, patches: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.text import tokenize
-from shelfmark.operators.chunking import chunk_corpus, split_failures
+from shelfmark.operators.chunking import build_hierarchy, leaf_budget, split_failures, structured_chunks, with_context
 from shelfmark.operators.tables import needs_index, upsert_index
+from shelfmark.sources.durable import durable
+from shelfmark.sources.files import write_chunks
 
 EMBED_BATCH = 50
 DIMENSIONS = 64
@@ -60,15 +62,37 @@ def embed_with(embedder: Callable[[list[str]], list[list[float]]] = hashing_embe
     return F.pandas_udf(run, T.ArrayType(T.FloatType()))
 
 
-def index_corpus(files: DataFrame, index: DataFrame, leaf_tokens: int = 256, parent_tokens: int = 2048, force: bool = False, embed: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
-    """leaves, parents and index after indexing the changed files (file_id, content_hash, text); a file without chunks is recorded as failed, and fails alone."""
+def index_corpus(
+    files: DataFrame, index: DataFrame, leaf_tokens: int = 256, parent_tokens: int = 2048, force: bool = False, embed: Callable[[Column], Column] | None = None,
+    prefix: Callable[[Column], Column] | None = None, segment: Callable[[Column], Column] | None = None, model: str | None = None, now: Column | None = None, path: str | None = None,
+) -> dict[str, DataFrame]:
+    """leaves, parents and index after indexing the changed files (file_id, content_hash, text[, file_name, folder_id]); a file without chunks is recorded as failed, and fails alone.
+
+    Texts are split at tables, cut and merged to the budget; with `prefix` (a writer of context prefixes) a leaf's text begins with its prefix, or the file's name where that fails,
+    and has less room of its own. segment: another segmenter, whose null falls back to the text's own tokens. Leaves are written once (to the table of chunks at `path`, else to the
+    checkpoint folder) before anything counts them. Indexing again what the index has changes nothing.
+    """
     changed = needs_index(files, index, force)
-    leaves, parents = chunk_corpus(changed.select("file_id", "text"), leaf_tokens, parent_tokens)
-    leaves = leaves.withColumn("tokens", tokenize(F.col("text")))
+    extra = [c for c in ("folder_id", "file_name") if c in files.columns]
+    leaves, parents = build_hierarchy(structured_chunks(changed.select("file_id", "text"), leaf_budget(leaf_tokens, prefix is not None)), parent_tokens)
+    if extra:
+        leaves = leaves.join(changed.select("file_id", *extra), "file_id")
+    if prefix is not None:
+        leaves = with_context(leaves, prefix(F.col("text")), F.col("file_name") if "file_name" in extra else F.col("file_id"))
+    own = tokenize(F.col("text"))
+    leaves = leaves.withColumn("tokens", own if segment is None else F.coalesce(segment(F.col("text")), own))
     if embed is not None:
         leaves = leaves.withColumn("embedding", embed(F.col("text")))
-    done = leaves.groupBy("file_id").agg(F.count("*").cast("int").alias("chunk_count")).select("file_id", F.lit("indexed").alias("index_status"), "chunk_count", F.lit(None).cast("string").alias("error"))
-    failed = split_failures(changed, leaves).select("file_id", F.lit("failed").alias("index_status"), F.lit(0).alias("chunk_count"), "error")
+    if path is not None:
+        write_chunks(leaves, path)
+        leaves = files.sparkSession.read.schema(leaves.schema).parquet(path).join(changed.select("file_id"), "file_id", "left_semi")
+    else:
+        leaves = durable(leaves)
+    kept = [c for c in ("folder_id", "content_hash") if c in files.columns]
+    fields = [c.alias(name) for c, name in ((F.lit(model), "embedding_model"), (now, "indexed_at")) if c is not None and (name != "embedding_model" or model is not None)]
+    counts = leaves.groupBy("file_id").agg(F.count("*").cast("int").alias("chunk_count"))
+    done = counts.join(changed.select("file_id", *kept), "file_id").select("file_id", *kept, F.lit("indexed").alias("index_status"), "chunk_count", F.lit(None).cast("string").alias("error"), *fields)
+    failed = split_failures(changed, leaves).join(changed.select("file_id", *kept), "file_id").select("file_id", *kept, F.lit("failed").alias("index_status"), F.lit(0).alias("chunk_count"), "error", *fields)
     return {"leaves": leaves, "parents": parents, "index": upsert_index(index, done.unionByName(failed))}
 
 

@@ -47,8 +47,8 @@ def b2_owned_by(c: Corpus) -> DataFrame:
 @query("""SELECT status, count(*) AS n FROM job_events WHERE folder_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) GROUP BY status""", "job_events")
 def b3_jobs_for_owner(c: Corpus) -> DataFrame:
     """Jobs of the folders that an owner has, by status."""
-    mine = c.customer.where("c_nationkey < 12").select(F.col("c_custkey").alias("folder_id"))
-    return c.job_events.join(mine, "folder_id", "left_semi").groupBy("status").agg(F.count("*").alias("n"))
+    folders = c.customer.select(F.col("c_custkey").alias("folder_id"), "c_nationkey")
+    return T.jobs_for_owner(c.job_events, folders, F.col("c_nationkey") < 12).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("SELECT file_id FROM files WHERE len(list_filter(tags, lambda t: contains(lower(t), 'rc1'))) > 0 AND contains(lower(mime_type), 'html')", "files")
@@ -172,11 +172,12 @@ def c12_parents_of(c: Corpus) -> DataFrame:
 @query(
     """WITH u AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'indexed' END AS index_status, 7 AS chunk_count, 'boom' AS error FROM documents WHERE doc_id % 2 = 0)
     SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(b.index_status, a.index_status) AS index_status, CASE WHEN b.index_status = 'indexed' THEN b.chunk_count ELSE coalesce(a.chunk_count, 0) END AS chunk_count,
-    CASE WHEN b.index_status = 'indexed' THEN NULL WHEN b.file_id IS NOT NULL THEN b.error ELSE a.error END AS error FROM file_index a FULL JOIN u b ON a.file_id = b.file_id""",
+    CASE WHEN b.index_status = 'indexed' THEN NULL WHEN b.file_id IS NOT NULL THEN b.error ELSE a.error END AS error, a.folder_id, CASE WHEN b.index_status = 'indexed' THEN 'new' ELSE a.content_hash END AS content_hash,
+    a.embedding_model, CASE WHEN b.index_status = 'indexed' THEN TIMESTAMP '2024-01-31' ELSE a.indexed_at END AS indexed_at FROM file_index a FULL JOIN u b ON a.file_id = b.file_id""",
     "file_index",
 )
 def a11_upsert_index(c: Corpus) -> DataFrame:
-    updates = c.documents.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("file_id"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("indexed").alias("index_status"), F.lit(7).alias("chunk_count"), F.lit("boom").alias("error"))
+    updates = c.documents.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("file_id"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("indexed").alias("index_status"), F.lit(7).alias("chunk_count"), F.lit("boom").alias("error"), F.lit("new").alias("content_hash"), F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")).alias("indexed_at"))
     return T.upsert_index(c.file_index, updates)
 
 
@@ -239,6 +240,15 @@ def w4_dedup_ranked(c: Corpus) -> DataFrame:
     return R.dedup_ranked(ranked, "lang", "source")
 
 
+@query(
+    """WITH r AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents), f AS (SELECT lang, source, min(rank) AS first_rank FROM r GROUP BY ALL)
+    SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY first_rank, source) AS rank FROM f"""
+)
+def w4_rank_by_best(c: Corpus) -> DataFrame:
+    """The same order without ranking all rows: each source's best row comes first."""
+    return R.rank_by_best(c.documents, "lang", "source", -F.col("n_chars"), F.col("doc_id"))
+
+
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(DISTINCT trim(line)) AS lines FROM l GROUP BY doc_id")
 def w5_dedup_leaves(c: Corpus) -> DataFrame:
     lines = c.documents.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))

@@ -27,12 +27,14 @@ _GREEDY = """r(doc_id, i, g, run) AS (SELECT doc_id, i, 0, t FROM n WHERE i = 1
 
 
 @query(
-    r"""WITH m AS (SELECT doc_id, regexp_replace(text, '([^\n]*\|[^\n]*)', '@\1@', 'g') AS t FROM documents), p AS (SELECT doc_id, unnest(string_split(t, '@')) AS part, generate_subscripts(string_split(t, '@'), 1) - 1 AS seg FROM m WHERE NOT contains(t, '@x'))
-    SELECT doc_id AS file_id, seg, sha256(part) AS digest, seg % 2 = 1 AS is_table FROM p WHERE length(regexp_replace(part, '\s', '', 'g')) > 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE contains(text, '@'))"""
+    r"""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '[TABLE_END] ' ELSE '' END || regexp_replace(text, '([^\n]*\|[^\n]*)', chr(1) || '\1' || chr(1), 'g') AS t FROM documents),
+    p AS (SELECT doc_id, unnest(string_split(t, chr(1))) AS part, generate_subscripts(string_split(t, chr(1)), 1) - 1 AS seg FROM m)
+    SELECT doc_id AS file_id, seg, sha256(CASE WHEN seg % 2 = 1 THEN regexp_replace(part, '^\s+|\s+$', '', 'g') ELSE part END) AS digest, seg % 2 = 1 AS is_table FROM p WHERE length(regexp_replace(part, '\s', '', 'g')) > 0"""
 )
 def k1_split_structure(c: Corpus) -> DataFrame:
-    """Lines with a bar are tables; texts with an at sign are left out, since the SQL marks tables by it."""
-    marked = _docs(c).where(~F.contains("text", F.lit("@"))).withColumn("text", F.regexp_replace("text", r"([^\n]*\|[^\n]*)", r"[TABLE_START]$1[TABLE_END]"))
+    """Lines with a bar are tables; every tenth text begins with an end mark that has no partner."""
+    stray = F.when(F.col("file_id") % 10 == 0, F.lit("[TABLE_END] ")).otherwise(F.lit(""))
+    marked = _docs(c).withColumn("text", F.concat(stray, F.regexp_replace("text", r"([^\n]*\|[^\n]*)", r"[TABLE_START]$1[TABLE_END]")))
     return K.split_structure(marked).select("file_id", "seg", F.sha2("text", 256).alias("digest"), "is_table")
 
 
@@ -83,12 +85,18 @@ def k7_split_failures(c: Corpus) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE changed AS (SELECT file_id, text FROM files f WHERE NOT EXISTS (SELECT 1 FROM file_index i WHERE i.file_id = f.file_id AND i.content_hash = f.content_hash AND index_status = 'indexed'))
-    SELECT coalesce(i.file_id, c.file_id) AS file_id, CASE WHEN c.file_id IS NOT NULL THEN 'indexed' ELSE i.index_status END AS index_status FROM file_index i FULL JOIN changed c ON i.file_id = c.file_id""".replace("WITH RECURSIVE ", "WITH "),
+    """WITH changed AS (SELECT * FROM files f WHERE NOT EXISTS (SELECT 1 FROM file_index i WHERE i.file_id = f.file_id AND i.content_hash = f.content_hash AND index_status = 'indexed'))
+    SELECT coalesce(i.file_id, c.file_id) AS file_id, coalesce(c.folder_id, i.folder_id) AS folder_id, CASE WHEN c.file_id IS NOT NULL THEN 'indexed' ELSE i.index_status END AS index_status,
+    coalesce(c.content_hash, i.content_hash) AS content_hash, CASE WHEN c.file_id IS NOT NULL THEN 'model-c' ELSE i.embedding_model END AS embedding_model,
+    CASE WHEN c.file_id IS NOT NULL THEN true ELSE i.chunk_count > 0 END AS has_chunks,
+    CASE WHEN c.file_id IS NOT NULL THEN true END AS embedded FROM file_index i FULL JOIN changed c ON i.file_id = c.file_id""",
     "files", "file_index",
 )
 def k9_index_corpus(c: Corpus) -> DataFrame:
-    return I.index_corpus(c.files.select("file_id", "content_hash", "text"), c.file_index, embed=None)["index"].select("file_id", "index_status")
+    """The whole plan: chunks with tokens and embeddings, and the new index with all its columns."""
+    out = I.index_corpus(c.files.select("file_id", "folder_id", "file_name", "content_hash", "text"), c.file_index, embed=I.embed_with(), model="model-c")
+    whole = out["leaves"].groupBy("file_id").agg(F.min(F.size("embedding") == I.DIMENSIONS).alias("embedded"))
+    return out["index"].join(whole, "file_id", "left").select("file_id", "folder_id", "index_status", "content_hash", "embedding_model", (F.col("chunk_count") > 0).alias("has_chunks"), "embedded")
 
 
 @query(r"SELECT conv_id, turn, len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w <> '')) AS tokens FROM conversations")
@@ -124,9 +132,15 @@ def a6_sample_transcripts(c: Corpus) -> DataFrame:
     return A.sample_transcripts(transcripts, clips, 60, 9).select(F.col("path").cast("bigint").alias("path"), F.sha2("sentence", 256).alias("digest"))
 
 
-@query(r"SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, length(html) - length(replace(html, '<p>', 'p>')) AS paragraphs FROM pages")
+@query(
+    r"""SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+    length(html) - length(replace(html, '<li>', 'li>')) AS items FROM pages WHERE contains(html, '<h1>')"""
+)
 def a4_html_titles(c: Corpus) -> DataFrame:
-    return c.pages.select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<p>")).cast("bigint").alias("paragraphs"))
+    """The first heading of each page, and the blocks before it that are one menu entry each."""
+    blocks = K.html_blocks(c.pages)
+    first = F.min_by("text", F.when(F.col("text") == F.col("heading"), F.col("block_index")))
+    return blocks.groupBy("page_id").agg(first.alias("title"), F.count_if(F.col("heading").isNull()).alias("before")).join(c.pages.select("page_id", F.regexp_count("html", F.lit("<li>")).cast("bigint").alias("items"), F.contains("html", F.lit("<h1>")).alias("has")), "page_id").where("has").select("page_id", "title", "items")
 
 
 @query()

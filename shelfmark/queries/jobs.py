@@ -62,3 +62,27 @@ def t9_query_log(c: Corpus) -> DataFrame:
 
     blank = c.query_log.withColumn("query", F.when(F.col("event_id") % 9 == 0, "  ").otherwise(F.col("query")))
     return queries_by_day(T.capture_queries(blank)).select("day", "n")
+
+
+@query(
+    """WITH p AS (SELECT *, CASE WHEN lag(stage) OVER w = stage THEN 0 ELSE 1 END AS new FROM job_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+    e AS (SELECT job_id, arg_max(stage, (ts, event_id)) AS stage, max(ts) AS ts, arg_max(done_files, (ts, event_id)) AS done, arg_max(ts, (ts, event_id)) FILTER (WHERE new = 1) AS ts0, arg_max(done_files, (ts, event_id)) FILTER (WHERE new = 1) AS done0 FROM p GROUP BY 1),
+    g AS (SELECT *, (epoch_us(ts) - epoch_us(ts0)) / 1000000.0::DOUBLE AS gone FROM e)
+    SELECT job_id, stage, CASE WHEN gone >= 1 AND done > done0 THEN CAST(floor(greatest(10 - done, 0) / ((done - done0) / gone)) AS BIGINT) END AS seconds FROM g""",
+    "job_events",
+)
+def t4_stage_eta(c: Corpus) -> DataFrame:
+    return T.stage_eta(c.job_events.select("job_id", "stage", "ts", "event_id", F.col("done_files").alias("done"), F.col("total_files").alias("total")))
+
+
+@query(
+    """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS job_id, avg(value * 1000) FILTER (WHERE event_type <> 'error' AND value > 0) / 1000 AS mean, CAST(max(event_id % 10) AS INT) AS processed, max(user_id) AS u FROM events GROUP BY 1)
+    SELECT job_id, CASE WHEN mean IS NOT NULL THEN CAST(floor(greatest((10 - processed) * mean - coalesce(least(CASE WHEN u % 3 <> 0 THEN (u % 60)::DOUBLE END, mean), 0), 0)) AS BIGINT) END AS seconds FROM t"""
+)
+def t4_job_eta(c: Corpus) -> DataFrame:
+    """Each user's events are the files of a job; errors were skipped."""
+    name = F.col("user_id").cast("string").alias("job_id")
+    timings = c.events.select(name, F.when(F.col("event_type") == "error", "skipped").otherwise("indexed").alias("status"), (F.col("value") * 1000).alias("total_ms"))
+    jobs = c.events.groupBy("user_id").agg(F.max(F.col("event_id") % 10).cast("int").alias("processed_files"))
+    jobs = jobs.select(name, F.lit(10).alias("total_files"), "processed_files", F.when(F.col("user_id") % 3 != 0, (F.col("user_id") % 60).cast("double")).alias("elapsed"))
+    return T.job_eta(jobs, timings)

@@ -11,6 +11,7 @@ from shelfmark.plans import search as P
 from shelfmark.sources.corpus import Corpus
 
 from .registry import query
+from .text import bare_sql
 
 
 def _vectors(c: Corpus) -> tuple[DataFrame, DataFrame]:
@@ -111,39 +112,68 @@ def d11_answer_once(c: Corpus) -> DataFrame:
     return R.answer_once(asked, lambda q: q.select("query_id", F.length("query").alias("n")), "query")
 
 
+#: Vectors that SQL can make as well: how often each letter stands in a text.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_LETTER_SQL = f"[length({{0}}) - length(replace(lower({{0}}), x, '')) FOR x IN string_split('{','.join(_LETTERS)}', ',')]"
+
+
+def _letters(text: str):
+    lower = F.lower(text)
+    return F.array(*[(F.length(text) - F.length(F.replace(lower, F.lit(x)))).cast("double") for x in _LETTERS])
+
+
+_BOTH = rf"""{_BM25.format(30)}, qv AS (SELECT item_id AS query_id, list_transform({_LETTER_SQL.format("text")}, lambda v: v::DOUBLE) AS e FROM benchmark), dv AS (SELECT doc_id AS node_id, list_transform({_LETTER_SQL.format("text")}, lambda v: v::DOUBLE) AS e FROM documents),
+    ds AS (SELECT query_id, node_id, round(coalesce(list_cosine_similarity(qv.e, dv.e), 0), 9) AS score FROM qv, dv), dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM ds QUALIFY rank <= 30),
+    ul AS (SELECT query_id, node_id, rank, 0 AS list FROM dense UNION ALL SELECT query_id, node_id, rank, 1 FROM sparse),
+    f0 AS (SELECT query_id, node_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min((list, rank)) AS seen FROM ul GROUP BY ALL), fused AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, node_id) AS rank FROM f0 QUALIFY rank <= 30)"""
+
+
 @query(
-    f"""WITH {_BM25.format(30)}, w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: w <> '')) AS terms FROM benchmark),
-    r AS (SELECT s.query_id, s.node_id, s.rank AS old, round(len(list_intersect(terms, list_distinct(tokens))) / len(terms)::DOUBLE, 6) AS score FROM sparse s JOIN t USING (node_id) JOIN w ON w.item_id = s.query_id)
+    rf"""WITH {_BOTH}, w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: w <> '')) AS terms FROM benchmark),
+    r AS (SELECT s.query_id, s.node_id, s.rank AS old, round(len(list_intersect(terms, list_distinct(tokens))) / len(terms)::DOUBLE, 6) AS score FROM fused s JOIN t USING (node_id) JOIN w ON w.item_id = s.query_id)
     SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, node_id) AS rank FROM r QUALIFY rank <= 10"""
 )
 def r1_query(c: Corpus) -> DataFrame:
-    """Keyword candidates, three times as many as asked for, reranked by shared tokens."""
-    return P.query(*_texts(c), k=10, vectors=False, rerank=True)
+    """Both lists, three times as many as asked for, fused by rank and reranked by shared tokens. Letters make the vectors, so that SQL can do the same."""
+    queries, leaves = _texts(c)
+    return P.query(queries.withColumn("embedding", _letters("query")), leaves.withColumn("embedding", _letters("text")), k=10, rerank=True)
 
 
 @query()
 def r2_search(c: Corpus) -> DataFrame:
-    """Search over chunked documents with merged parents and neighbours; its parts have SQL twins, and a test checks the whole on a small set."""
+    """Hybrid search over chunked documents, reranked, with merged parents and neighbours; its parts have SQL twins, and a test checks the whole on a small set."""
     from shelfmark.operators.chunking import chunk_corpus
+    from shelfmark.plans.index import embed_with
+    from shelfmark.sources.durable import durable
 
     leaves, parents = chunk_corpus(c.documents.select("text", F.col("doc_id").alias("file_id")), 64, 512)
-    return P.search(_texts(c)[0], leaves, parents, k=10).select("query_id", "node_id", "role", "score", F.size("merged").alias("merged"), F.length("text").alias("chars"), "rank")
+    embed = embed_with()
+    leaves = durable(leaves.withColumn("embedding", embed(F.col("text"))))
+    return P.search(_texts(c)[0].withColumn("embedding", embed(F.col("query"))), leaves, parents, k=10, rerank=True).select("query_id", "node_id", "role", "score", F.size("merged").alias("merged"), F.length("text").alias("chars"), "rank")
 
 
 @query(
-    """WITH q AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'owner-d' ELSE 'owner-e' END AS owner, CASE item_id % 4 WHEN 1 THEN 'en' ELSE 'de' END AS folder_id, CASE item_id % 5 WHEN 0 THEN 'list' ELSE 'erase' END AS mode FROM benchmark),
-    ok AS (SELECT q.* FROM q JOIN folders f ON f.folder_id = q.folder_id AND f.user_token = q.owner)
-    SELECT item_id AS request_id, mode, CASE WHEN item_id IN (SELECT item_id FROM ok) AND mode = 'list' THEN (SELECT count(*) FROM files f WHERE f.folder_id = q.folder_id) END AS results,
-    CASE WHEN item_id NOT IN (SELECT item_id FROM ok) THEN 'folder not found' WHEN mode <> 'list' THEN 'unknown mode' END AS error FROM q""",
+    r"""WITH q AS (SELECT item_id, text, CASE item_id % 4 WHEN 0 THEN 'owner-d' ELSE 'owner-e' END AS owner, CASE item_id % 4 WHEN 1 THEN 'en' ELSE 'de' END AS folder_id,
+      CASE item_id % 5 WHEN 0 THEN 'list' WHEN 1 THEN 'read' WHEN 2 THEN 'erase' ELSE 'search' END AS mode FROM benchmark),
+    ok AS (SELECT q.* FROM q JOIN folders f ON f.folder_id = q.folder_id AND f.user_token = q.owner),
+    t AS (SELECT DISTINCT file_id, folder_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w <> '')) AS term FROM files),
+    a AS (SELECT DISTINCT item_id, folder_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda w: w <> '')) AS term FROM q),
+    found AS (SELECT item_id, least(5, count(DISTINCT file_id)) AS n FROM a JOIN t USING (folder_id, term) GROUP BY 1)
+    SELECT q.item_id AS request_id, mode, CASE WHEN ok.item_id IS NULL OR mode = 'erase' THEN NULL WHEN mode = 'list' THEN (SELECT count(*) FROM files f WHERE f.folder_id = q.folder_id)
+      WHEN mode = 'read' THEN (SELECT count(*) FROM files f WHERE f.folder_id = q.folder_id AND floor(0.3::DOUBLE * length(text)) <= 2000) ELSE coalesce(found.n, 0) END AS results,
+    CASE WHEN ok.item_id IS NULL THEN 'folder not found' WHEN mode = 'erase' THEN 'unknown mode' END AS error FROM q LEFT JOIN (SELECT item_id FROM ok) ok ON ok.item_id = q.item_id LEFT JOIN found ON found.item_id = q.item_id""",
     "folders", "files",
 )
 def r5_run_requests(c: Corpus) -> DataFrame:
-    from shelfmark.operators.chunking import chunk_corpus
+    """Requests of all modes and an unknown one over folders whose files are one leaf each."""
+    from shelfmark.functions.text import estimate_tokens
 
     n = F.col("item_id")
-    requests = c.benchmark.select(n.alias("request_id"), F.when(n % 4 == 0, "owner-d").otherwise("owner-e").alias("owner"), F.when(n % 4 == 1, "en").otherwise("de").alias("folder_id"), F.when(n % 5 == 0, "list").otherwise("erase").alias("mode"), F.col("text").alias("query"))
-    leaves, parents = chunk_corpus(c.files.select("file_id", "text"))
-    return P.run_requests(requests, c.folders, c.files, c.file_index, leaves, parents)
+    mode = F.when(n % 5 == 0, "list").when(n % 5 == 1, "read").when(n % 5 == 2, "erase").otherwise("search")
+    requests = c.benchmark.select(n.alias("request_id"), F.when(n % 4 == 0, "owner-d").otherwise("owner-e").alias("owner"), F.when(n % 4 == 1, "en").otherwise("de").alias("folder_id"), mode.alias("mode"), F.col("text").alias("query"))
+    leaves = c.files.select("file_id", F.col("file_id").alias("node_id"), F.lit(None).cast("string").alias("parent_node_id"), F.lit(0).alias("chunk_index"), "text", estimate_tokens(F.col("text")).alias("n_tokens"))
+    parents = c.spark.createDataFrame([], "node_id string, text string, chunk_count int")
+    return P.run_requests(requests, c.folders, c.files, c.file_index, leaves, parents, budget=2000)
 
 
 @query("SELECT trim(regexp_extract(text, '^\\s*([^.!?\\n]*[.!?]?)', 1)) AS query, doc_id AS gold_node_id FROM documents WHERE length(text) > 80 ORDER BY md5('3:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 40")
@@ -181,13 +211,28 @@ def e4_score_modes(c: Corpus) -> DataFrame:
     SELECT lang AS query_id, round(count(*) FILTER (WHERE rank <= 5 AND source IN ('src1', 'src2', 'src3')) / 3.0::DOUBLE, 6) AS recall_5, round(count(*) FILTER (WHERE rank <= 10 AND source IN ('src1', 'src2', 'src3')) / 3.0::DOUBLE, 6) AS recall_10, round(1.0::DOUBLE / min(rank) FILTER (WHERE source IN ('src1', 'src2', 'src3')), 6) AS mrr FROM r GROUP BY lang"""
 )
 def e6_file_eval(c: Corpus) -> DataFrame:
-    from shelfmark.operators.ranking import top_k
+    return _file_eval(c)
+
 
-    ranked = top_k(c.documents.select(F.col("lang").alias("query_id"), F.col("source").alias("file_id"), "n_chars", "doc_id"), 1 << 40, ["query_id"], F.desc("n_chars"), F.col("doc_id"))
+def _file_eval(c: Corpus) -> DataFrame:
+    """Sources of a language by their longest document stand for the files of a question."""
+    from shelfmark.operators.ranking import rank_by_best
+
+    ranked = rank_by_best(c.documents.select(F.col("lang").alias("query_id"), F.col("source").alias("file_id"), "n_chars", "doc_id"), "query_id", "file_id", -F.col("n_chars"), F.col("doc_id"))
     qa = c.documents.select(F.col("lang").alias("query_id")).distinct().withColumn("expected", F.array(F.lit("src1"), F.lit("src2"), F.lit("src3")))
     return E.file_eval(ranked, qa)
 
 
+@query(
+    """WITH x AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents), f AS (SELECT lang, source, min(rank) AS first_rank FROM x GROUP BY ALL), r AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY first_rank, source) AS rank FROM f),
+    e AS (SELECT round(count(*) FILTER (WHERE rank <= 5 AND source IN ('src1', 'src2', 'src3')) / 3.0::DOUBLE, 6) AS recall_5, round(1.0::DOUBLE / min(rank) FILTER (WHERE source IN ('src1', 'src2', 'src3')), 6) AS mrr FROM r GROUP BY lang)
+    SELECT count(*) AS n, round(avg(recall_5), 6) AS recall_5, round(avg(coalesce(mrr, 0)), 6) AS mrr, round(round(avg(recall_5), 6) - 0.25::DOUBLE, 6) AS recall_5_delta, CAST(NULL AS DOUBLE) AS mrr_delta FROM e"""
+)
+def e6_summary(c: Corpus) -> DataFrame:
+    """Averages over the questions against a baseline that has one of the two metrics."""
+    return E.summary(_file_eval(c), ["recall_5", "mrr"], c.documents.limit(1).select(F.lit(0.25).alias("recall_5")))
+
+
 @query("SELECT round(avg(CASE WHEN event_id % 3 <> 0 THEN value END), 3) AS faithfulness, round(avg(CASE WHEN event_id % 5 <> 0 THEN value / 2 END), 3) AS relevance, greatest(count(*) FILTER (WHERE event_id % 3 <> 0 AND value IS NOT NULL), count(*) FILTER (WHERE event_id % 5 <> 0 AND value IS NOT NULL)) AS n_judged FROM events")
 def e7_answer_quality(c: Corpus) -> DataFrame:
     return E.answer_quality(c.events.select(F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("faithfulness"), F.when(F.col("event_id") % 5 != 0, F.col("value") / 2).alias("relevance")))
@@ -198,11 +243,27 @@ def e8_guard_non_empty(c: Corpus) -> DataFrame:
     return E.guard_non_empty(c.benchmark.select("item_id"))
 
 
-@query("SELECT doc_id AS clip_id, round(0.0::DOUBLE, 6) AS cer, 0.0::DOUBLE AS simplified, CAST(doc_id % 2 AS INT) AS noise FROM documents")
+_CLIPS = f"""h AS (SELECT conv_id, turn, {bare_sql("text")} AS a, {bare_sql("lead(text) OVER (PARTITION BY conv_id ORDER BY turn)")} AS b FROM conversations),
+    e AS (SELECT conv_id * 1000 + turn AS clip_id, round(CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE levenshtein(a, b)::DOUBLE / length(a) END, 6) AS cer, 0.0::DOUBLE AS simplified, CAST(turn % 2 AS INT) AS noise FROM h WHERE b IS NOT NULL)"""
+
+
+def _clips(c: Corpus) -> DataFrame:
+    """Each turn of a conversation against the next one, which every other time begins with a known noise."""
+    from pyspark.sql import Window
+
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    hypothesis = F.concat(F.when(F.col("turn") % 2 == 1, F.lit("打賞支持本欄目 ")).otherwise(F.lit("")), following)
+    return c.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("clip_id"), F.col("text").alias("reference"), hypothesis.alias("hypothesis")).where("hypothesis IS NOT NULL")
+
+
+@query(f"WITH {_CLIPS} SELECT * FROM e")
 def e9_transcript_eval(c: Corpus) -> DataFrame:
-    head = F.left("text", F.lit(80))
-    hypothesis = F.concat(F.when(F.col("doc_id") % 2 == 1, F.lit("打賞支持本欄目 ")).otherwise(F.lit("")), head)
-    return E.transcript_eval(c.documents.select(F.col("doc_id").alias("clip_id"), head.alias("reference"), hypothesis.alias("hypothesis")))
+    return E.transcript_eval(_clips(c))
+
+
+@query(f"WITH {_CLIPS} SELECT count(*) AS n, round(avg(cer), 6) AS cer, round(avg(noise), 6) AS noise, round(round(avg(cer), 6) - 0.9::DOUBLE, 6) AS cer_delta, round(round(avg(noise), 6) - 0.5::DOUBLE, 6) AS noise_delta FROM e")
+def e9_summary(c: Corpus) -> DataFrame:
+    return E.summary(E.transcript_eval(_clips(c)), ["cer", "noise"], c.conversations.limit(1).select(F.lit(0.9).alias("cer"), F.lit(0.5).alias("noise")))
 
 
 @query()

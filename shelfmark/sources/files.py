@@ -76,7 +76,26 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
         fresh = kept.unionByName(chunks)
     stage = f"{path.rstrip('/')}-stage-{uuid.uuid4().hex}"
     fresh.write.partitionBy("folder_id").parquet(stage)
-    spark.read.schema(chunks.schema).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder_id").parquet(path)
+    try:
+        spark.read.schema(chunks.schema).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder_id").parquet(path)
+    finally:
+        delete(spark, stage)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark knows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions `v=<number>` of a table under path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(folder)]
+    return [int(n[2:]) for n in names if n.startswith("v=") and _exists(spark, f"{path}/{n}/_SUCCESS")]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import estimate_tokens
@@ -69,3 +71,78 @@ def test_html_blocks(spark):
 def test_cells_of_triplets(spark):
     chunks = spark.createDataFrame([(1, "Caption\n\nNorth, sales = 12.5. South, sales = 3.")], "node_id int, text string")
     assert {(r.row, r.col, r.value) for r in K.table_cells(chunks).collect()} >= {("South", "sales", "3")}
+
+
+def test_marks_without_partner_are_text(spark):
+    docs = spark.createDataFrame([("f", "Plain [TABLE_END] tail [TABLE_START] t|u\n[TABLE_END]z"), ("g", "T [TABLE_START]open"), ("h", "Table"), ("i", "[TABLE_START][TABLE_END]x\x02y")], "file_id string, text string")
+    rows = [(r.file_id, r.text, r.is_table) for r in K.split_structure(docs).orderBy("file_id", "seg").collect()]
+    assert rows == [("f", "Plain [TABLE_END] tail ", False), ("f", "t|u", True), ("f", "z", False), ("g", "T [TABLE_START]open", False), ("h", "Table", False), ("i", "xy", False)]
+
+
+class _Visible(HTMLParser):
+    """Blocks and heading paths by a parser of its own kind."""
+
+    BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol table tr td th article section nav footer header br body html main aside".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.skip, self.level, self.path = [], "", 0, 0, {}
+
+    def end(self):
+        text = " ".join(self.text.split())
+        if text:
+            if self.level:
+                self.path = {k: v for k, v in self.path.items() if k < self.level} | {self.level: text}
+            self.blocks.append((text, [self.path[k] for k in sorted(self.path)]))
+        self.text, self.level = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "head")
+        if tag in self.BREAKS:
+            self.end()
+            self.level = int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else 0
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "head")
+        if tag in self.BREAKS:
+            self.end()
+
+    def handle_data(self, data):
+        self.text += "" if self.skip else data
+
+
+def test_html_blocks_match_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    found = {}
+    for r in K.html_blocks(pages).orderBy("page_id", "block_index").collect():
+        found.setdefault(r.page_id, []).append((r.text, r.headings))
+    for r in pages.collect():
+        parser = _Visible()
+        parser.feed(r.html)
+        parser.close()
+        parser.end()
+        assert found.get(r.page_id, []) == parser.blocks, r.page_id
+    odd = spark.createDataFrame([(1, "<p>Hello world</p><h2>Help</h2><p>H&eacute; &#72;i</p><h1>Top</h1><h3>Low</h3>x<h2>Mid</h2>y")], "page_id long, html string")
+    rows = [(r.text, r.heading, r.headings) for r in K.html_blocks(odd).orderBy("block_index").collect()]
+    assert rows == [("Hello world", None, []), ("Help", "Help", ["Help"]), ("Hé Hi", "Help", ["Help"]), ("Top", "Top", ["Top"]), ("Low", "Low", ["Top", "Low"]), ("x", "Low", ["Top", "Low"]), ("Mid", "Mid", ["Top", "Mid"]), ("y", "Mid", ["Top", "Mid"])]
+
+
+def test_cells_as_a_table_function(spark):
+    K.register_table_cells(spark)
+    text = "| h | c1 | c2 |\\n| --- | --- | --- |\\n| r | 1.5 | x |"
+    rows = {tuple(r) for r in spark.sql(f"SELECT * FROM table_cells('{text}')").collect()}
+    chunks = spark.createDataFrame([(1, text.replace("\\n", "\n"))], "node_id int, text string")
+    assert rows == {(r.row, r.col, r.value) for r in K.table_cells(chunks).collect()} == {("r", "c1", "1.5"), ("r", "c2", "x")}
+
+
+def test_structured_chunks(spark):
+    table = "a | b\n--- | ---\n" + "\n".join(f"row {i} | value {i}" for i in range(60))
+    docs = spark.createDataFrame([("f", f"Before it. [TABLE_START]{table}[TABLE_END] " + "After it there is more. " * 80), ("g", "tiny\x00. text.")], "file_id string, text string")
+    out = K.structured_chunks(docs, 100).collect()
+    assert all(estimate_of(r.text) <= 135 for r in out) and sum(r.text.count("row ") for r in out) == 60
+    assert [r.text for r in out if r.file_id == "g"] == ["tiny. text."]
+    assert sum(r.text.count("a | b\n--- | ---\n") for r in out) > 1
+
+
+def estimate_of(text):
+    return int(0.3 * len(text))

@@ -72,6 +72,49 @@ def test_index_run_twice_changes_nothing(spark):
     assert len(first["leaves"].first().embedding) == 64
     done = first["index"].where("file_id = 'f'").withColumn("content_hash", F.lit("h1"))
     assert index_corpus(files, done)["leaves"].where("file_id = 'f'").count() == 0
+    again = index_corpus(files, first["index"])
+    assert again["leaves"].count() == 0 and sorted(again["index"].collect()) == sorted(first["index"].collect())
+    assert {r.content_hash for r in first["index"].collect()} == {"h1", None}
+
+
+def test_index_with_tables_prefixes_and_a_table_of_chunks(spark, tmp_path):
+    text = "[TABLE_START]a | b\n--- | ---\n" + "\n".join(f"r{i} | {i}" for i in range(300)) + "[TABLE_END] After the table there is text."
+    files = spark.createDataFrame([("f", "en", "f.md", "h1", text), ("g", "de", "g.md", "h2", "Nur ein Satz.")], "file_id string, folder_id string, file_name string, content_hash string, text string")
+    index = spark.createDataFrame([("x", "fr", "indexed", "h0", 3, None)], "file_id string, folder_id string, index_status string, content_hash string, chunk_count int, error string")
+    prefix = lambda t: F.when(F.contains(t, F.lit("Satz")), F.lit("  about a sentence "))
+    segment = lambda t: F.when(F.contains(t, F.lit("Satz")), F.split(F.lower(t), " "))
+    options = {"leaf_tokens": 200, "prefix": prefix, "segment": segment, "model": "m", "now": F.lit("2024-01-31"), "path": str(tmp_path / "chunks")}
+    first = index_corpus(files, index, **options)
+    rows = {r.file_id: r for r in first["index"].collect()}
+    assert rows["x"].index_status == "indexed" and rows["x"].embedding_model is None and rows["f"].embedding_model == "m" and rows["f"].folder_id == "en" and rows["f"].chunk_count > 2
+    leaves = spark.read.parquet(str(tmp_path / "chunks")).collect()
+    assert all(r.text.startswith("f.md\n\n") for r in leaves if r.file_id == "f") and [r.text for r in leaves if r.file_id == "g"] == ["about a sentence\n\nNur ein Satz."]
+    assert next(r.tokens for r in leaves if r.file_id == "g")[-1] == "satz." and sum(r.text.count("a | b") for r in leaves) > 1
+    index_corpus(files, first["index"], **options)
+    assert sorted(r.node_id for r in spark.read.parquet(str(tmp_path / "chunks")).collect()) == sorted(r.node_id for r in leaves)
+
+
+def test_blocks_of_queries_give_what_one_block_gives(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} w{i % 5} x") for i in range(300)], "node_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(20)], "query_id long, query string")
+    one = sorted(R.bm25_topk(asked, docs, 4).collect())
+    monkeypatch.setattr(R, "QUERIES", 3)
+    monkeypatch.setattr(R, "LEAVES", 16)
+    assert sorted(R.bm25_topk(asked, docs, 4).collect()) == one and len(one) >= 40
+
+
+def test_a_query_gets_leaves_of_its_folder(spark):
+    leaves = spark.createDataFrame([("a", "x y", "en"), ("b", "x z", "de")], "node_id string, text string, folder_id string")
+    asked = spark.createDataFrame([(1, "x", "en"), (2, "x", "de"), (3, "x", "fr")], "query_id long, query string, folder_id string")
+    assert {(r.query_id, r.node_id) for r in R.bm25_topk(asked, leaves, 5).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_share_of_candidates(spark):
+    """The index takes fewer candidates than a scan; the given vectors are close to random, so that a share of 0.9 of the neighbours costs over half of all pairs."""
+    n = spark.read.parquet(f"{FOLDER}/embeddings.parquet").count()
+    vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    found = R.dense_topk_ann(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors.select(F.col("vec_id").alias("node_id"), "embedding"), n).count()
+    assert found <= 0.65 * n * n / 20
 
 
 def test_short_embedding_batch_is_an_error(spark):

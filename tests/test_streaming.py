@@ -93,3 +93,65 @@ def test_report_and_history(spark, tmp_path):
     for _ in range(2):
         A.append_history(run, str(tmp_path / "h"))
     assert spark.read.json(str(tmp_path / "r")).count() == 1 and spark.read.json(str(tmp_path / "h")).count() == 2
+
+
+def test_a_table_of_jobs_outlives_its_stream(spark, tmp_path):
+    states = spark.createDataFrame([], "job_id string, event_id long, ts timestamp, status string")
+    path = str(tmp_path / "jobs")
+    row = lambda job, n, status: spark.createDataFrame([(job, n, T0 + dt.timedelta(seconds=n), status)], states.schema)
+    for _ in range(2):  # written again
+        J.upsert_jobs(states, path)(row("a", 0, "running"), 0)
+    for number in (1, 2, 3):
+        J.upsert_jobs(states, path)(row("b", number, "running"), number)
+    assert sorted(A.versions(spark, path)) == [2, 3]
+    J.upsert_jobs(states, path)(row("a", 9, "failed"), 0)  # another stream over the same table
+    J.upsert_jobs(states, path)(row("c", 9, "running"), 1)
+    assert {(r.job_id, r.status) for r in spark.read.parquet(f"{path}/v=1").collect()} == {("a", "failed"), ("b", "running"), ("c", "running")}
+
+
+def test_silent_jobs_fail_and_ended_ones_are_forgotten(spark, tmp_path):
+    schema = "job_id string, status string, ts timestamp, event_id long"
+    source = str(tmp_path / "in")
+    batches = [[("a", "running", 0, 1), ("b", "succeeded", 0, 2)], [("c", "running", 2000, 3)], [("d", "running", 200_000, 4)], [("e", "running", 1000, 5), ("d", "running", 200_100, 6)], [("f", "running", 300_000, 7)]]
+    (tmp_path / "in").mkdir()
+    stream = J.job_state_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "1 second")
+    query = None
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(j, s, T0 + dt.timedelta(seconds=t), i) for j, s, t, i in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        if query is None:
+            query = stream.writeStream.outputMode("update").format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "c")).start()
+        query.processAllAvailable()
+    kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    query.stop()
+    seen = {}
+    for r in spark.table("silent").collect():
+        seen.setdefault(r.job_id, []).append(r.status)
+    assert seen["a"][-1] == "failed" and seen["c"][-1] == "failed" and seen["b"] == ["succeeded"]
+    assert "e" not in seen or seen["e"][-1] == "failed"  # its events came after the watermark
+    assert kept <= 3
+
+
+def test_stage_and_job_eta(spark):
+    rows = [("a", "parse", 0, 1, 0, 100), ("a", "embed", 10, 2, 5, 100), ("a", "embed", 20, 3, 25, 100), ("b", "embed", 0, 4, 1, 9), ("b", "embed", 0, 5, 5, 9), ("c", "embed", 0, 6, 3, 3)]
+    progress = spark.createDataFrame([(j, s, T0 + dt.timedelta(seconds=t), i, d, n) for j, s, t, i, d, n in rows], "job_id string, stage string, ts timestamp, event_id long, done int, total int")
+    assert {(r.job_id, r.stage, r.seconds) for r in J.stage_eta(progress).collect()} == {("a", "embed", 37), ("b", "embed", None), ("c", "embed", None)}
+    jobs = spark.createDataFrame([("a", 10, 4, 1.0), ("b", 3, 3, None), ("c", 5, 0, None), ("d", 2, 1, 99.0)], "job_id string, total_files int, processed_files int, elapsed double")
+    timings = spark.createDataFrame([("a", "indexed", 2000), ("a", "skipped", 1), ("a", "failed", 4000), ("b", "indexed", 10), ("d", "indexed", 1500)], "job_id string, status string, total_ms int")
+    assert {(r.job_id, r.seconds) for r in J.job_eta(jobs, timings).collect()} == {("a", 17), ("b", 0), ("c", None), ("d", 0)}
+
+
+def test_new_files_are_indexed_end_to_end(spark, tmp_path):
+    schema = "file_id string, folder_id string, file_name string, content_hash string, text string"
+    index = spark.createDataFrame([], "file_id string, folder_id string, index_status string, content_hash string, chunk_count int, error string")
+    paths = {k: str(tmp_path / k) for k in ("in", "index", "chunks")}
+
+    def run(k):
+        J.auto_index_corpus(spark.readStream.schema(schema).parquet(paths["in"]), paths["index"], paths["chunks"], str(tmp_path / f"c{k}"), index).awaitTermination()
+        last = max(A.versions(spark, paths["index"]))
+        return {(r.file_id, r.index_status, r.content_hash, r.chunk_count) for r in spark.read.parquet(f"{paths['index']}/v={last}").collect()}
+
+    spark.createDataFrame([("f", "en", "f.txt", "h1", "One sentence. Two."), ("g", "en", "g.txt", "h2", " ")], schema).write.mode("append").parquet(paths["in"])
+    assert run(0) == {("f", "indexed", "h1", 1), ("g", "failed", None, 0)}
+    spark.createDataFrame([("h", "de", "h.txt", "h3", "Drei.")], schema).write.mode("append").parquet(paths["in"])
+    assert run(0) == run(1) == {("f", "indexed", "h1", 1), ("g", "failed", None, 0), ("h", "indexed", "h3", 1)}
+    assert spark.read.parquet(paths["chunks"]).count() == 2
