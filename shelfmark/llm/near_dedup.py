@@ -35,7 +35,7 @@ PERCENT = 85
 #: A pair whose signatures agree in a smaller share of coordinates is not confirmed: 5 standard deviations below 0.85.
 LEAST_AGREEMENT = 0.69
 #: Members of a block at most on average, and bytes of what is compared; bytes that one call of Python gets.
-BLOCK, BLOCK_BYTES, CALL_BYTES = 2048, 4 << 20, 32 << 20
+BLOCK, BLOCK_BYTES, CALL_BYTES = 1024, 2 << 20, 8 << 20
 
 _NONE = np.zeros(0, dtype=np.uint64)
 

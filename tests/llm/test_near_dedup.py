@@ -75,7 +75,7 @@ def test_chains_and_a_large_near_copy_group(spark, words, monkeypatch):
         texts[2000 + i] = " ".join(rng.sample(words, 60))
     monkeypatch.setattr(N, "BLOCK", 16)
     check(spark, texts)
-    monkeypatch.setattr(N, "BLOCK", 2048)
+    monkeypatch.setattr(N, "BLOCK", 1024)
     monkeypatch.setattr(N, "CALL_BYTES", 20_000)
     check(spark, texts)
 
