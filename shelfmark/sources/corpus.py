@@ -11,6 +11,20 @@ from pyspark.sql import functions as F
 NOW = "2024-01-31 00:00:00"
 
 
+#: Bytes of input for each core below which a table is dealt out anew.
+BYTES_PER_CORE = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of texts over all cores, if it is so small that it may lie in one row group, which Spark can't split; a larger one as it is.
+
+    What is sent is bounded by BYTES_PER_CORE for each core, and large inputs are never sent.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    return df.repartition(cores) if 0 < size < cores * BYTES_PER_CORE else df
+
+
 class Corpus:
     """Tables by name: those in the folder as they are, the others derived from them."""
 
@@ -18,7 +32,8 @@ class Corpus:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in {"documents", "pages"} else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in {"region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"}:
