@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +41,17 @@ def _packed(df: DataFrame, most: int) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"`{f.name}` array<{f.dataType.simpleString()}>" for f in df.schema))
 
 
-def _block_topk(queries: DataFrame, leaves: DataFrame, k: int, score: Callable[[dict[str, pa.Array]], np.ndarray]) -> DataFrame:
+def _block_topk(queries: DataFrame, asked: int, leaves: DataFrame, k: int, score: Callable[[dict[str, pa.Array]], np.ndarray]) -> DataFrame:
     """(query_id, node_id, score, rank): the k best leaves of each query by score(columns of both blocks) -> leaves x queries; zero and less is no hit.
 
-    Where leaves have a `scope` and queries an `asked_scope`, a query gets only leaves of its own scope.
+    asked: the number of queries. Where leaves have a `scope` and queries an `asked_scope`, a query gets only leaves of its own scope.
 
     A stated set of queries against all leaves, block by block: queries are dealt into blocks of QUERIES rows and leaves stay where they are, in
     blocks of LEAVES rows; every pair of blocks is scored by matrix operations inside a task, which keeps k of each query. So only k rows for each query and task
     are sent on, and nothing goes through the driver. Spark broadcasts the blocks of queries if they are few, and else pairs partitions.
     """
-    blocks = max(1, -(-queries.count() // QUERIES))
-    asked = _packed(queries.repartition(blocks, F.xxhash64("query_id")), QUERIES)
-    both = _packed(leaves, LEAVES).crossJoin(asked)
+    blocks = max(1, -(-asked // QUERIES))
+    both = _packed(leaves, LEAVES).crossJoin(_packed(queries.repartition(blocks, F.xxhash64("query_id")), QUERIES))
     names = [*leaves.columns, *queries.columns]
     kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (leaves, "node_id"))}
 
@@ -111,7 +109,7 @@ def dense_topk(queries: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
     if not ("folder_id" in queries.columns and "folder_id" in leaves.columns):
         queries, leaves = queries.select("query_id", "embedding"), leaves.select("node_id", "embedding")
     asked = queries.where("embedding IS NOT NULL").select("query_id", F.col("embedding").alias("asked"), *_scope(queries, "asked_scope"))
-    found = _block_topk(asked, leaves.where("embedding IS NOT NULL").select("node_id", "embedding", *_scope(leaves, "scope")), k, _cosines)
+    found = _block_topk(asked, queries.count(), leaves.where("embedding IS NOT NULL").select("node_id", "embedding", *_scope(leaves, "scope")), k, _cosines)
     return found.withColumn("score", F.round(F.col("score") - 2, 9))
 
 
@@ -147,24 +145,26 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def _okapi(k1: float, b: float) -> Callable[[dict[str, pa.Array]], np.ndarray]:
-    """Scores of a block of leaves (tokens) for a block of queries (terms: term, idf, mean length)."""
+    """Scores of a block of leaves (hashes of tokens) for a block of queries (terms: hash, idf, mean length)."""
 
     def score(columns: dict[str, pa.Array]) -> np.ndarray:
         terms, tokens = columns["terms"], columns["tokens"]
         each = terms.flatten()
         idf = each.field("idf").to_numpy(zero_copy_only=False)
         mean = each.field("mean")[0].as_py() if len(each) else 1.0
-        words = pc.unique(each.field("term"))
+        term = each.field("term").to_numpy(zero_copy_only=False)
+        words = np.unique(term)
         length = np.diff(tokens.offsets.to_numpy()).astype(np.float64)
+        found = tokens.flatten().to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(words, found), max(0, len(words) - 1))
+        known = np.flatnonzero(words[at] == found) if len(words) else np.zeros(0, dtype=np.int64)
         leaf = np.repeat(np.arange(len(tokens)), length.astype(np.int64))
-        at = pc.index_in(tokens.flatten(), value_set=words)
-        known = at.is_valid().to_numpy(zero_copy_only=False)
-        pair, tf = np.unique(leaf[known] * len(words) + pc.drop_null(at).to_numpy(), return_counts=True)
+        pair, tf = np.unique(leaf[known] * len(words) + at[known], return_counts=True)
         leaf, word = np.divmod(pair, max(1, len(words)))
         weight = np.zeros((len(tokens), len(words)))
         weight[leaf, word] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[leaf] / mean))
         asks = np.zeros((len(words), len(terms)))
-        asks[pc.index_in(each.field("term"), value_set=words).to_numpy(), np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))] = idf
+        asks[np.searchsorted(words, term), np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))] = idf
         return weight @ asks
 
     return score
@@ -188,10 +188,12 @@ def bm25_topk(queries: DataFrame, leaves: DataFrame, k: int, k1: float = 1.2, b:
     totals = counts.where(F.col("term") == whole).select(F.col("df").alias("docs"), "mean")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = terms.join(counts.select("term", "df"), "term").crossJoin(F.broadcast(totals))  # one row of totals
-    weighed = weighed.groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"), "mean")).alias("terms"))
+    # tokens go to Python as 64-bit hashes, which are of one size
+    weighed = weighed.groupBy("query_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("term"), idf.alias("idf"), "mean")).alias("terms"))
+    hashed = tokens.withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t)))
     if scoped:
         weighed = weighed.join(queries.select("query_id", *_scope(queries, "asked_scope")), "query_id")
-    return _block_topk(weighed, tokens, k, _okapi(k1, b))
+    return _block_topk(weighed, queries.count(), hashed, k, _okapi(k1, b))
 
 
 def rrf(lists: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:

@@ -21,7 +21,7 @@ def spread(df: DataFrame) -> DataFrame:
     What is sent is bounded by BYTES_PER_CORE for each core, and large inputs are never sent.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if 0 < size < cores * BYTES_PER_CORE else df
 
 
