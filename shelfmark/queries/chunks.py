@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from shelfmark.plans import index as I
 from shelfmark.plans.search import list_files
 from shelfmark.sources import files as A
 from shelfmark.sources.corpus import Corpus
+from shelfmark.sources.durable import checkpoint_folder
 
 from .registry import query
 
@@ -105,6 +108,16 @@ def k10_rebuild_tokens(c: Corpus) -> DataFrame:
     return I.rebuild_tokens(turns).select("conv_id", "turn", F.size("tokens").cast("bigint").alias("tokens"))
 
 
+@query("SELECT doc_id AS file_id, lang AS folder_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || ' again' ELSE text END) AS digest FROM documents")
+def a8_write_chunks(c: Corpus) -> DataFrame:
+    """All documents written as chunks, then a third of them again with another text: those are replaced and the others stay."""
+    path = f"{checkpoint_folder(c.spark)}/chunks-{uuid.uuid4().hex}"
+    rows = _docs(c).join(c.documents.select(F.col("doc_id").alias("file_id"), F.col("lang").alias("folder_id")), "file_id")
+    A.write_chunks(rows, path)
+    A.write_chunks(rows.where("file_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" again"))), path)
+    return c.spark.read.schema(rows.schema).parquet(path).select("file_id", "folder_id", F.sha2("text", 256).alias("digest"))
+
+
 @query("SELECT file_id FROM file_index WHERE file_id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)", "file_index")
 def a9_delete_file_chunks(c: Corpus) -> DataFrame:
     return A.delete_file_chunks(c.file_index, c.benchmark.select(F.col("item_id").cast("string").alias("id"))).select("file_id")

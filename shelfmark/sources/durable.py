@@ -5,19 +5,21 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the folder that spark.checkpoint.dir names; later jobs read them and survive lost executors.
-
-    Where that is unset, a session on one machine takes a temporary folder; on a cluster that is an error.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. Where that is unset, a session on one machine takes a temporary one; on a cluster that is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shelfmark-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the checkpoint folder; later jobs read them and survive lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
