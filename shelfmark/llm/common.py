@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -11,6 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.sources.durable import checkpoint_folder, durable
+from shelfmark.sources.files import delete
+
+__all__ = ["Scratch", "Words", "as_bytes", "checkpoint_folder", "durable", "hash_bytes", "hash_words", "mix", "small_batches", "steps", "windows"]
+
 #: Rows of an Arrow batch; documents are up to some MB each, so batches stay small.
 BATCH_ROWS = 256
 #: Bytes of text that one vectorised step takes together; a longer text is a step of its own.
@@ -21,15 +24,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder; later jobs read them and survive lost executors.
-
-    The folder is the one named in spark.checkpoint.dir (`checkpoint_folder`).
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 class Scratch:
     """Tables of a loop as Parquet in the shared checkpoint folder: their sizes are known, so that Spark sends small ones to all tasks by itself."""
 
@@ -45,19 +39,7 @@ class Scratch:
 
     def clear(self) -> None:
         """Deletes the tables."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names. Where that is unset, a session on one machine takes a temporary one; on a cluster that is an error."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shelfmark-"))
-    return context.getCheckpointDir()
+        delete(self.spark, self.path)
 
 
 def small_batches(spark: SparkSession) -> None:
