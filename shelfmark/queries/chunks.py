@@ -22,10 +22,10 @@ def _docs(c: Corpus) -> DataFrame:
 
 
 #: Sentences as K.sentences finds them, numbered, with their token estimate (the texts have no CJK ideographs).
-_SENTENCES = r"""s AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '([.!?。！？])[ \t]+', '\1' || chr(10), 'g'), '\n+'), lambda x: length(trim(x)) > 0) AS ss FROM documents),
+SENTENCES = r"""s AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(text, '([.!?。！？])[ \t]+', '\1' || chr(10), 'g'), '\n+'), lambda x: length(trim(x)) > 0) AS ss FROM documents),
     e AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM s), n AS (SELECT *, CAST(floor(0.3::DOUBLE * length(s)) AS BIGINT) AS t FROM e)"""
 #: Greedy groups of numbered rows (doc_id, i, t) under a budget.
-_GREEDY = """r(doc_id, i, g, run) AS (SELECT doc_id, i, 0, t FROM n WHERE i = 1 UNION ALL
+GREEDY = """r(doc_id, i, g, run) AS (SELECT doc_id, i, 0, t FROM n WHERE i = 1 UNION ALL
     SELECT n.doc_id, n.i, CASE WHEN r.run + n.t <= {0} THEN r.g ELSE r.g + 1 END, CASE WHEN r.run + n.t <= {0} THEN r.run + n.t ELSE n.t END FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1)"""
 
 
@@ -41,7 +41,7 @@ def k1_split_structure(c: Corpus) -> DataFrame:
     return K.split_structure(marked).select("file_id", "seg", F.sha2("text", 256).alias("digest"), "is_table")
 
 
-@query(f"WITH {_SENTENCES}, {_GREEDY.format(128)} SELECT r.doc_id AS file_id, g AS chunk_index, sha256(string_agg(s, ' ' ORDER BY r.i)) AS digest FROM r JOIN n USING (doc_id, i) GROUP BY r.doc_id, g".replace("WITH ", "WITH RECURSIVE ", 1))
+@query(f"WITH {SENTENCES}, {GREEDY.format(128)} SELECT r.doc_id AS file_id, g AS chunk_index, sha256(string_agg(s, ' ' ORDER BY r.i)) AS digest FROM r JOIN n USING (doc_id, i) GROUP BY r.doc_id, g".replace("WITH ", "WITH RECURSIVE ", 1))
 def k2_pack_sentences(c: Corpus) -> DataFrame:
     return K.pack_sentences(_docs(c), 128).select("file_id", "chunk_index", F.sha2("text", 256).alias("digest"))
 

@@ -10,6 +10,7 @@ from shelfmark.operators import retrieval as R
 from shelfmark.plans import search as P
 from shelfmark.sources.corpus import Corpus
 
+from .chunks import GREEDY, SENTENCES
 from .registry import query
 from .text import bare_sql
 
@@ -266,7 +267,19 @@ def e9_summary(c: Corpus) -> DataFrame:
     return E.summary(E.transcript_eval(_clips(c)), ["cer", "noise"], c.conversations.limit(1).select(F.lit(0.9).alias("cer"), F.lit(0.5).alias("noise")))
 
 
-@query()
+#: The leaves of all documents as `chunk_corpus` makes them: packed sentences, clean, once each, numbered anew.
+_LEAVES = rf"""{SENTENCES}, {GREEDY.format(256)}, packed AS (SELECT r.doc_id, g, regexp_replace(string_agg(s, ' ' ORDER BY r.i), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS text FROM r JOIN n USING (doc_id, i) GROUP BY r.doc_id, g),
+    once AS (SELECT * FROM packed WHERE length(regexp_replace(text, '[ \t\r\n`#|>*_~\-→▪●·•]+', '', 'g')) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, trim(text) ORDER BY g) = 1),
+    leaves AS (SELECT doc_id || ':' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS VARCHAR), 9, '0') AS node_id, text FROM once)"""
+_BM25_LEAVES = _BM25.format(10).replace("SELECT doc_id AS node_id,", "SELECT node_id,").replace("FROM documents), tot", "FROM leaves), tot")
+#: Both use short names for their parts.
+for _old, _new in (("u AS (", "words AS ("), ("FROM u WHERE", "FROM words WHERE"), ("q AS (", "asked AS ("), ("FROM q)", "FROM asked)"), ("FROM q JOIN", "FROM asked JOIN")):
+    _BM25_LEAVES = _BM25_LEAVES.replace(_old, _new)
+
+
+@query(
+    f"""WITH RECURSIVE {_LEAVES}, {_BM25_LEAVES} SELECT query_id AS item_id, CAST(split_part(node_id, ':', 1) AS BIGINT) AS doc_id, CAST(split_part(node_id, ':', 2) AS INT) AS chunk_index, round(score, 6) AS score, rank FROM sparse"""
+)
 def flagship_best_documents(c: Corpus) -> DataFrame:
     """The best chunks for each benchmark passage; a test measures how often the passage's document comes first."""
-    return P.best_documents(c.documents, c.benchmark)
+    return P.best_documents(c.documents, c.benchmark).withColumn("score", F.round("score", 6))
