@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfmark.sources.durable import checkpoint_folder, durable
 from shelfmark.sources.files import delete
 
-__all__ = ["Scratch", "Words", "as_bytes", "checkpoint_folder", "durable", "hash_bytes", "hash_words", "mix", "small_batches", "steps", "windows"]
+__all__ = ["Scratch", "Words", "as_bytes", "checkpoint_folder", "durable", "hash_bytes", "hash_words", "logistic", "mix", "small_batches", "steps", "windows"]
 
 #: Rows of an Arrow batch; documents are up to some MB each, so batches stay small.
 BATCH_ROWS = 256
@@ -147,3 +147,15 @@ def windows(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, n
         total = total * factor + hashes[i : i + k]
     at = np.flatnonzero(text[:k] == text[n - 1 :])
     return mix(total[at]), at
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression by Newton's method with a small ridge: mean and scale of each column of x, and the weights (the constant first)."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    a = np.concatenate((np.ones((len(x), 1)), (x - mean) / scale), axis=1)
+    w = np.zeros(a.shape[1])
+    ridge = np.diag([1e-6] + [0.1] * (len(w) - 1))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        w = w + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(w)), a.T @ (y - p) - ridge @ w)
+    return mean, scale, w

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches
+from .common import as_bytes, logistic, small_batches
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 # Words known beforehand, by class, in the languages of the corpus.
@@ -116,18 +116,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Newton's method with a small ridge."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    a = np.concatenate((np.ones((len(x), 1)), (x - mean) / scale), axis=1)
-    w = np.zeros(a.shape[1])
-    ridge = np.diag([1e-6] + [0.1] * (len(w) - 1))
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w = w + np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge + 1e-9 * np.eye(len(w)), a.T @ (y - p) - ridge @ w)
-    return mean, scale, w
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words with the toxic and other rows of this task that have them."""
     found: tuple[Counter, Counter] = Counter(), Counter()
@@ -167,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     featured = rows.select("doc_id", "text", "toxic").mapInArrow(_featured(known, "toxic"), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, f array<double>, y double")
     # one row for each label: of a doc_id that occurs again, the text with the highest score
     sample = featured.groupBy("doc_id").agg(F.max("f").alias("f"), F.max("y").alias("y")).orderBy("doc_id").toPandas()
-    mean, scale, weights = _logistic(np.array(sample["f"].tolist()), sample["y"].to_numpy())
+    mean, scale, weights = logistic(np.array(sample["f"].tolist()), sample["y"].to_numpy())
     return Model(known, mean, scale, weights)
 
 
