@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import fingerprint, or_query, tokenize
+from shelfmark.sources.durable import Scratch
 
+from .keyword_index import KeywordIndex, ask, build_index
 from .ranking import top_k
 
 #: Queries of a block and leaves of a block that a task holds against each other.
@@ -144,56 +146,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 9)
 
 
-def _okapi(k1: float, b: float) -> Callable[[dict[str, pa.Array]], np.ndarray]:
-    """Scores of a block of leaves (hashes of tokens) for a block of queries (terms: hash, idf, mean length)."""
-
-    def score(columns: dict[str, pa.Array]) -> np.ndarray:
-        terms, tokens = columns["terms"], columns["tokens"]
-        each = terms.flatten()
-        idf = each.field("idf").to_numpy(zero_copy_only=False)
-        mean = each.field("mean")[0].as_py() if len(each) else 1.0
-        term = each.field("term").to_numpy(zero_copy_only=False)
-        words = np.unique(term)
-        length = np.diff(tokens.offsets.to_numpy()).astype(np.float64)
-        found = tokens.flatten().to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(words, found), max(0, len(words) - 1))
-        known = np.flatnonzero(words[at] == found) if len(words) else np.zeros(0, dtype=np.int64)
-        leaf = np.repeat(np.arange(len(tokens)), length.astype(np.int64))
-        pair, tf = np.unique(leaf[known] * len(words) + at[known], return_counts=True)
-        leaf, word = np.divmod(pair, max(1, len(words)))
-        weight = np.zeros((len(tokens), len(words)))
-        weight[leaf, word] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[leaf] / mean))
-        asks = np.zeros((len(words), len(terms)))
-        asks[np.searchsorted(words, term), np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))] = idf
-        return weight @ asks
-
-    return score
-
-
-def bm25_topk(queries: DataFrame, leaves: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, segmenter: Column | None = None) -> DataFrame:
+def bm25_topk(queries: DataFrame, leaves: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, segmenter: Column | None = None, index: KeywordIndex | None = None) -> DataFrame:
     """(query_id, node_id, score, rank): Okapi BM25 over leaves that have any of a query's tokens; ties by node_id.
 
-    queries: (query_id, query[, folder_id]), leaves: (node_id, text[, tokens][, folder_id]); with folders a query gets leaves of its own only. segmenter: tokens of a leaf from another segmenter; a null falls back to the text's own
-    tokens, as does a leaf without `tokens`. Only counts of the queries' terms are sent; scores come from `_block_topk`.
+    queries: (query_id, query[, folder_id]), leaves: (node_id, text[, tokens][, folder_id]); with folders on both sides a query gets leaves of its own only, by the folder's statistics.
+    index: one that `build_index` made of the leaves, which saves making it here. segmenter: tokens of a leaf from another segmenter; a null falls back to the text's own
+    tokens, as does a leaf without `tokens`.
     """
-    whole = "\x00"  # stands for all leaves among the terms
-    terms = queries.select("query_id", F.explode(or_query(F.col("query"))).alias("term"))
-    own = tokenize(F.col("text"))
-    given = segmenter if segmenter is not None else (F.col("tokens") if "tokens" in leaves.columns else None)
-    scoped = "folder_id" in queries.columns and "folder_id" in leaves.columns
-    tokens = leaves.select("node_id", (own if given is None else F.coalesce(given, own)).alias("tokens"), *(_scope(leaves, "scope") if scoped else [])).where("tokens IS NOT NULL")
-    asked = terms.select("term").distinct().unionByName(queries.sparkSession.createDataFrame([(whole,)], "term string"))
-    seen = tokens.select(F.size("tokens").alias("length"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(whole)))).alias("term"))
-    counts = seen.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
-    totals = counts.where(F.col("term") == whole).select(F.col("df").alias("docs"), "mean")
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = terms.join(counts.select("term", "df"), "term").crossJoin(F.broadcast(totals))  # one row of totals
-    # tokens go to Python as 64-bit hashes, which are of one size
-    weighed = weighed.groupBy("query_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("term"), idf.alias("idf"), "mean")).alias("terms"))
-    hashed = tokens.withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t)))
-    if scoped:
-        weighed = weighed.join(queries.select("query_id", *_scope(queries, "asked_scope")), "query_id")
-    return _block_topk(weighed, queries.count(), hashed, k, _okapi(k1, b))
+    if index is not None:
+        return ask(index, queries, k)
+    if not ("folder_id" in queries.columns and "folder_id" in leaves.columns):
+        leaves = leaves.drop("folder_id")
+    scratch = Scratch(leaves.sparkSession, "keywords")
+    found = ask(build_index(leaves, scratch.path, k1, b, segmenter), queries, k)
+    scratch.clear()
+    return found
 
 
 def rrf(lists: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:

@@ -1,7 +1,13 @@
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import tokenize
 from shelfmark.operators import evaluation as E
+from shelfmark.operators import keyword_index as X
 from shelfmark.operators import retrieval as R
 from shelfmark.plans import search as P
 from shelfmark.plans.index import embed_with, index_corpus
@@ -94,13 +100,54 @@ def test_index_with_tables_prefixes_and_a_table_of_chunks(spark, tmp_path):
     assert sorted(r.node_id for r in spark.read.parquet(str(tmp_path / "chunks")).collect()) == sorted(r.node_id for r in leaves)
 
 
-def test_blocks_of_queries_give_what_one_block_gives(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} w{i % 5} x") for i in range(300)], "node_id long, text string").repartition(3)
-    asked = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(20)], "query_id long, query string")
-    one = sorted(R.bm25_topk(asked, docs, 4).collect())
-    monkeypatch.setattr(R, "QUERIES", 3)
-    monkeypatch.setattr(R, "LEAVES", 16)
-    assert sorted(R.bm25_topk(asked, docs, 4).collect()) == one and len(one) >= 40
+def _plain_bm25(leaves, queries, k, k1=1.2, b=0.75):
+    """Scores of all leaves by folder, with dictionaries; rows (query_id, node_id, score, rank)."""
+    words = lambda t: re.findall(r"\w+", t.lower())
+    out = []
+    for qid, text, folder in queries:
+        own = [(n, words(t)) for n, t, f in leaves if f == folder]
+        mean = sum(len(w) for _, w in own) / max(1, len(own))
+        scores = []
+        for n, w in own:
+            total = 0.0
+            for term in set(words(text)):
+                df, tf = sum(term in x for _, x in own), w.count(term)
+                if tf:
+                    total += math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / mean))
+            if total:
+                scores.append((-round(total, 9), n))
+        out += [(qid, n, -s, i) for i, (s, n) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def test_the_index_gives_the_plain_scores(spark, monkeypatch, tmp_path):
+    rng = random.Random(4)
+    words = [f"w{int(rng.paretovariate(0.6)) % 200}" for _ in range(30_000)]
+    leaves = [(i, " ".join(words[i * 40 : i * 40 + rng.choice([0, 1, 5, 40])]), rng.choice(["en", "de"])) for i in range(700)] + [(1000 + i, "w1 w2 w3", "en") for i in range(30)]
+    asked = [(i, " ".join(rng.choices(words, k=6)), rng.choice(["en", "de", "fr"])) for i in range(40)] + [(90, "w1 w2 w3", "en"), (91, "nowhere", "en"), (92, "", "en")]
+    table = spark.createDataFrame(leaves, "node_id long, text string, folder_id string").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, query string, folder_id string")
+    expected = sorted(_plain_bm25(leaves, asked, 5))
+    rows = lambda df: sorted((r.query_id, r.node_id, r.score, r["rank"]) for r in df.collect())
+    close = lambda a, b: [(q, n, pytest.approx(s, abs=2e-9), r) for q, n, s, r in a] == b
+    assert close(expected, rows(R.bm25_topk(queries, table, 5)))
+    monkeypatch.setattr(X, "QUERIES", 7)
+    monkeypatch.setattr(X, "SLICE_TOKENS", 900)
+    index = X.build_index(table, str(tmp_path / "index"), slice_leaves=50, block=4)
+    assert index.postings.select("slice").distinct().count() > 10
+    assert close(expected, rows(X.ask(index, queries, 5, block=4)))
+    assert close(expected, rows(R.bm25_topk(queries, table, 5, index=index))) is True
+
+
+def test_few_leaves_are_scored(spark, tmp_path):
+    """Of all pairs of a question and a leaf that has one of its tokens, at most a fifth get a score, and of the postings only those asked for are read."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(F.col("doc_id").alias("node_id"), "text")
+    asked = spark.read.parquet(f"{FOLDER}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    index = X.build_index(docs, str(tmp_path / "index"))
+    scored = X.ask(index, asked, 10, measure=True).agg(F.sum("scored")).first()[0]
+    words = lambda c: F.array_distinct(tokenize(F.col(c)))
+    hits = docs.select("node_id", F.explode(words("text")).alias("t")).join(asked.select("query_id", F.explode(words("query")).alias("t")), "t").select("query_id", "node_id").distinct().count()
+    assert 0 < scored <= 0.2 * hits, (scored, hits)
 
 
 def test_a_query_gets_leaves_of_its_folder(spark):
