@@ -29,7 +29,7 @@ from shelfmark.sources.durable import Scratch
 from .ranking import top_k
 
 #: Leaves of a slice and of a block; tokens of a slice (a longer leaf is a slice of its own).
-SLICE, BLOCK, SLICE_TOKENS = 4096, 16, 1 << 21
+SLICE, BLOCK, SLICE_TOKENS = 4096, 8, 1 << 21
 #: Queries that a task holds against a slice.
 QUERIES = 2048
 #: The first round scores leaves with a query's rarest terms, until these have so many leaves for each one asked for.
@@ -45,6 +45,7 @@ class KeywordIndex:
     spark: SparkSession
     path: str
     scoped: bool
+    block: int = BLOCK
 
     @property
     def postings(self) -> DataFrame:
@@ -76,8 +77,8 @@ def build_index(leaves: DataFrame, path: str, k1: float = 1.2, b: float = 0.75,
     tokens = leaves.select("node_id", (own if given is None else F.coalesce(given, own)).alias("tokens"), _scope(leaves, scoped)).where("tokens IS NOT NULL AND scope IS NOT NULL")
     scratch = Scratch(spark, "tokens")
     tokens = scratch.keep(tokens.select("node_id", "scope", F.transform("tokens", lambda t: _term(t, F.col("scope"))).alias("tokens")))
-    tokens.groupBy("scope").agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("mean")).write.mode("overwrite").parquet(f"{path}/scopes")
-    index = KeywordIndex(spark, path, scoped)
+    tokens.groupBy("scope").agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("mean"), F.lit(scoped).alias("scoped"), F.lit(block).alias("block")).write.mode("overwrite").parquet(f"{path}/scopes")
+    index = KeywordIndex(spark, path, scoped, block)
     kind = leaves.schema["node_id"].dataType.simpleString()
     schema = f"slice bigint, term bigint, n int, best double, leaf array<int>, impact array<double>, block array<int>, block_best array<double>, nodes array<{kind}>"
     counted = tokens.join(index.scopes.select("scope", "mean"), "scope").select("node_id", "tokens", "mean")
@@ -86,6 +87,12 @@ def build_index(leaves: DataFrame, path: str, k1: float = 1.2, b: float = 0.75,
     return index
 
 
+def open_index(spark: SparkSession, path: str) -> KeywordIndex:
+    """An index that `build_index` has written."""
+    made = spark.read.parquet(f"{path}/scopes").select("scoped", "block").first()
+    return KeywordIndex(spark, path, *(made or (False, BLOCK)))
+
+
 def _inverted(k1: float, b: float, most: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held, leaves, size = TaskContext.get().partitionId(), 0, [], 0, 0
@@ -158,33 +165,38 @@ def _slice(held: list[pa.RecordBatch], number: int, k1: float, b: float, block:
         yield rows.slice(i, 4096)
 
 
-def _scorer(k: int, kinds: tuple[str, str], block: int, measure: bool):
+def _scorer(k: int, block: int, measure: bool):
     def run(postings: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        """The k best leaves of a slice for each query, ties with the last one included; with `measure` a row without node for each query, with the number of leaves scored."""
+        """The k best leaves of a slice for each query, ties with the last one included; with `measure` a row without node for each query, with the number of leaves scored by all its terms."""
         head = postings["nodes"].notna()
         if not head.any() or not len(asked):
             return pd.DataFrame({"query_id": [], "node_id": [], "score": []})
         nodes = np.asarray(postings.loc[head, "nodes"].iloc[0])
         lists = {int(r.term): (np.asarray(r.leaf), np.asarray(r.impact), np.asarray(r.block), np.asarray(r.block_best)) for r in postings[~head].itertuples()}
-        score, bound = np.zeros(len(nodes)), np.zeros(-(-len(nodes) // block))
+        score, bound, rest = np.zeros(len(nodes)), *(np.zeros(-(-len(nodes) // block)) for _ in range(2))
         ids, found, points = [], [], []
         for query in asked.itertuples():
             terms = [(lists[term], idf, essential) for term, idf, essential in zip(query.terms.tolist(), query.idfs, query.essentials, strict=True) if term in lists]
-            bound[:] = 0
-            for (_, _, blocks, best), idf, _ in terms:
-                bound[blocks] += idf * best
-            alive = bound + _SLACK >= query.least
-            every = alive.all()
-            touched = []
-            score[:] = 0
+            bound[:], rest[:], score[:] = 0, 0, 0
+            for (_, _, blocks, best), idf, essential in terms:
+                (bound if essential else rest)[blocks] += idf * best
+            alive = bound + rest + _SLACK >= query.least
+            every, touched = alive.all(), []
             for (leaf, impact, _, _), idf, essential in terms:
-                if not every:
-                    inside = alive[leaf // block]
-                    leaf, impact = leaf[inside], impact[inside]
-                score[leaf] += idf * impact
                 if essential:
+                    if not every:
+                        inside = alive[leaf // block]
+                        leaf, impact = leaf[inside], impact[inside]
+                    score[leaf] += idf * impact
                     touched.append(leaf)
             leaves = np.unique(np.concatenate(touched)) if touched else np.zeros(0, dtype=np.int64)
+            # the other terms are looked up for leaves that can still reach the least score with them
+            leaves = leaves[score[leaves] + rest[leaves // block] + _SLACK >= query.least]
+            for (leaf, impact, _, _), idf, essential in terms:
+                if not essential and len(leaves):
+                    at = np.minimum(np.searchsorted(leaf, leaves), len(leaf) - 1)
+                    has = leaf[at] == leaves
+                    score[leaves[has]] += idf * impact[at[has]]
             if measure:
                 ids.append(query.query_id), found.append(None), points.append(float(len(leaves)))
             if not len(leaves):
@@ -201,7 +213,7 @@ def _scorer(k: int, kinds: tuple[str, str], block: int, measure: bool):
     return run
 
 
-def _ranked(index: KeywordIndex, routed: DataFrame, k: int, parts: int, block: int, measure: bool = False) -> DataFrame:
+def _ranked(index: KeywordIndex, routed: DataFrame, k: int, parts: int, measure: bool = False) -> DataFrame:
     """(query_id, node_id, score) from the slices that the queries (slice, query_id, terms, idfs, essentials, least) are sent to."""
     asked = routed.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     needed = asked.select("slice", "part", F.explode("terms").alias("term")).distinct()
@@ -211,10 +223,10 @@ def _ranked(index: KeywordIndex, routed: DataFrame, k: int, parts: int, block: i
     rows = lists.union(heads).withColumnsRenamed({"slice": "of", "part": "dealt"}).select(*[F.col(c).alias(c) for c in ("of", "dealt", "term", "leaf", "impact", "block", "block_best", "nodes")])
     kinds = (routed.schema["query_id"].dataType.simpleString(), rows.schema["nodes"].dataType.elementType.simpleString())
     both = rows.groupBy("of", "dealt").cogroup(asked.groupBy("slice", "part"))
-    return both.applyInPandas(_scorer(k, kinds, block, measure), f"query_id {kinds[0]}, node_id {kinds[1]}, score double")
+    return both.applyInPandas(_scorer(k, index.block, measure), f"query_id {kinds[0]}, node_id {kinds[1]}, score double")
 
 
-def ask(index: KeywordIndex, queries: DataFrame, k: int, block: int = BLOCK, measure: bool = False) -> DataFrame:
+def ask(index: KeywordIndex, queries: DataFrame, k: int, measure: bool = False) -> DataFrame:
     """(query_id, node_id, score, rank): Okapi BM25 over leaves that have any of a query's tokens; ties by node_id. With measure: (query_id, scored), the leaves that were scored in all.
 
     queries: (query_id, query[, folder_id]). An index with folders gives a query leaves of its own folder only. The result is written, k rows a query.
@@ -239,13 +251,13 @@ def ask(index: KeywordIndex, queries: DataFrame, k: int, block: int = BLOCK, mea
         return scratch.keep(slices.join(lists, "query_id"))
 
     first = weighed.select("query_id", "term", "idf", F.col("seed").alias("essential"), F.lit(0.0).alias("least"))
-    seeds = top_k(_ranked(index, routed(first), k, parts, block), k, ["query_id"], F.desc("score"), F.col("node_id"))
+    seeds = top_k(_ranked(index, routed(first), k, parts), k, ["query_id"], F.desc("score"), F.col("node_id"))
     reached = scratch.keep(seeds.where(F.col("rank") == k).select("query_id", F.col("score").alias("least")))
     ascending = Window.partitionBy("query_id").orderBy("most", "term")
     second = weighed.join(reached, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
     second = second.withColumn("essential", F.sum("most").over(ascending) + _SLACK >= F.col("least"))
     second = second.select("query_id", "term", "idf", "essential", "least")
-    found = _ranked(index, routed(second), k, parts, block, measure)
+    found = _ranked(index, routed(second), k, parts, measure)
     if measure:
         out = found.where("node_id IS NULL").groupBy("query_id").agg(F.sum("score").cast("bigint").alias("scored"))
     else:
