@@ -11,6 +11,7 @@ from shelfmark.operators import chunking as K
 from shelfmark.plans import index as I
 from shelfmark.plans.search import list_files
 from shelfmark.sources import files as A
+from shelfmark.sources.chunk_store import read_chunks, write_chunks
 from shelfmark.sources.corpus import Corpus
 from shelfmark.sources.durable import checkpoint_folder
 
@@ -113,9 +114,9 @@ def a8_write_chunks(c: Corpus) -> DataFrame:
     """All documents written as chunks, then a third of them again with another text: those are replaced and the others stay."""
     path = f"{checkpoint_folder(c.spark)}/chunks-{uuid.uuid4().hex}"
     rows = _docs(c).join(c.documents.select(F.col("doc_id").alias("file_id"), F.col("lang").alias("folder_id")), "file_id")
-    A.write_chunks(rows, path)
-    A.write_chunks(rows.where("file_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" again"))), path)
-    return c.spark.read.schema(rows.schema).parquet(path).select("file_id", "folder_id", F.sha2("text", 256).alias("digest"))
+    write_chunks(rows, path)
+    write_chunks(rows.where("file_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" again"))), path)
+    return read_chunks(c.spark, path).select("file_id", "folder_id", F.sha2("text", 256).alias("digest"))
 
 
 @query("SELECT file_id FROM file_index WHERE file_id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)", "file_index")

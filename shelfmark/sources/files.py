@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,27 +59,6 @@ def with_question(entries: DataFrame, column: str = "question") -> DataFrame:
     return entries.where(F.length(F.trim(column)) > 0)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replaces the chunks of the files in `chunks`, and leaves others; writing the same twice changes nothing.
-
-    The table is partitioned by folder_id; only partitions that are touched are written. They are first written beside the
-    table and read from there, so that no plan reads what it overwrites.
-    """
-    spark = chunks.sparkSession
-    fresh = chunks
-    if _exists(spark, path):
-        old = spark.read.schema(chunks.schema).parquet(path)
-        folders = chunks.select("folder_id").distinct()
-        kept = old.join(folders, "folder_id", "left_semi").join(chunks.select("file_id").distinct(), "file_id", "left_anti")
-        fresh = kept.unionByName(chunks)
-    stage = f"{path.rstrip('/')}-stage-{uuid.uuid4().hex}"
-    fresh.write.partitionBy("folder_id").parquet(stage)
-    try:
-        spark.read.schema(chunks.schema).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder_id").parquet(path)
-    finally:
-        delete(spark, stage)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system that Spark knows."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -90,15 +67,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions `v=<number>` of a table under path."""
+    return [int(n[2:]) for n in listed(spark, path) if n.startswith("v=") and exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark knows; none where there is no folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(folder):
-        return []
-    names = [f.getPath().getName() for f in store.listStatus(folder)]
-    return [int(n[2:]) for n in names if n.startswith("v=") and _exists(spark, f"{path}/{n}/_SUCCESS")]
+    return [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 

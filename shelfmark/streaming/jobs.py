@@ -171,7 +171,7 @@ def auto_index(files: DataFrame, index: Callable[[DataFrame], None], checkpoint:
 def auto_index_corpus(files: DataFrame, index_path: str, chunks_path: str, checkpoint: str, first_index: DataFrame, **options):
     """Indexes new files (file_id, folder_id, content_hash, text, ...) end to end as they come: chunks into the table at chunks_path, their status into versions under index_path.
 
-    first_index: the index before any file. A batch that is written again changes nothing, since what it indexed is unchanged. options: those of `index_corpus`.
+    first_index: the index before any file. A batch that is written again changes nothing, since what it indexed is unchanged; a version that was killed half-written is written anew. options: those of `index_corpus`.
     """
     from shelfmark.plans.index import index_corpus
     from shelfmark.sources.files import delete, versions
@@ -181,7 +181,7 @@ def auto_index_corpus(files: DataFrame, index_path: str, chunks_path: str, check
         there = versions(spark, index_path)
         known = spark.read.parquet(f"{index_path}/v={max(there)}") if there else first_index
         fresh = index_corpus(batch, known, path=chunks_path, **options)["index"]
-        fresh.write.parquet(f"{index_path}/v={max(there, default=-1) + 1}")
+        fresh.write.mode("overwrite").parquet(f"{index_path}/v={max(there, default=-1) + 1}")
         for v in sorted(there)[:-1]:
             delete(spark, f"{index_path}/v={v}")
 

@@ -12,6 +12,7 @@ from shelfmark.operators import retrieval as R
 from shelfmark.plans import search as P
 from shelfmark.plans.index import embed_with, index_corpus
 from shelfmark.queries import QUERIES
+from shelfmark.sources.chunk_store import read_chunks
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -93,11 +94,11 @@ def test_index_with_tables_prefixes_and_a_table_of_chunks(spark, tmp_path):
     first = index_corpus(files, index, **options)
     rows = {r.file_id: r for r in first["index"].collect()}
     assert rows["x"].index_status == "indexed" and rows["x"].embedding_model is None and rows["f"].embedding_model == "m" and rows["f"].folder_id == "en" and rows["f"].chunk_count > 2
-    leaves = spark.read.parquet(str(tmp_path / "chunks")).collect()
+    leaves = read_chunks(spark, str(tmp_path / "chunks")).where("node_role = 'leaf'").collect()
     assert all(r.text.startswith("f.md\n\n") for r in leaves if r.file_id == "f") and [r.text for r in leaves if r.file_id == "g"] == ["about a sentence\n\nNur ein Satz."]
     assert next(r.tokens for r in leaves if r.file_id == "g")[-1] == "satz." and sum(r.text.count("a | b") for r in leaves) > 1
     index_corpus(files, first["index"], **options)
-    assert sorted(r.node_id for r in spark.read.parquet(str(tmp_path / "chunks")).collect()) == sorted(r.node_id for r in leaves)
+    assert sorted(r.node_id for r in read_chunks(spark, str(tmp_path / "chunks")).where("node_role = 'leaf'").collect()) == sorted(r.node_id for r in leaves)
 
 
 def _plain_bm25(leaves, queries, k, k1=1.2, b=0.75):
