@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,30 +206,89 @@ def provenance(chunks: DataFrame) -> DataFrame:
     return chunks.select("node_id", kind.alias("content_type"), page.alias("page_no"), F.array_distinct(F.filter(F.transform("items", lambda x: x["heading"]), lambda h: h.isNotNull())).alias("headings"))
 
 
-@F.pandas_udf(T.StringType())
-def _unescaped(text: pd.Series) -> pd.Series:
-    """Texts with their character references decoded, also the named ones, of which there are over two thousand."""
-    return text.map(unescape, na_action="ignore")
+#: Elements that end a block, and those whose content is no text.
+BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol table tr td th article section nav footer header br body html main aside".split())
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in ("script", "style")}
+#: The rest of a tag behind its name: quoted values may have any character. None of its parts can match in two ways.
+_REST = re.compile(r"""(?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*')|["'=])*+>""")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+
+
+def visible_blocks(html: str) -> list[tuple[str, list[str]]]:
+    """(text, path of headings) of the visible blocks of a page, in one walk from left to right that reads no character more often than a fixed number of times.
+
+    Scripts, styles, the head and comments are left out; what is left open reaches to the end of the page. Character references are decoded in each piece of text between
+    two marks by itself. White space inside a block becomes one space.
+    """
+    blocks: list[tuple[str, list[str]]] = []
+    path: dict[int, str] = {}
+    text: list[str] = []
+    level, at, hidden = 0, 0, False
+
+    def end() -> None:
+        nonlocal level
+        found = " ".join("".join(text).split())
+        text.clear()
+        if found:
+            if level:
+                for k in [k for k in path if k >= level]:
+                    del path[k]
+                path[level] = found
+            blocks.append((found, [path[k] for k in sorted(path)]))
+        level = 0
+
+    while at < len(html):
+        mark = html.find("<", at)
+        piece = html[at:] if mark < 0 else html[at:mark]
+        if piece and not hidden:
+            text.append(unescape(piece))
+        if mark < 0:
+            break
+        tag = _NAME.match(html, mark + 1)
+        if html.startswith("<!--", mark):
+            stop = html.find("-->", mark + 4)
+            at = len(html) if stop < 0 else stop + 3
+        elif tag is None:
+            if html[mark + 1 : mark + 2] in ("!", "?", "/"):
+                stop = html.find(">", mark)
+                at = len(html) if stop < 0 else stop + 1
+            else:  # a sign of its own
+                if not hidden:
+                    text.append("<")
+                at = mark + 1
+        else:
+            rest = _REST.match(html, tag.end())
+            if rest is None:
+                break  # a tag that never ends
+            at, name, closes = rest.end(), tag[1].lower(), html[mark + 1] == "/"
+            if name in BREAKS:
+                hidden = hidden and name != "body"
+                if not hidden:
+                    end()
+                    level = int(name[1]) if not closes and name[0] == "h" and name[1:].isdigit() else 0
+            elif name == "head":
+                hidden = not closes
+            elif name in _RAW and not closes:
+                stop = _RAW[name].search(html, at)
+                at = len(html) if stop is None else stop.start()
+    end()
+    return blocks
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, block_index, text, heading, headings): visible blocks of pages with the heading they stand under and those above it; scripts and styles are left out."""
-    bare = F.regexp_replace(F.translate("html", "\x01\x02", ""), r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", "")
-    marked = F.regexp_replace(bare, r"(?i)<h([1-6])\b[^>]*>", "\x01\x02$1")
-    blocks = F.split(F.regexp_replace(marked, r"(?i)</?(p|div|h[1-6]|li|ul|ol|table|tr|td|th|article|section|nav|footer|header|br|body|html|main|aside)\b[^>]*>", "\x01"), "\x01+")
-    rows = pages.select("page_id", F.posexplode(blocks).alias("at", "raw"))
-    level = F.when(F.startswith("raw", F.lit("\x02")), F.substring("raw", 2, 1).cast("int"))
-    plain = F.regexp_replace(F.regexp_replace("raw", "^\x02[1-6]", ""), r"<[^>]*>", "")
-    decoded = F.when(F.contains(plain, F.lit("&")), _unescaped(plain)).otherwise(plain)
-    text = F.trim(F.regexp_replace(decoded, r"[\s\x{00a0}]+", " "))
-    rows = rows.select("page_id", "at", text.alias("text"), level.alias("level")).where(F.length("text") > 0)
-    w = Window.partitionBy("page_id").orderBy("at")
-    seen = {k: F.last(F.when(F.col("level") == k, F.struct("at", "text")), ignorenulls=True).over(w) for k in range(1, 7)}
-    rows = rows.withColumns({f"h{k}": c for k, c in seen.items()})
-    # a heading counts if none of a higher level came after it
-    higher = lambda k: F.greatest(F.lit(-1), *[F.coalesce(F.col(f"h{j}.at"), F.lit(-1)) for j in range(1, k)], F.lit(-1))
-    path = F.array_compact(F.array(*[F.when(F.col(f"h{k}.at") > higher(k), F.col(f"h{k}.text")) for k in range(1, 7)]))
-    return rows.select("page_id", (F.row_number().over(w) - 1).alias("block_index"), "text", path.alias("headings")).select("page_id", "block_index", "text", F.try_element_at("headings", F.lit(-1)).alias("heading"), "headings")
+    """(page_id, block_index, text, heading, headings): visible blocks of pages with the heading they stand under and those above it (`visible_blocks`); a null page has none."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = visible_blocks(batch.column("html")[i].as_py() or "")
+                if found:
+                    ids = batch.column("page_id").take(pa.array([i] * len(found)))
+                    columns = [ids, pa.array(range(len(found)), pa.int32()), pa.array([t for t, _ in found], pa.string()), pa.array([h[-1] if h else None for _, h in found], pa.string()), pa.array([h for _, h in found], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["page_id", "block_index", "text", "heading", "headings"])
+
+    return pages.select("page_id", F.col("html").cast("string").alias("html")).mapInArrow(run, f"page_id {kind}, block_index int, text string, heading string, headings array<string>")
 
 
 def register_table_cells(spark, name: str = "table_cells") -> None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.sources.corpus import NOW, Corpus
+from shelfmark.sources.corpus import NOW, Corpus, query_log
+from shelfmark.sources.durable import checkpoint_folder
 from shelfmark.streaming import jobs as T
+from shelfmark.streaming import query_log as L
 
 from .registry import query
 
@@ -86,3 +90,28 @@ def t4_job_eta(c: Corpus) -> DataFrame:
     jobs = c.events.groupBy("user_id").agg(F.max(F.col("event_id") % 10).cast("int").alias("processed_files"))
     jobs = jobs.select(name, F.lit(10).alias("total_files"), "processed_files", F.when(F.col("user_id") % 3 != 0, (F.col("user_id") % 60).cast("double")).alias("elapsed"))
     return T.job_eta(jobs, timings)
+
+
+def _live(c: Corpus) -> DataFrame:
+    """The sketches that a stream over the log leaves, run until there is nothing new."""
+    path = f"{checkpoint_folder(c.spark)}/queries-{uuid.uuid4().hex}"
+    events = c.spark.readStream.schema(c.events.schema).parquet(f"{c.sf_dir}/events.parque[t]")  # a pattern, since a stream takes no single file
+    log = query_log(events).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    L.query_sketches_stream(log).writeStream.outputMode("update").foreachBatch(L.keep_sketches(f"{path}/sketches")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return L.last_sketches(c.spark.read.parquet(f"{path}/sketches"))
+
+
+@query("SELECT query, count(*) AS n, round(avg(result_count), 1) AS avg_hits, 0 AS error FROM query_log GROUP BY 1 ORDER BY n DESC, query LIMIT 20", "query_log")
+def t9_live_top_queries(c: Corpus) -> DataFrame:
+    """The most frequent queries from the stream's sketches, which hold all of them here."""
+    return L.live_top_queries(_live(c), 20)
+
+
+@query(
+    """SELECT count(*) AS total, count(*) FILTER (WHERE result_count = 0) AS zero, round(count(*) FILTER (WHERE result_count = 0) / count(*), 4) AS zero_rate,
+    CAST(round(avg(latency_ms)) AS BIGINT) AS avg_latency_ms, count(DISTINCT query) AS queries FROM query_log""",
+    "query_log",
+)
+def t9_live_kpis(c: Corpus) -> DataFrame:
+    sketches = _live(c)
+    return L.live_kpis(sketches).crossJoin(L.live_distinct(sketches))  # a row each

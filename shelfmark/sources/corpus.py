@@ -25,6 +25,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < size < cores * BYTES_PER_CORE else df
 
 
+def query_log(events: DataFrame) -> DataFrame:
+    """Events, as a table or a stream, as a query log."""
+    return events.select(
+        "event_id",
+        F.col("ts").cast("timestamp_ntz").alias("created_at"),
+        F.col("user_id").alias("folder_id"),
+        F.concat("event_type", F.lit(" "), (F.col("user_id") % 7).cast("string")).alias("query"),
+        F.when(F.col("event_type") == "error", 0).otherwise((F.col("event_id") % 20 + 1).cast("int")).alias("result_count"),
+        F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("latency_ms"),
+    )
+
+
 class Corpus:
     """Tables by name: those in the folder as they are, the others derived from them."""
 
@@ -84,14 +96,7 @@ class Corpus:
 
     @cached_property
     def query_log(self) -> DataFrame:
-        return self.events.select(
-            "event_id",
-            F.col("ts").cast("timestamp_ntz").alias("created_at"),
-            F.col("user_id").alias("folder_id"),
-            F.concat("event_type", F.lit(" "), (F.col("user_id") % 7).cast("string")).alias("query"),
-            F.when(F.col("event_type") == "error", 0).otherwise((F.col("event_id") % 20 + 1).cast("int")).alias("result_count"),
-            F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("latency_ms"),
-        )
+        return query_log(self.events)
 
     @cached_property
     def job_events(self) -> DataFrame:

@@ -1,3 +1,4 @@
+import time
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -146,3 +147,20 @@ def test_structured_chunks(spark):
 
 def estimate_of(text):
     return int(0.3 * len(text))
+
+
+def test_marks_inside_values_and_open_elements(spark):
+    blocks = lambda html: [t for t, _ in K.visible_blocks(html)]
+    assert blocks('<p title="a>b">c') == ["c"] and blocks("<p title='a>\"b' x=1>c</p>") == ["c"]
+    assert blocks("<p>a</p><script>var leaks = 1 < 2;") == ["a"] and blocks("<script>x</SCRIPT >y") == ["y"]
+    assert blocks("a<!-- b --><!-- c") == ["a"] and blocks("1 < 2 &lt;b&gt; a<b") == ["1 < 2 <b> a"]
+    assert blocks("x &am<b>p;</b> y") == ["x &amp; y"] and blocks("<head><title>t</title><body>b") == ["b"]
+    assert blocks("<style>a{}</style>b<!doctype html>c<?x?>d</3>e") == ["bcde"]
+    assert blocks("") == blocks("<p></p>  ") == blocks("<p") == []
+
+
+def test_blocks_take_time_by_length():
+    for html in ("<!--" * 250_000, '<p title="' * 100_000, "<p a=" * 200_000, "<script>" * 100_000, "<" * 1_000_000, "&am" * 300_000, "<p a='x\"" * 100_000, "</" * 500_000, "<p>" * 300_000):
+        began = time.perf_counter()
+        K.visible_blocks(html)
+        assert time.perf_counter() - began < 5, html[:20]
