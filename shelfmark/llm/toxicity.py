@@ -3,7 +3,7 @@
 A text is cut into clauses; each word has a class (insult, threat, target, negation, reported speech, other). Five small
 weighted transducers read the classes: what an insult or a threat weighs, and how a target, a negation or
 reported speech near it change that. Their composition scores a clause in one walk; a document's score follows from its
-clauses by a logistic model. Which words are insults or threats, and what each weighs, is learnt from labelled
+clauses by a logistic model (learnt words are insults; threats are the words known beforehand, with learnt weights). Which words are insults or threats, and what each weighs, is learnt from labelled
 documents together with a few words known beforehand.
 """
 
@@ -37,7 +37,7 @@ LEAST_SHARE, LEAST_ROWS, LEAST_ODDS, LEAST_DEVIATIONS = 0.01, 5, 1.8, 6.0
 #: What a known insult or threat weighs until labels tell.
 KNOWN_WEIGHT = 2.0
 
-_CLAUSE = str.maketrans({c: "\n" for c in ".!?;:"})
+_STOPS = ".!?;:"
 _EDGES = "*#$%&|,\"'()[]{}<>-_~/\\=+`“”„«»’"
 
 
@@ -76,8 +76,18 @@ def _grammar() -> Transducer:
 GRAMMAR = _grammar()
 
 
-def words_of(clause: str) -> list[str]:
-    return [w for w in (x.strip(_EDGES) for x in clause.split()) if w]
+def clauses(text: str) -> list[str]:
+    """A text cut at line ends and at stops, wherever these stand."""
+    for c in _STOPS:
+        text = text.replace(c, "\n")
+    return text.split("\n")
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a clause, or of all clauses of a text: the one tokeniser of learning and scoring."""
+    for c in _STOPS:
+        text = text.replace(c, " ")
+    return [w for w in (x.strip(_EDGES) for x in text.split()) if w]
 
 
 def features(text: str, lexicon: dict[str, tuple[int, float]]) -> list[float]:
@@ -88,10 +98,9 @@ def features(text: str, lexicon: dict[str, tuple[int, float]]) -> list[float]:
 
 def _features(text: str, lexicon: dict[str, tuple[int, float]], toxic: frozenset[str]) -> list[float]:
     best = total = hits = 0.0
-    words = text.split()
-    n = len(words)
-    if not toxic.isdisjoint(words) or not toxic.isdisjoint(w.strip(_EDGES + ".!?;:") for w in words):
-        for clause in text.translate(_CLAUSE).split("\n"):
+    n = len(text.split())
+    if not toxic.isdisjoint(words_of(text)):  # else no clause has a score
+        for clause in clauses(text):
             tokens = words_of(clause)
             if toxic.isdisjoint(tokens):
                 continue
@@ -128,7 +137,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
-            found[int(toxic == 1)].update({w.strip(_EDGES + ".!?;:") for w in (text or b"").decode(errors="replace").lower().split()} - {""})
+            found[int(toxic == 1)].update(set(words_of((text or b"").decode(errors="replace").lower())))
         if len(found[0]) + len(found[1]) > 500_000:
             yield out()
     yield out()
@@ -177,7 +186,7 @@ def held_out():
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of each document.
 
-    A null text counts as empty; empty texts get the score of a text without scored clauses. Null and repeated doc_ids are ordinary
+    A very long text is cut into clauses like any other and takes a few times its own memory; an empty table gives an empty one. A null text counts as empty; empty texts get the score of a text without scored clauses. Null and repeated doc_ids are ordinary
     rows; other columns are left out.
     """
     small_batches(docs.sparkSession)
