@@ -48,7 +48,9 @@ def external_shuffle(records: DataFrame, row_bytes: Column | int, seed: int = 17
     parts = parts.select("part", F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("part_offset"))
     inside = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.join(parts, "part").select("bucket", (F.col("part_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("offset"))
-    arrays = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("row_no", "record"))).alias("rows"))
+    # by the number alone: records may have columns that have no order
+    by_number = lambda a, b: F.when(a["row_no"] < b["row_no"], -1).when(a["row_no"] > b["row_no"], 1).otherwise(0)
+    arrays = scattered.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("row_no", "record")), by_number).alias("rows"))
     shuffled = arrays.join(offsets, "bucket").sortWithinPartitions("bucket").withColumn("rows", F.shuffle("rows", F.lit(seed)))
     return shuffled.select("offset", F.posexplode("rows")).select((F.col("offset") + F.col("pos")).alias("position"), F.col("col.record").alias("record"))
 

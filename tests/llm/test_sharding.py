@@ -46,3 +46,11 @@ def test_places_are_those_of_whole_documents_in_the_written_shards(spark):
     written = spark.read.parquet(folder).select("record.*", "shard", "slot").collect()
     assert sorted((r.doc_id, r.text, r.source) for r in written) == sorted(map(tuple, docs.collect()))
     assert {(r.doc_id, r.shard, r.slot) for r in written} == {(r.doc_id, r.shard, r.slot) for r in out.collect()}
+
+
+def test_columns_without_order_and_very_long_texts(spark):
+    rows = [(i, "x" * (2_000_000 if i == 7 else i), {"k": i}, [{"a": [i]}]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot map<string,int>, shard array<struct<a:array<int>>>")
+    out = S.assign_shards(docs).collect()
+    assert sorted(r.doc_id for r in out) == list(range(40)) and sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(8) for k in range(5)]
+    assert next(r["size"] for r in out if r.doc_id == 7) == 2_000_001
