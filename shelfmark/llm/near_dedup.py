@@ -115,11 +115,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, shingles) of rows (id, set_key, text) whose text has the set of that key."""
     for batch in batches:
         texts = [t or b"" for t in as_bytes(batch.column("text"))]
+        ids, keys = batch.column("id").to_pylist(), batch.column("set_key").to_pylist()
         for i, j in steps(texts):
-            sets = list(shingle_sets(texts[i:j]))
-            yield pa.RecordBatch.from_arrays([pa.array(map(_set_key, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_key", "shingles"])
+            found = [(x, s.tobytes()) for x, k, s in zip(ids[i:j], keys[i:j], shingle_sets(texts[i:j]), strict=True) if _set_key(s) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["id", "shingles"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,11 +286,7 @@ class _Graph:
         self.signed = durable(texts.mapInArrow(_signed, f"doc_id {kind}, n_shingles bigint, set_key binary, marks binary, bands array<bigint>"))
         some = self.signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
         self.repeated = not some.groupBy("doc_id").count().where("count > 1").isEmpty()
-        classes = durable(some.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"), F.first("bands").alias("bands")))
-        total = classes.count()
-        salt = next(k for k in count() if classes.select(F.xxhash64(F.lit(k), "set_key")).distinct().count() == total)  # one number for each
-        self.number = F.xxhash64(F.lit(salt), "set_key")
-        classes = classes.withColumn("id", self.number)
+        classes = durable(some.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))  # numbers that are written once
         self.classes = classes.select("set_key", "id", "least")
 
         placed = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
@@ -298,10 +296,10 @@ class _Graph:
         stars = durable(members.where(near).select(F.col("id").alias("a"), F.col("center.id").alias("b")).distinct())
         marks = classes.select("id", "marks")
         shared = members.select("id").distinct()
-        needed = texts.join(self.classes.join(shared, "id").select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
-        sets = needed.mapInArrow(_sets, "set_key binary, shingles binary").select(self.number.alias("id"), "shingles")
-        if self.repeated:  # a doc_id's rows can have other sets, or the same again
-            sets = sets.join(shared, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+        needed = texts.join(self.classes.join(shared, "id").select(F.col("least").alias("doc_id"), "id", "set_key"), "doc_id").select("id", "set_key", "text")
+        sets = needed.mapInArrow(_sets, "id bigint, shingles binary")
+        if self.repeated:  # a doc_id's rows can have the same set again
+            sets = sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
         sets = durable(sets)
         self.links = durable(_confirm(_agreeing(stars, marks), sets))
         self.found = components(self.links)
@@ -337,7 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     graph = _Graph(docs)
     found, signed = graph.found, graph.signed
     if graph.repeated:
-        own = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", graph.number.alias("id")).distinct()
+        own = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "set_key").distinct().join(graph.classes.select("set_key", "id"), "set_key").select("doc_id", "id")
         firsts = own.groupBy("doc_id").agg(F.min("id").alias("b"))
         again = own.join(firsts, "doc_id").where("id != b").select(F.col("id").alias("a"), "b")
         found = components(graph.links.union(again))
