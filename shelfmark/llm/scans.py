@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Elements of a block whose links one task follows together; elements that are walked through at the end, at most.
-BLOCK, LAST = 1 << 15, 256
+BLOCK, LAST = 1 << 12, 256
 
 
 def _power(base: int, exponent: np.ndarray) -> np.ndarray:
