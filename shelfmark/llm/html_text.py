@@ -5,8 +5,10 @@ its text, and by its shape (names and classes, text masked, equal neighbours as
 and change their words. Spark counts on how many different pages of a host each hash stands, and how much of those pages'
 text it holds. Places (paths of names and classes) that hold half of the host's text or more are its content and stay.
 Beside them, what recurs on many pages goes: by text at once, by shape if it is short or mostly links. Inside them only
-what recurs much more often goes. Where the count cannot decide, as on hosts of a few pages, the page's own marks do:
-elements that HTML defines for menus, forms and the like, and classes made of words for such parts.
+what recurs much more often goes. Beside the count the page's own marks tell what is no text: elements that HTML defines for
+menus, forms and the like, and classes made of words for such parts. Words that an article may well use of its own parts
+(`related`, `menu`, `notice`) say nothing by themselves inside an article: there the host's count decides, and on hosts of a few pages such a part goes only
+if it is mostly links. A headline that stands before an article without one belongs to it.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, durable, small_batches
+from .common import as_bytes, durable, mix, small_batches
 
 #: Pages that a template stands on: at least so many, and at least the square root of the host's pages (by text) or this share of them (by shape).
 LEAST_PAGES, SHARE_SHAPE = 3, 0.1
@@ -29,8 +32,12 @@ LEAST_PAGES, SHARE_SHAPE = 3, 0.1
 SHARE_INSIDE, SHARE_STATED, LEAST_STATED = 0.5, 0.9, 10
 #: A recurring shape is short if it holds at most this share of its pages' text.
 SHORT = 0.2
-#: Hashes of all hosts' templates that are sent to all tasks (8 bytes each); beyond, pages and templates are joined by host.
+#: Pages from which on a host's count decides about doubtful marks inside articles.
+LEAST_DECIDED = 10
+#: Hashes of all hosts' templates that are sent to all tasks (8 bytes each); beyond, pages are dealt out by host and meet its templates there.
 MOST_BROADCAST = 1_000_000
+#: Pages of a host that one task reads, where pages are dealt out by host.
+PAGES_A_TASK = 20_000
 
 # HTML element names, and words that name parts of a page.
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -43,6 +50,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 CONTAINERS = frozenset("aside center details div dl fieldset footer form header menu nav ol section table ul".split())
 HEADINGS = frozenset("h1 h2 hgroup".split())
 PARTS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations pagination pager toolbar skip login signup searchform searchbox".split())
+DOUBTFUL = frozenset("alert banner menu notice notices promotion related widget".split())
 AROUND_PARTS = frozenset("area bar block bottom box buttons column container content dialog form global group header inline inner item items js left link links list main media message nav outer page panel policy post posts primary right row secondary section site slot text thread title top unit wrap wrapper".split())
 SUBJECT = frozenset("abstract article body content entry headline heading intro lead main post story summary text title".split())
 ARTICLE = frozenset(("article", "main"))
@@ -73,10 +81,10 @@ def _encoded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def _attributes(name: str, source: str) -> tuple[tuple[str, ...], bool]:
-    """Stable classes (without digits), and whether the attributes say that the element is no part of the article."""
+def _attributes(name: str, source: str) -> tuple[tuple[str, ...], bool, bool]:
+    """Stable classes (without digits), and whether the attributes say that the element is no part of the article, or say so by a word that may be the article's own."""
     classes: tuple[str, ...] = ()
-    out = False
+    out = doubtful = False
     for key, value in _ATTRIBUTE.findall(source):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -86,23 +94,27 @@ def _attributes(name: str, source: str) -> tuple[tuple[str, ...], bool]:
         elif key == "role":
             out |= value in ROLES
         elif key in ("class", "id") and name in CONTAINERS:
-            each = value.split()
-            # a class or id counts if it has a word for such a part and no word that may be an article's
-            out |= any(not PARTS.isdisjoint(words) and all(w in PARTS or w in AROUND_PARTS or w.isdigit() for w in words) for words in map(_WORD.findall, each))
+            for words in map(_WORD.findall, value.split()):
+                # a class or id counts if it has a word for such a part and no word that may be an article's
+                if not PARTS.isdisjoint(words) and all(w in PARTS or w in AROUND_PARTS or w.isdigit() for w in words):
+                    if len(words) == 1 and words[0] in DOUBTFUL:
+                        doubtful = True
+                    else:
+                        out = True
         if key == "class":
             classes = tuple(sorted({c for c in value.split() if not any(x.isdigit() for x in c)}))
-    return classes, out
+    return classes, out, doubtful
 
 
 class Page:
     """Elements and blocks of a page, in order. Element 0 stands for the page.
 
-    Of each element: name, parent, classes, marked (by the page's own marks), chars and links (code points of text, and of that in links),
+    Of each element: name, parent, classes, marked (by the page's own marks), doubtful (marked inside an article by a word that may be its own), chars and links (code points of text, and of that in links),
     plain (chars that no mark covers), slot (hash of its path), shape and text hash. blocks: (text, element).
     """
 
     def __init__(self, source: str, marks: bool = True) -> None:
-        self.names, self.parent, self.classes, self.marked, self.in_article = ["#page"], [-1], [()], [False], [False]
+        self.names, self.parent, self.classes, self.marked, self.doubtful, self.in_article = ["#page"], [-1], [()], [False], [False], [False]
         self.blocks: list[tuple[str, int]] = []
         self._seq: list[list[int]] = [[]]  # of each element: -1 - block, or child element
         self._link_chars: list[int] = []
@@ -117,7 +129,7 @@ class Page:
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join(entities.unescape("".join(self._text)).split())
+            text = " ".join("".join(self._text).split())
             if text:
                 element = self._stack[-1][1] if self._stack else 0
                 self._seq[element].append(-1 - len(self.blocks))
@@ -155,15 +167,16 @@ class Page:
                 self._text.append(" ")
             return
         element, out, link = self._stack[-1][1:] if self._stack else (0, False, False)
-        classes, marked = _attributes(name, attributes) if attributes else ((), False)
+        classes, marked, doubtful = _attributes(name, attributes) if attributes else ((), False, False)
         if name in BLOCK and name not in ("html", "body"):
             inside = self.in_article[element]
-            marked |= name in LEFT_OUT or name == "header" and not inside
+            marked |= name in LEFT_OUT or name == "header" and not inside or doubtful and not inside
             self.parent.append(element)
             self._seq[element].append(len(self.names))
             element = len(self.names)
             self.names.append(name), self.classes.append(classes), self._seq.append([])
             self.marked.append(marked and self._marks)
+            self.doubtful.append(doubtful and not marked and self._marks)
             self.in_article.append(inside or name in ARTICLE or "main" in attributes and bool(re.search(r"role\s*=\s*[\"']?main\b", attributes)))
         else:
             out |= name in LEFT_OUT or marked and name not in ("html", "body")
@@ -175,6 +188,7 @@ class Page:
     def _add(self, text: str) -> None:
         out, link = self._stack[-1][2:] if self._stack else (False, False)
         if not out:
+            text = entities.unescape(text)  # a reference does not go on behind a tag
             self._text.append(text)
             self._linked += len(text.strip()) if link else 0
 
@@ -283,8 +297,14 @@ class Page:
                     out[kind, value] = (before[0] + chars, page, before[2] + self.links[i])
         return out
 
-    def kept(self, content: frozenset[int], outside: frozenset[int], inside: frozenset[int], stated: frozenset[int], containers: frozenset[int]) -> list[str]:
-        """The blocks that stay, given the host's content places and templates (see `site_templates`)."""
+    def hashes(self) -> list[np.ndarray]:
+        """The page's hashes that can be in each of SETS."""
+        slot, text, shape = (np.array(x, dtype=np.int64) for x in (self.slot, self.text_hash, self.shape))
+        both = np.concatenate((text, shape))
+        return [slot, both, both, text, text]
+
+    def kept(self, content: frozenset[int], outside: frozenset[int], inside: frozenset[int], stated: frozenset[int], containers: frozenset[int], decided: bool = False) -> list[str]:
+        """The blocks that stay, given the host's content places and templates (see `site_templates`), and whether it has LEAST_DECIDED pages."""
         n = len(self.names)
         stays = [i > 0 and self.slot[i] in content for i in range(n)]
         if not any(stays):  # the host says nothing about this page: what holds most of it stays
@@ -310,15 +330,31 @@ class Page:
                 gone[i] = True
             elif i not in main:
                 text, shape, part = self.text_hash[i], self.shape[i], self.names[i] in CONTAINERS
-                if part and not self.leaf[i] and text in containers:
+                if self.doubtful[i] and (text in outside or shape in outside if decided else 2 * self.links[i] >= self.chars[i]):
+                    gone[i] = True
+                elif part and not self.leaf[i] and text in (inside if in_stated[up] else containers):
                     gone[i] = True
                 elif stays[i] or goes_on[i]:
                     pass
-                elif not in_content[up]:
+                elif not in_content[up] and not in_stated[up]:
                     gone[i] = text in outside or part and not self.titled[i] and shape in outside
                 else:
                     gone[i] = text in (stated if in_stated[i] else inside) or part and shape in inside
-        return [text for text, i in self.blocks if not gone[i] and (in_stated[i] or not says_so)]
+        headline = self._headline(gone, in_stated) if says_so else -1
+        return [text for at, (text, i) in enumerate(self.blocks) if not gone[i] and (in_stated[i] or not says_so or at == headline)]
+
+    def _headline(self, gone: list[bool], in_stated: list[bool]) -> int:
+        """The last block of an h1 before an article that has none itself; -1 without one."""
+        found, before = -1, True
+        for at, (_, i) in enumerate(self.blocks):
+            if gone[i]:
+                continue
+            if in_stated[i] and self.names[i] == "h1":
+                return -1
+            before = before and not in_stated[i]
+            if before and self.names[i] == "h1":
+                found = at
+        return found
 
 
 def host(url):
@@ -350,14 +386,8 @@ def _named(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.xxhash64(host(F.col("url").cast("string"))).alias("site"))
 
 
-def site_templates(pages: DataFrame, marks: bool = True) -> DataFrame:
-    """(site, content, outside, inside, stated, containers): hashes by host (site is the hash of its name).
-
-    content: places with half of the host's text. outside: texts on as many pages as the square root of the host's, and shapes that are short or
-    mostly links on SHARE_SHAPE of them. inside: texts and shapes made of links on SHARE_INSIDE of them. stated: texts on SHARE_STATED of them.
-    containers: as outside, by text; they go inside the content too where they are more than a paragraph. Pages with the same main part count once. marks: whether the pages' own marks tell what is no text.
-    The hashes of a host are at most about as many as the square root of its pages times the elements of a page.
-    """
+def _templates(pages: DataFrame, marks: bool) -> DataFrame:
+    """As `site_templates`, with the number of the host's different pages; hosts of LEAST_DECIDED pages are there without templates too."""
     small_batches(pages.sparkSession)
     seen = _named(pages).select("site", "html").mapInArrow(_seen(marks), _SEEN)
     each = seen.groupBy("site", "kind", "hash", "mark").agg(*[F.max(c).alias(c) for c in ("chars", "page_chars", "links")])
@@ -365,47 +395,121 @@ def site_templates(pages: DataFrame, marks: bool = True) -> DataFrame:
     counts = each.groupBy("site", "kind", "hash").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("chars", "page_chars", "links")])
     counts = durable(counts.where(root | (F.col("n") >= LEAST_PAGES)))
     sites = counts.where(root).select("site", F.col("n").alias("pages"))
-    judged = counts.where(~root).join(sites, "site")
+    judged = counts.join(sites, "site")
     n, pages_, kind = F.col("n"), F.col("pages"), F.col("kind")
     often, by_shape, mostly = n >= F.sqrt(pages_), n >= SHARE_SHAPE * pages_, n >= SHARE_INSIDE * pages_
     linked, short = 2 * F.col("links") >= F.col("chars"), F.col("chars") <= SHORT * F.col("page_chars")
     sets = {
-        "content": (kind == SLOT) & often & (2 * F.col("chars") >= F.col("page_chars")) & (F.col("page_chars") > 0),
+        "content": ~root & (kind == SLOT) & often & (2 * F.col("chars") >= F.col("page_chars")) & (F.col("page_chars") > 0),
         "outside": (kind == TEXT) & often | (kind == SHAPE) & by_shape & (linked | short),
         "inside": (kind == TEXT) & mostly & (n > LEAST_PAGES) | (kind == SHAPE) & mostly & linked,
         "stated": (kind == TEXT) & (n >= SHARE_STATED * pages_) & (n >= LEAST_STATED),
         "containers": (kind == TEXT) & often & (n > LEAST_PAGES),
     }
-    some = sets["content"] | sets["outside"] | sets["inside"] | sets["stated"] | sets["containers"]
-    return judged.where(some).groupBy("site").agg(*[F.collect_list(F.when(c, F.col("hash"))).alias(name) for name, c in sets.items()])
+    some = sets["content"] | sets["outside"] | sets["inside"] | sets["stated"] | sets["containers"] | root & (n >= LEAST_DECIDED)
+    return judged.where(some).groupBy("site", "pages").agg(*[F.collect_list(F.when(c, F.col("hash"))).alias(name) for name, c in sets.items()])
+
+
+def site_templates(pages: DataFrame, marks: bool = True) -> DataFrame:
+    """(site, content, outside, inside, stated, containers): hashes by host (site is the hash of its name).
+
+    content: places with half of the host's text. outside: texts on as many pages as the square root of the host's, and shapes that are short or
+    mostly links on SHARE_SHAPE of them. inside: texts and shapes made of links on SHARE_INSIDE of them. stated: texts on SHARE_STATED of them.
+    containers: as outside, by text; where they are more than a paragraph they go inside the content too, but inside an element that says it is the article only those that are in `inside` as well.
+    Pages with the same main part count once. marks: whether the pages' own marks tell what is no text.
+    The hashes of a host are at most about as many as the square root of its pages times the elements of a page.
+    """
+    some = [F.size(c) > 0 for c in SETS]
+    return _templates(pages, marks).where(some[0] | some[1] | some[2] | some[3] | some[4]).select("site", *SETS)
 
 
-def _extracted(marks: bool):
+def _keys(site: np.ndarray, hashes: np.ndarray, number: int) -> np.ndarray:
+    """One number for a host, a hash and the number of the set it is in."""
+    return mix(hashes.astype(np.int64).view(np.uint64) ^ mix(np.atleast_1d(np.asarray(site, dtype=np.int64)).view(np.uint64) + np.uint64(number)))
+
+
+def _table(rows: pa.Table) -> np.ndarray:
+    """All templates as one sorted array of `_keys`; hosts of LEAST_DECIDED pages have one of the number after the sets'."""
+    sites, parts = rows.column("site").to_numpy(), []
+    for number, name in enumerate(SETS):
+        lists = rows.column(name).combine_chunks()
+        parts.append(_keys(np.repeat(sites, lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False), number))
+    large = sites[rows.column("pages").to_numpy() >= LEAST_DECIDED]
+    return np.sort(np.concatenate((*parts, _keys(large, np.zeros(len(large), dtype=np.int64), len(SETS)))))
+
+
+def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted table?"""
+    if not len(table):
+        return np.zeros(len(keys), dtype=bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
+
+
+def _text(page: Page, site: int, table: np.ndarray) -> str:
+    """The page's text, given all templates of its host: only the page's own hashes are looked up."""
+    hashes = page.hashes()
+    found = [frozenset(h[_among(_keys(site, h, number), table)].tolist()) for number, h in enumerate(hashes)]
+    return "\n".join(page.kept(*found, bool(_among(_keys(site, np.zeros(1, dtype=np.int64), len(SETS)), table)[0])))
+
+
+def _extracted(marks: bool, shared):
+    """Texts of pages, by templates that all tasks have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, dtype=np.uint64)
         for batch in batches:
-            texts = []
-            sets = [batch.column(c).to_pylist() for c in SETS]
-            for source, *each in zip(as_bytes(batch.column("html")), *sets, strict=True):
-                page = Page((source or b"").decode(errors="replace"), marks)
-                texts.append("\n".join(page.kept(*[frozenset(x or ()) for x in each])))
+            texts = [_text(Page((source or b"").decode(errors="replace"), marks), site, table) for site, source in zip(batch.column("site").to_pylist(), as_bytes(batch.column("html")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return run
 
 
-def main_text(pages: DataFrame, marks: bool = True) -> DataFrame:
+def _extracted_by_host(marks: bool):
+    """Texts of pages that follow the row of their host's templates; a task holds the templates of one host at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, of = np.zeros(0, dtype=np.uint64), None
+        for batch in batches:
+            texts, rows = [], []
+            is_page = batch.column("is_page").to_pylist()
+            for i, (site, source) in enumerate(zip(batch.column("site").to_pylist(), as_bytes(batch.column("html")), strict=True)):
+                if not is_page[i]:
+                    table, of = _table(pa.Table.from_batches([batch.slice(i, 1)])), site
+                    continue
+                texts.append(_text(Page((source or b"").decode(errors="replace"), marks), site, table if of == site else table[:0]))
+                rows.append(i)
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(at), batch.column("url").take(at), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
+
+def _dealt(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """Pages in partitions by host, behind a row of the host's templates each. A host of many pages is dealt over several, each with the templates."""
+    sites = pages.groupBy("site").agg(F.ceil(F.count("*") / PAGES_A_TASK).cast("int").alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("html", "page_id", "url"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
+    # equal rows of one page are one text, so that they may lie in one part
+    own = pages.join(sites, "site", "left").select("site", part, F.lit(True).alias("is_page"), "page_id", "url", "html")
+    first = templates.join(sites, "site", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).withColumn("is_page", F.lit(False)).drop("parts")
+    return own.unionByName(first, allowMissingColumns=True).repartition("site", "part").sortWithinPartitions("site", "part", "is_page")
+
+
+def main_text(pages: DataFrame, marks: bool = True, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """page_id, url, text and n_chars of each page.
 
     A null or empty html gives an empty text; bytes that are no UTF-8 become replacement characters. Pages without a URL make up one host. Null and
     repeated page_ids are ordinary rows; other columns are left out; an empty table gives an empty one. A page is read as a whole by one task, in time
     proportional to its length. marks: whether elements and classes that HTML or their words say are no article go where the count does not decide.
+    most_broadcast: templates that are sent to all tasks; more of them meet their pages by host, with the same texts.
     """
     small_batches(pages.sparkSession)
-    templates = durable(site_templates(pages, marks))
+    templates = durable(_templates(pages, marks))
     size = templates.agg(F.coalesce(F.sum(sum((F.size(c) for c in SETS), F.lit(2))), F.lit(0))).first()[0]
-    if size <= MOST_BROADCAST:
-        templates = F.broadcast(templates)
-    kind = pages.schema["page_id"].dataType.simpleString()
-    joined = _named(pages).join(templates, "site", "left").select("page_id", "url", "html", *SETS)
-    out = joined.mapInArrow(_extracted(marks), f"page_id {kind}, url string, text string")
+    named = _named(pages)
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
+    if size <= most_broadcast:
+        shared = pages.sparkSession.sparkContext.broadcast(_table(templates.toArrow()).tobytes())
+        out = named.mapInArrow(_extracted(marks, shared), schema)
+    else:
+        out = _dealt(named, templates).mapInArrow(_extracted_by_host(marks), schema)
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -70,7 +70,27 @@ def test_marks_do_not_take_articles():
     assert text('<article><div class="related-posts">r</div><section class="comment-list">c</section><p>x</p></article>') == "x"
 
 
-@pytest.mark.parametrize("source", ["<!--" * 250_000, "<div>" * 100_000 + "x", "<li>" * 100_000, "<ul><li>" * 50_000 + "x", "<a '" * 100_000, '<a "' * 100_000, "<p><b>" + "<b>" * 50_000 + "<button>" + "<div>x" * 50_000, "<![CDATA[" * 100_000, "</x>" * 200_000])
+def test_doubtful_marks_inside_an_article_are_left_to_the_count():
+    source = '<article><p>Body</p><section id="related"><h2>Related work</h2><p>x</p></section><div class="notice text">n</div><ul class="menu items"><li>Soup</ul></article>'
+    assert text(source) == "Body\nRelated work\nx\nn\nSoup"
+    assert text('<article><p>Body</p><ul class="menu"><li><a href="/">Soup</a></ul></article><div class="notice">n</div>') == "Body"
+    page = H.Page(source)
+    notice = frozenset(h for h, name in zip(page.text_hash, page.classes, strict=True) if "notice" in name)
+    assert "\n".join(page.kept(NONE, notice, NONE, NONE, NONE, True)) == "Body\nRelated work\nx\nSoup"
+
+
+def test_headline_before_the_article_stays():
+    body = "<p>It is long enough to be the main part.</p>"
+    assert text(f"<h1>Head</h1><article>{body}</article>").startswith("Head\nIt is")
+    assert text(f"<h1>Site</h1><article><h1>Head</h1>{body}</article>").startswith("Head\nIt is")
+    assert text(f"<header><h1>Site</h1></header><h1>Head</h1><p>by line</p><article>{body}</article><h1>Late</h1>") == f"Head\n{body[3:-4]}"
+
+
+def test_references_end_with_their_text_node():
+    assert text("x &am<b>p;</b> &lt;<i>b</i>&gt;") == "x &amp; <b>"
+
+
+@pytest.mark.parametrize("source", ["<h1>x</h1>" * 50_000 + "<article>" + "y " * 200_000 + "</article>", "<!--" * 250_000, "<div>" * 100_000 + "x", "<li>" * 100_000, "<ul><li>" * 50_000 + "x", "<a '" * 100_000, '<a "' * 100_000, "<p><b>" + "<b>" * 50_000 + "<button>" + "<div>x" * 50_000, "<![CDATA[" * 100_000, "</x>" * 200_000])
 def test_time_grows_with_the_length(source):
     began = time.time()
     text(source)
@@ -119,6 +139,48 @@ def test_a_passage_that_some_articles_share_stays(spark):
     assert all(("A passage" in out[i]) == (i % 3 == 0) and f"T {i}\n" in out[i] for i in range(60))
 
 
+@pytest.mark.parametrize("most", [0, H.MOST_BROADCAST])
+def test_parts_of_articles_stay_on_large_hosts(spark, most):
+    """A passage of two paragraphs quoted by 15 of 225 articles, a section about related work, a notice that all articles have."""
+    quoted = "<div><p>A passage that some quote.</p><p>And its second half.</p></div>"
+    rows = []
+    for i in range(225):
+        related = f'<section id="related"><h2>Related work {i}</h2><p>{_story(i + 1000)}</p><p>end</p></section>' if i % 9 == 0 else ""
+        rows.append((i, "https://a.example/", f'<nav>m</nav><article><h1>T {i}</h1><p>{_story(i)}</p>{quoted if i % 15 == 0 else ""}{related}<div class="notice">Read our terms</div></article>'))
+    out = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), most_broadcast=most).collect()}
+    assert len(out) == 225
+    for i, found in out.items():
+        assert found.startswith(f"T {i}\n{_story(i)}") and "terms" not in found and not found.startswith("m")
+        assert ("second half" in found) == (i % 15 == 0) and (f"Related work {i}\n{_story(i + 1000)}" in found) == (i % 9 == 0)
+
+
+@pytest.mark.parametrize("most", [0, H.MOST_BROADCAST])
+def test_texts_are_those_of_brute_force(spark, most, monkeypatch):
+    """Both ways to bring templates to pages give what each page keeps by its host's templates; a hot host is dealt over several tasks."""
+    monkeypatch.setattr(H, "PAGES_A_TASK", 3)
+    pages = given(spark, "0.01")
+    pages = pages.unionByName(spark.createDataFrame([(None, None, None), (1, "x", "")], pages.select("page_id", "url", "html").schema), allowMissingColumns=True)
+    rows = H._named(pages).collect()
+    sets = brute([(r.site, r.html) for r in rows], True)
+    sites = defaultdict(set)
+    for r in rows:
+        sites[r.site].add(H.Page(r.html or "").signature())
+    kept = lambda r: "\n".join(H.Page(r.html or "").kept(*(sets[r.site] if r.site in sets else [NONE] * 5), len(sites[r.site]) >= 10))
+    order = lambda x: tuple(str(v) for v in x)
+    assert sorted(((r.page_id, r.url, r.text) for r in H.main_text(pages, most_broadcast=most).collect()), key=order) == sorted(((r.page_id, r.url, kept(r)) for r in rows), key=order)
+
+
+def test_many_templates_of_a_host_take_eight_bytes_each():
+    """Templates are held once a task, as sorted numbers; a page looks up its own hashes only."""
+    sets = {name: [list(range(k * 100_000, (k + 1) * 100_000))] for k, name in enumerate(H.SETS)}
+    table = H._table(H.pa.table({"site": [7], "pages": [20], **sets}))
+    assert table.nbytes == 8 * 500_001
+    page, began = H.Page("<article><p>x</p></article>"), time.time()
+    for _ in range(2000):
+        assert H._text(page, 7, table) == "x"
+    assert time.time() - began < 4
+
+
 @pytest.mark.parametrize("marks", [True, False])
 def test_templates_are_those_of_brute_force(spark, marks):
     pages = given(spark, "0.01")
