@@ -9,7 +9,10 @@ An item without any such window (few words, mostly placeholders, a script withou
 text, as lower-case words, or characters where the script has no spaces, must stand in the document in one run.
 
 The join runs in Spark, whatever the benchmark's size. Documents only send windows that a bitmap of fixed size (built from
-all windows of the benchmark) lets through, so that the shuffle has the size of the matches.
+all windows of the benchmark) lets through, so that the shuffle has the size of the matches. A document that has a share of
+an item's windows has one at least of the rarest of them, a few more than the rest of that share; only these are joined by hash alone. What
+they find, pairs of a document and an item, is then joined by document and hash, so that a stem which many items and
+documents share makes no pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, durable, hash_words, mix, small_batches, steps
+from .common import Scratch, Words, as_bytes, durable, hash_words, mix, small_batches, steps
 
 WINDOW = 5
 #: Share of an item's windows that a leaking document has.
@@ -225,6 +228,16 @@ def _short_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
     return whole.select("doc_id", "item_id").distinct()
 
 
+def _candidates(sent: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """(doc_id, item_id): documents with a window of an item's rarest. A document without any of n - ceil(coverage * n) + 1 of an item's n windows has too few of them."""
+    often = sent.groupBy("hash").agg(F.count("*").alias("often"))
+    places = items.select("id", "pos", "hash").distinct().join(often, "hash", "left").groupBy("id", "pos").agg(F.sum(F.coalesce("often", F.lit(0))).alias("often"), F.collect_set("hash").alias("hashes"))
+    item = Window.partitionBy("id")
+    ranked = places.withColumns({"rank": F.row_number().over(item.orderBy("often", "pos")), "n": F.count("*").over(item)})
+    rare = ranked.where(F.col("rank") <= F.col("n") - F.ceil(coverage * F.col("n")) + 1).where("often > 0").select(F.col("id").alias("item_id"), F.explode("hashes").alias("hash")).distinct()
+    return sent.select("hash", "doc_id").distinct().join(rare, "hash").select("doc_id", "item_id").distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and item that it leaks: doc_id, item_id, windows, matched, coverage, slots, changed, kind.
 
@@ -233,15 +246,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     consistently. A document in which one value of the item stands for several is a leak only if it has a share of
     windows of `coverage` without the inconsistent ones. An item's text without regular windows counts as one window, which a
     document has if it holds the whole text: kind exact, without slots. Null texts and those without a letter or digit leak nothing; rows that repeat a doc_id or item_id count together; a null id is an id like any other. Ids can have any type; other columns are left out;
-    an empty table on either side gives an empty one.
+    an empty table on either side gives an empty one. A very long text is read whole, as one step of its task. Where as many windows agree at several shifts of a repeated text, the smallest shift counts.
     """
     small_batches(docs.sparkSession)
     text = F.col("text").cast("string").alias("text")
     items = durable(benchmark.select("item_id", text).mapInArrow(_emitted("item_id", None), _emits(benchmark, "item_id")))
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
-    sent = docs.select("doc_id", text).mapInArrow(_emitted("doc_id", shared), _emits(docs, "doc_id"))
+    sent = Scratch(docs.sparkSession, "windows").keep(docs.select("doc_id", text).mapInArrow(_emitted("doc_id", shared), _emits(docs, "doc_id")).withColumnRenamed("id", "doc_id"))
     here = items.select("hash", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    hits = sent.select("hash", F.col("id").alias("doc_id"), "pos", "slots").join(here, "hash").groupBy("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots").agg(F.lit(1).alias("one"))
+    asked_for = _join(here, durable(_candidates(sent, items, coverage)), ["item_id"])
+    hits = _join(sent, asked_for, ["doc_id", "hash"]).groupBy("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots").agg(F.lit(1).alias("one"))
     hits = durable(hits)
     size = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("windows"))
     share = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("matched"))

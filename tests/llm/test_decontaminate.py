@@ -91,3 +91,28 @@ def test_null_and_text_ids_are_judged_as_others(spark):
         assert found == {(own(3), own(1)): "exact", (own(4), own(1)): "reparameterised"}, found
         kept = {r.doc_id for r in D.drop_leaks(docs, bench).collect()}
         assert kept == {own(2), None}
+
+
+def test_a_stem_of_many_items_and_documents_makes_no_pairs(spark):
+    """1,000 items and 1,000 documents share a stem of 57 % of the windows; only the documents that have an item's own words are looked at."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("bcdfghklmnaeiou", k=9))
+    stem = " ".join(word() for _ in range(20))
+    own = [" ".join(word() for _ in range(12)) for _ in range(1000)]
+    items = [(j, f"{stem} {o}") for j, o in enumerate(own)]
+    docs = [(i, f"{stem} " + (own[i] if i % 50 == 0 else " ".join(word() for _ in range(12)))) for i in range(1000)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    plain = D._candidates
+    try:
+        D._candidates = lambda *a: seen.append(plain(*a)) or seen[-1]
+        found = {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()}
+    finally:
+        D._candidates = plain
+    assert found == {(i, i) for i in range(0, 1000, 50)} and seen[0].count() == 20
+
+
+def test_a_very_long_text_leaks_from_its_end(spark):
+    docs = spark.createDataFrame([(1, "some words that go on " * 100_000 + QUESTION)], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.kind) for r in leaks(docs, spark.createDataFrame([(7, QUESTION)], "item_id long, text string")).collect()] == [(1, 7, "exact")]
