@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.sources.corpus import NOW, Corpus, query_log
+from shelfmark.sources.corpus import NOW, Corpus, job_events, query_log
 from shelfmark.sources.durable import checkpoint_folder
 from shelfmark.streaming import jobs as T
+from shelfmark.streaming import progress as P
 from shelfmark.streaming import query_log as L
 
 from .registry import query
@@ -92,6 +93,28 @@ def t4_job_eta(c: Corpus) -> DataFrame:
     return T.job_eta(jobs, timings)
 
 
+def _live_progress(c: Corpus) -> DataFrame:
+    """The last rows that a stream over the events leaves, run until there is nothing new."""
+    path = f"{checkpoint_folder(c.spark)}/progress-{uuid.uuid4().hex}"
+    events = c.spark.readStream.schema(c.events.schema).parquet(f"{c.sf_dir}/events.parque[t]")
+    rows = job_events(events).withColumn("ts", F.col("ts").cast("timestamp"))
+    P.progress_stream(rows).writeStream.outputMode("update").foreachBatch(P.keep_progress(f"{path}/rows")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return P.last_progress(c.spark.read.parquet(f"{path}/rows"))
+
+
+@query(
+    f"""WITH {_NEXT}, d AS (SELECT job_id, stage, CAST(sum(coalesce(floor((epoch_us(next_ts) - epoch_us(ts)) / 1000.0::DOUBLE), 0)) AS BIGINT) AS ms FROM n GROUP BY ALL),
+    l AS (SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(stage, (ts, event_id)) AS now_in FROM job_events GROUP BY 1), {_STATE}
+    SELECT d.*, s.status, CASE WHEN l.status = 'running' THEN now_in END AS active FROM d JOIN l USING (job_id) JOIN s USING (job_id)""",
+    "job_events",
+)
+def t3_live_progress(c: Corpus) -> DataFrame:
+    """Stage times, states and running stages of all jobs, from the stream."""
+    rows = _live_progress(c)
+    out = P.live_stage_durations(rows).join(P.live_states(rows).select("job_id", "status"), "job_id")
+    return out.join(P.live_active_stages(rows).withColumnRenamed("stage", "active"), "job_id", "left")
+
+
 def _live(c: Corpus) -> DataFrame:
     """The sketches that a stream over the log leaves, run until there is nothing new."""
     path = f"{checkpoint_folder(c.spark)}/queries-{uuid.uuid4().hex}"

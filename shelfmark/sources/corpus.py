@@ -37,6 +37,22 @@ def query_log(events: DataFrame) -> DataFrame:
     )
 
 
+def job_events(events: DataFrame) -> DataFrame:
+    """Events, as a table or a stream, as events of indexing jobs."""
+    status = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").otherwise("running")
+    # a user's events of one day are one job
+    return events.select(
+        "event_id",
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("job_id"),
+        F.col("user_id").alias("folder_id"),
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        status.alias("status"),
+        F.element_at(F.array(*[F.lit(x) for x in ("parse", "chunk", "embed", "write")]), (F.col("event_id") % 4 + 1).cast("int")).alias("stage"),
+        (F.col("event_id") % 10).cast("int").alias("done_files"),
+        F.lit(10).alias("total_files"),
+    )
+
+
 class Corpus:
     """Tables by name: those in the folder as they are, the others derived from them."""
 
@@ -100,18 +116,7 @@ class Corpus:
 
     @cached_property
     def job_events(self) -> DataFrame:
-        status = F.when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").otherwise("running")
-        # a user's events of one day are one job
-        return self.events.select(
-            "event_id",
-            F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("job_id"),
-            F.col("user_id").alias("folder_id"),
-            F.col("ts").cast("timestamp_ntz").alias("ts"),
-            status.alias("status"),
-            F.element_at(F.array(*[F.lit(x) for x in ("parse", "chunk", "embed", "write")]), (F.col("event_id") % 4 + 1).cast("int")).alias("stage"),
-            (F.col("event_id") % 10).cast("int").alias("done_files"),
-            F.lit(10).alias("total_files"),
-        )
+        return job_events(self.events)
 
 
 #: The same tables as SQL, each a common table expression by name.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ("succeeded", "partial_success", "failed", "cancelled")
@@ -55,9 +55,12 @@ def stage_eta(progress: DataFrame) -> DataFrame:
     order = F.struct("ts", "event_id")
     ends = begins.groupBy("job_id").agg(F.max_by(F.struct("stage", "ts", "done", "total"), order).alias("b"), F.max_by(F.struct("ts", "done"), F.when(F.col("_new") == 1, order)).alias("a"))
     gone = (F.unix_micros(F.col("b.ts").cast("timestamp")) - F.unix_micros(F.col("a.ts").cast("timestamp"))) / 1e6
-    made = F.col("b.done") - F.col("a.done")
-    left = F.greatest(F.col("b.total") - F.col("b.done"), F.lit(0))
-    return ends.select("job_id", "b.stage", F.when((gone >= 1) & (made > 0), F.floor(left / (made / gone))).cast("bigint").alias("seconds"))
+    return ends.select("job_id", "b.stage", left_at_rate(gone, F.col("b.done") - F.col("a.done"), F.col("b.total") - F.col("b.done")).alias("seconds"))
+
+
+def left_at_rate(gone: Column, made: Column, left: Column) -> Column:
+    """Whole seconds that what is left takes yet, at the rate of what was made in the seconds gone; NULL without progress or before a second has gone."""
+    return F.when((gone >= 1) & (made > 0), F.floor(F.greatest(left, F.lit(0)) / (made / gone))).cast("bigint")
 
 
 def job_eta(jobs: DataFrame, timings: DataFrame) -> DataFrame:
