@@ -7,6 +7,7 @@ in time, takes its place among them. Each row tells what all events so far say,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +20,6 @@ _POINT = "us bigint, event_id bigint, status string, stage string, done bigint,
 _NAMES = [x.split()[0] for x in _POINT.split(", ")]
 #: first: the job's first event; began: the first of the current stage; last: the last one; ended: the first terminal one.
 _FIELDS = ", ".join(f"{name} struct<{_POINT.replace(' ', ':').replace(',:', ',')}>" for name in ("first", "began", "last", "ended")) + ", stages array<struct<stage:string,ms:bigint>>"
-_STATE = f"{_FIELDS}, held array<struct<{_POINT.replace(' ', ':').replace(',:', ',')}>>"
 _NEW = (None, None, None, None, [])
 _US, _ID, _STATUS, _STAGE = range(4)
 
@@ -40,20 +40,18 @@ def folded(state: tuple, events: list[tuple]) -> tuple:
     return first, began, last, ended, list(ms.items())
 
 
-def _plain(row) -> tuple:
-    return tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in row)
-
-
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Events, state and rows pass as JSON, one column each: for groups of a few events the columns of a data frame are what takes time."""
     if state.hasTimedOut:
         state.remove()
         return
-    *known, held = state.get if state.exists else (*_NEW, [])
-    known = tuple(tuple(x) if x is not None else None for x in known[:4]) + ([tuple(x) for x in known[4]],)
-    events = {(e[_US], e[_ID]): e for e in (tuple(x) for x in held)}
+    point = lambda e: None if e is None else tuple(e)
+    *known, stages, held = json.loads(state.get[0]) if state.exists else (*_NEW, [])
+    known = (*map(point, known), [tuple(x) for x in stages])
+    events = {(e[_US], e[_ID]): e for e in map(tuple, held)}
     for rows in batches:
-        for row in rows[_NAMES].astype(object).itertuples(index=False):
-            event = _plain(row)
+        for found in map(json.loads, rows["event"]):
+            event = tuple(found.get(name) for name in _NAMES)
             events.setdefault((event[_US], event[_ID]), event)
     now = state.getCurrentWatermarkMs() * 1000
     order = lambda e: (e[_US], e[_ID])
@@ -61,12 +59,13 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.D
     passed = sorted((e for e in events.values() if e[_US] <= now), key=order)
     later = sorted((e for e in events.values() if e[_US] > now), key=order)
     known = folded(known, [e for e in passed if known[2] is None or order(e) > order(known[2])])
-    state.update((*known, later))
+    state.update((json.dumps((*known, later)),))
     every = folded(known, later)
     if every[2] is not None:
         state.setTimeoutTimestamp(max(every[2][_US] // 1000 + KEPT_SECONDS * 1000, state.getCurrentWatermarkMs() + 1))
         record = lambda e: None if e is None else dict(zip(_NAMES, e, strict=True))
-        yield pd.DataFrame([{"job_id": key[0], **dict(zip(("first", "began", "last", "ended"), map(record, every[:4]), strict=True)), "stages": [{"stage": s, "ms": n} for s, n in every[4]]}])
+        row = dict(zip(("first", "began", "last", "ended"), map(record, every[:4]), strict=True)) | {"stages": [{"stage": s, "ms": n} for s, n in every[4]]}
+        yield pd.DataFrame({"job_id": [key[0]], "row": [json.dumps(row)]})
 
 
 def progress_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -77,8 +76,10 @@ def progress_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     its events of that time, one number for each of its stages, and four events.
     """
     rows = events.where(F.col("ts").isNotNull()).withWatermark("ts", late)
-    rows = rows.select("ts", "job_id", F.unix_micros("ts").alias("us"), F.col("event_id").cast("bigint").alias("event_id"), "status", "stage", F.col("done_files").cast("bigint").alias("done"), F.col("total_files").cast("bigint").alias("total"))
-    return rows.groupBy("job_id").applyInPandasWithState(_update, f"job_id string, {_FIELDS}", _STATE, "update", "EventTimeTimeout")
+    event = F.struct(F.unix_micros("ts").alias("us"), F.col("event_id").cast("bigint").alias("event_id"), "status", "stage", F.col("done_files").cast("bigint").alias("done"), F.col("total_files").cast("bigint").alias("total"))
+    rows = rows.select("ts", "job_id", F.to_json(event).alias("event"))
+    found = rows.groupBy("job_id").applyInPandasWithState(_update, "job_id string, row string", "state string", "update", "EventTimeTimeout")
+    return found.select("job_id", F.from_json("row", _FIELDS).alias("r")).select("job_id", "r.*")
 
 
 def keep_progress(path: str) -> Callable[[DataFrame, int], None]:

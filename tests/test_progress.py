@@ -74,6 +74,6 @@ def test_states_of_silent_jobs_go_after_a_day(spark, tmp_path):
 
 
 def test_folding_in_parts_is_folding_at_once():
-    rows = sorted((P._plain(((r[1] - T0) // dt.timedelta(microseconds=1), *r[2:])) for r in jobs(3, 1)), key=lambda e: e[:2])
+    rows = sorted((((r[1] - T0) // dt.timedelta(microseconds=1), *r[2:]) for r in jobs(3, 1)), key=lambda e: e[:2])
     for cut in range(len(rows) + 1):
         assert P.folded(P.folded(P._NEW, rows[:cut]), rows[cut:]) == P.folded(P._NEW, rows)
