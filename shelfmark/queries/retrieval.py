@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import evaluation as E
 from shelfmark.operators import retrieval as R
+from shelfmark.operators import vector_index as V
 from shelfmark.plans import search as P
 from shelfmark.sources.corpus import Corpus
+from shelfmark.sources.durable import Scratch
 
 from .chunks import GREEDY, SENTENCES
 from .registry import query
@@ -54,6 +56,25 @@ def d1a_dense_topk_ann(c: Corpus) -> DataFrame:
     return R.dense_topk_ann(*_vectors(c), 10)
 
 
+def chunk_vectors(c: Corpus, path: str) -> tuple[DataFrame, DataFrame]:
+    """Embedded chunks of all documents, written under path; those of the documents whose id is divisible by 20 ask."""
+    from shelfmark.operators.chunking import chunk_corpus
+    from shelfmark.plans.index import embed_with
+
+    chunks, _ = chunk_corpus(c.documents.select("text", F.col("doc_id").alias("file_id")), 64, 512)
+    chunks.select("file_id", "node_id", embed_with()(F.col("text")).alias("embedding")).write.parquet(path)
+    leaves = c.spark.read.parquet(path)
+    return leaves.where("file_id % 20 = 0").select(F.col("node_id").alias("query_id"), "embedding"), leaves.select("node_id", "embedding")
+
+
+@query()
+def d1a_inverted_file(c: Corpus) -> DataFrame:
+    """Approximate neighbours of chunks by cells and product codes; a test measures recall against the exact list and the share of pairs looked at."""
+    scratch = Scratch(c.spark, "cells")
+    queries, leaves = chunk_vectors(c, f"{scratch.path}/chunks")
+    return V.ask_vectors(V.build_vector_index(leaves, f"{scratch.path}/index"), queries, leaves, 10)
+
+
 @query(f"WITH {_BM25.format(10)} SELECT query_id, node_id, round(score, 6) AS score, rank FROM sparse")
 def d2_bm25_topk(c: Corpus) -> DataFrame:
     return R.bm25_topk(*_texts(c), 10).withColumn("score", F.round("score", 6))
