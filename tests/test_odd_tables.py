@@ -1,5 +1,6 @@
 """Queries against their SQL on tables of odd rows, and steps whose time must stay in proportion to a text."""
 
+import datetime as dt
 import random
 
 import duckdb
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as T
 from shelfmark.operators import chunking as K
 from shelfmark.queries import ORACLES, QUERIES
+from shelfmark.streaming import jobs as J
+from shelfmark.streaming import progress as P
 
 
 def both(spark, folder, name, **tables):
@@ -64,3 +67,18 @@ def test_text_functions_equal_their_definition(spark):
     out = df.select("i", *[c.alias(f"p_{k}") for k, c in plain.items()], *[c.alias(f"o_{k}") for k, c in ours.items()]).collect()
     assert [(r.i, k, rows[r.i][:60] if rows[r.i] else None, r[f"p_{k}"], r[f"o_{k}"]) for r in out for k in plain if r[f"p_{k}"] != r[f"o_{k}"]] == []
     assert sum(r.o_least or 0 for r in out) > 100 and len({r.o_low for r in out}) == 2
+
+
+def test_many_jobs_share_few_states(spark, tmp_path):
+    """Each job had a state and a call of its own."""
+    schema = "job_id string, ts timestamp, event_id long, status string, stage string, done_files int, total_files int"
+    rows = [(f"j{i % 700}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i * 7 % 500), i, ["running", "failed", "succeeded"][i * 5 % 3], ["parse", "embed"][i % 2], i % 9, 9) for i in range(2000)]
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = P.progress_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), buckets=5)
+    query = stream.writeStream.outputMode("update").foreachBatch(P.keep_progress(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 5
+    found, table = P.last_progress(spark.read.parquet(str(tmp_path / "out"))), spark.createDataFrame(rows, schema)
+    for live, batch in ((P.live_stage_durations(found), J.stage_durations(table)), (P.live_states(found), J.job_state(table))):
+        assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.select(*live.columns).collect()))
