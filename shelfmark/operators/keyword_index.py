@@ -29,7 +29,7 @@ from shelfmark.sources.durable import Scratch
 from .ranking import top_k
 
 #: Leaves of a slice and of a block; tokens of a slice (a longer leaf is a slice of its own).
-SLICE, BLOCK, SLICE_TOKENS = 4096, 8, 1 << 21
+SLICE, BLOCK, SLICE_TOKENS = 4096, 8, 1 << 19
 #: Queries that a task holds against a slice.
 QUERIES = 2048
 #: The first round scores leaves with a query's rarest terms, until these have so many leaves for each one asked for.

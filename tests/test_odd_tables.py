@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as T
 from shelfmark.operators import chunking as K
 from shelfmark.operators import retrieval as R
+from shelfmark.operators.keyword_index import build_index
 from shelfmark.queries import ORACLES, QUERIES
 from shelfmark.streaming import jobs as J
 from shelfmark.streaming import progress as P
@@ -99,3 +100,10 @@ def test_neighbours_by_buckets_make_no_row_for_a_pair(spark):
     for q in range(0, 300, 20):
         near = [(-round(float(unit[q] @ unit[i]), 9), i) for i in range(300) if (signs[q] == signs[i]).all(axis=1).any()]
         assert [(r.node_id, r.rank) for r in found.where(F.col("query_id") == q).orderBy("rank").collect()] == [(i, n + 1) for n, (_, i) in enumerate(sorted(near)[:9])]
+
+
+def test_slices_of_long_leaves_are_small(spark, tmp_path):
+    """A task holds a slice in Python: it had up to two million tokens."""
+    leaves = spark.createDataFrame([(i, "a b c d " * 5_000) for i in range(60)], "node_id long, text string").coalesce(1)
+    rows = build_index(leaves, str(tmp_path / "index")).postings.where("term IS NULL").collect()
+    assert sum(r.n for r in rows) == 60 and max(r.n for r in rows) * 20_000 <= 1 << 19
