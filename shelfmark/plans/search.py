@@ -17,14 +17,14 @@ from shelfmark.sources.durable import durable
 OVER_FETCH = 3
 
 
-def candidates(queries: DataFrame, leaves: DataFrame, k: int, fusion: str = "concat", vectors: bool = True) -> DataFrame:
+def candidates(queries: DataFrame, leaves: DataFrame, k: int, fusion: str = "concat", vectors: bool = True, undefined_first: bool = False) -> DataFrame:
     """(query_id, node_id, score, rank): leaves from both lists, fused by rrf, or the dense list and then what only the keyword list has. Rows with another role than leaf don't count."""
     if "node_role" in leaves.columns:
         leaves = R.only_leaves(leaves)
     sparse = R.bm25_topk(queries, leaves, k)
     if not vectors:
         return sparse
-    dense = R.dense_topk(queries, leaves, k)
+    dense = R.dense_topk(queries, leaves, k, undefined_first)
     return R.rrf([dense, sparse], k) if fusion == "rrf" else R.concat_fuse(dense, sparse, k)
 
 
@@ -34,12 +34,13 @@ def ordered(found: DataFrame, queries: DataFrame, leaves: DataFrame, k: int, sco
     return R.rerank(texts, (scorer or R.lexical_score)(F.col("query"), F.col("text")), k).drop("text", "query")
 
 
-def query(queries: DataFrame, leaves: DataFrame, k: int = 10, fusion: str = "rrf", vectors: bool = True, rerank: bool = False, cutoff: float | None = None, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def query(queries: DataFrame, leaves: DataFrame, k: int = 10, fusion: str = "rrf", vectors: bool = True, rerank: bool = False, cutoff: float | None = None, scorer: Callable[[Column, Column], Column] | None = None, undefined_first: bool = False) -> DataFrame:
     """(query_id, node_id, score, rank): dense and keyword lists fused by rrf or concat, reranked by `scorer` (shared tokens by default), and cut.
 
     queries: (query_id, query[, embedding][, folder_id]), leaves: (node_id, text[, embedding][, tokens][, folder_id][, node_role]). The cutoff holds only for concat without reranking.
+    undefined_first: the order of cosines with vectors of zeros (`dense_topk`).
     """
-    out = candidates(queries, leaves, k * OVER_FETCH if rerank else k, fusion, vectors)
+    out = candidates(queries, leaves, k * OVER_FETCH if rerank else k, fusion, vectors, undefined_first)
     if rerank:
         return ordered(out, queries, leaves, k, scorer)
     return R.apply_cutoff(out, cutoff) if cutoff is not None and fusion == "concat" else out

@@ -107,3 +107,22 @@ def test_slices_of_long_leaves_are_small(spark, tmp_path):
     leaves = spark.createDataFrame([(i, "a b c d " * 5_000) for i in range(60)], "node_id long, text string").coalesce(1)
     rows = build_index(leaves, str(tmp_path / "index")).postings.where("term IS NULL").collect()
     assert sum(r.n for r in rows) == 60 and max(r.n for r in rows) * 20_000 <= 1 << 19
+
+
+def test_texts_without_letters_have_no_cosine(spark, tmp_path):
+    """Their cosine is NaN in SQL, which leads the dense list and shifts the others' ranks."""
+    words = [f"{w} {v} {x}" for w in ("alpha", "beta", "gamma") for v in ("ohm", "tau") for x in ("kilo", "milli", "pico", "nano", "mega", "giga")]
+    docs = ([(i, t) for i, t in enumerate(["4 5 6", "", "12", *words, *words, "éé ñ"])], "doc_id long, text string")
+    asked = ([(0, "alpha ohm kilo 4"), (1, "7 12 6"), (2, "tau nano tau nano")], "item_id long, text string")
+    found, expected = both(spark, tmp_path, "r1_query", documents=docs, benchmark=asked)
+    assert found == expected and len(found) == 30
+
+
+def test_equal_cosines_are_equal_numbers(spark):
+    """Vectors of the same product and length, far apart in a block, tie; ties go by node_id."""
+    base = np.random.default_rng(3).integers(0, 400, 26)
+    leaves = spark.createDataFrame([(i, np.roll(base, i).astype(float).tolist()) for i in range(900)], "node_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, [1.0] * 26), (1, [0.0] * 26)], "query_id long, embedding array<double>")
+    rows = R.dense_topk(queries, leaves, 20).orderBy("query_id", "rank").collect()
+    assert [r.node_id for r in rows] == [*range(20), *range(20)] and len({r.score for r in rows}) == 2
+    assert all(np.isnan(r.score) for r in R.dense_topk(queries.where("query_id = 1"), leaves, 3, undefined_first=True).collect())
