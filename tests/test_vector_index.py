@@ -96,3 +96,19 @@ def test_codes_are_near_their_vectors():
     cell, codes = model.encode(points)
     back = np.stack([model.decode(c, codes[i : i + 1])[0] for i, c in enumerate(cell)])
     assert codes.shape == (3000, 4) and np.abs((back * points).sum(1) - 1).mean() < 0.02
+
+
+def test_small_blocks_meet_packs_of_queries_in_rows_of_many_leaves(spark, monkeypatch):
+    """Each small block of a task met each pack of queries of a cell, vectors included: about as many rows as leaves times tasks."""
+    rows = clustered(1500)
+    leaves = spark.createDataFrame(rows, SCHEMA).repartition(16)
+    index = V.build_vector_index(leaves, fresh(spark))
+    assert index.blocks.count() > 1000
+    gathered = V._gathered(index, "row bigint, cells binary, nodes array<bigint>, codes binary")
+    assert gathered.count() == 1 and gathered.select(F.size("nodes")).first()[0] == 1500
+    for name, value in (("QUERIES", 16), ("LEAVES", 64), ("BLOCKS", 2), ("TASK", 400)):
+        monkeypatch.setattr(V, name, value)
+    assert 1500 / 128 <= V._gathered(index, "row bigint, cells binary, nodes array<bigint>, codes binary").count() <= 2 * 1500 / 128 + 8
+    queries = leaves.where("node_id % 20 = 0").withColumnRenamed("node_id", "query_id")
+    found = V.ask_vectors(index, queries, leaves, 5, share=1.0, refine=300).collect()
+    assert {(r.query_id, r.rank): r.node_id for r in found} == {(q, i + 1): n for q, best in brute(rows, rows[::20], 5).items() for i, (_, n) in enumerate(best)}
