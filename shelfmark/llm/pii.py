@@ -5,7 +5,7 @@ overlapping spans of the same kinds in looser forms (spelled-out signs, other se
 trees judge a candidate by its format and by the words around it. They learn from the corpus: true are the values that the base
 rules confirm, both as they stand and rewritten into looser spellings in the same place; false are candidates that no rule
 supports (a card without its check digit, an address part above 255, a date or a short number) and values spoilt that way. Looser forms that stand in the
-corpus are neither: they are what is judged. Features leave out the mark that a base rule asks for. Two halves of the sample train one
+corpus are neither: they are what is judged. Features leave out the mark that a base rule asks for. All of them are learnt from, as counts of what looks the same. Two halves of the values train one
 model each; a threshold for each kind is set where the other half's model keeps a fixed precision, and both models' mean is
 taken. The trees become SQL expressions, so that scoring is part of one pass over the texts.
 """
@@ -47,8 +47,8 @@ CUES = {
 }
 FEATURES = ["kind_no", "chars", "digits", "letters", "blanks", "dots", "dashes", "parens", "groups", "longest", "shortest", "ats", "spelled", "checks", "cue", "left_digit", "right_digit", "left_word", "right_word"]
 
-#: Candidates that the trees learn from at most (a bounded sample of labelled rows), and their size.
-MOST_TRAINING, TREES, DEPTH = 20_000, 12, 4
+#: Trees, their depth, and the limits that a feature can be split at: more than any feature has, and so many that all rows are asked for them (Spark samples rows beyond the square of this).
+TREES, DEPTH, BINS = 12, 4, 512
 #: Share of true ones that candidates above a kind's threshold have, by the model that did not learn from them.
 PRECISION = 0.98
 #: Elements whose running sums are made in one fold.
@@ -346,8 +346,8 @@ def _by_kind(column) -> Column:
     return F.coalesce(*[F.when(F.col("kind") == k, column(k)) for k in KINDS])
 
 
-def _sample(docs: DataFrame, most: int) -> DataFrame:
-    """At most `most` labelled candidates (label, half, FEATURES) by a hash of their values, one for each value, label and features; one pass over the documents."""
+def _labelled_counts(docs: DataFrame) -> DataFrame:
+    """(label, half, FEATURES, n): how many labelled candidates of all documents have these features, each value once for each label and features; one pass over the documents."""
     found = _candidates(docs.select("text"))
     each = [F.filter(F.transform(F.col(f"swept_{k}"), _judged(k)), lambda c: c["label"].isNotNull()) for k in KINDS]
     none = F.array().cast("array<struct<kind:string,label:double,c:struct<start:int,end:int,value:string,left:string,right:string>>>")
@@ -356,25 +356,26 @@ def _sample(docs: DataFrame, most: int) -> DataFrame:
     formed = rows.select("kind", "order", "left", "right", F.explode(_by_kind(_forms)).alias("f"))
     features = _by_kind(lambda k: F.struct(*_features(k, F.col("f.value"), F.col("left"), F.col("right"))))
     labelled = formed.select("order", F.col("f.label").alias("label"), features.alias("x")).select("order", "label", "x.*")
-    # one row for each kind of format first, so that a common value does not fill the sample
-    one = labelled.groupBy("order", "label", *FEATURES).agg(F.lit(1).alias("one")).orderBy(F.xxhash64("order"), "order", "label", *FEATURES).limit(most)
-    return one.select("label", (F.pmod(F.xxhash64("order", F.lit(9)), F.lit(2)) == 0).alias("half"), *FEATURES)
+    # one row for each kind of format first, so that a common value does not outweigh others
+    one = labelled.groupBy("order", "label", *FEATURES).agg(F.lit(1).alias("one"))
+    half = (F.pmod(F.xxhash64("order", F.lit(9)), F.lit(2)) == 0).alias("half")
+    return one.groupBy("label", half, *FEATURES).agg(F.count("*").cast("double").alias("n"))
 
 
-def fit(docs: DataFrame, most: int = MOST_TRAINING) -> Model:
-    """Trees and thresholds from at most `most` labelled candidates of the documents, chosen by hash.
+def fit(docs: DataFrame) -> Model:
+    """Trees and thresholds from all labelled candidates of the documents.
 
-    Without both true and false candidates in both halves of the sample the model adds nothing, and so it does for a kind without true ones.
+    Without both true and false candidates in both halves of them the model adds nothing, and so it does for a kind without true ones.
     """
-    sample = durable(_sample(docs, most).coalesce(1))
-    if sample.groupBy("half", "label").count().count() < 4:
+    counted = durable(_labelled_counts(docs))
+    if counted.groupBy("half", "label").count().count() < 4:
         return Model([], {k: 1.1 for k in KINDS})
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
-    halves = {half: _read(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11).fit(vectors.where(F.col("half") == half).select("features", "label"))) for half in (True, False)}
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(counted)
+    halves = {half: _read(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, stepSize=0.3, seed=11, weightCol="n").fit(vectors.where(F.col("half") == half).select("features", "label", "n"))) for half in (True, False)}
     row = F.struct(*FEATURES)
-    judged = sample.withColumn("p", F.when(F.col("half"), Model(halves[False], {}).probability(row)).otherwise(Model(halves[True], {}).probability(row)))
+    judged = counted.withColumn("p", F.when(F.col("half"), Model(halves[False], {}).probability(row)).otherwise(Model(halves[True], {}).probability(row)))
     # the least probability down to which the share of true ones stays at PRECISION; ties count together
-    each = judged.groupBy("kind_no", "p").agg(F.sum("label").alias("true"), F.count("*").alias("n"))
+    each = judged.groupBy("kind_no", "p").agg(F.sum(F.col("label") * F.col("n")).alias("true"), F.sum("n").alias("n"))
     upto = Window.partitionBy("kind_no").orderBy(F.desc("p"))
     good = each.select("kind_no", "p", "true", F.sum("true").over(upto).alias("t"), F.sum("n").over(upto).alias("all")).where((F.col("t") >= PRECISION * F.col("all")) & (F.col("true") > 0))
     least = {KINDS[int(r["kind_no"])]: r["p"] for r in good.groupBy("kind_no").agg(F.min("p").alias("p")).collect()}

@@ -147,3 +147,11 @@ def test_twenty_thousand_matches_in_one_text(spark):
     assert pii.redact(docs, Every()).first().text == "[EMAIL] [EMAIL] " * 10_000
     # planning takes most of it (some 20 s each), comparing all with all took minutes
     assert time.monotonic() - began < 240
+
+
+def test_all_labelled_candidates_are_learnt_from(spark):
+    """Beyond 20,000, a sample by hash was."""
+    docs = spark.createDataFrame([(i, " and ".join(f"user{20 * i + j}@mail.example.com" for j in range(20))) for i in range(300)], "doc_id long, text string")
+    rows = pii._labelled_counts(docs.union(docs)).groupBy("label").sum("n").collect()
+    # each address as it stands, in four looser spellings, and spoilt
+    assert {r.label: r[1] for r in rows} == {1.0: 5 * 6000, 0.0: 6000}
