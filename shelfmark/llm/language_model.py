@@ -2,8 +2,8 @@
 
 Counts of all words are taken in Spark. The model's vocabulary follows the corpus: every word has vectors of its own whose
 count reaches a threshold that grows with the square root of the tokens, so that the vocabulary grows with the input; the
-rest is one symbol, and a word of the rest gets its share of it by its count. Symbols are dealt by frequency into classes
-of about the square root of their number. The model predicts a token from the two before it: with the context
+rest is one symbol, and a word of the rest gets its share of it by its count. Symbols are dealt by frequency into classes,
+about as many as the square root of their number, of equal shares of the roots of their counts. The model predicts a token from the two before it: with the context
 h = R1[b] + R2[a], P(w | a, b) = P(class | h) P(w | class, h), where a class has the score h . K[class] + its bias, and a word
 h . Q[w] + bias[w]. Both factors are softmaxes over all classes and over all words of the class, so that every token's
 log-probability is normalised exactly.
@@ -38,8 +38,8 @@ ROUNDS, BUCKET_TOKENS, TOKENS_PER_WORD, MOST_BUCKETS, AT_ONCE = 3, 4_000_000, 80
 #: The hash that stands for a text's end.
 END = np.uint64(0)
 _CHUNK = 1024
-#: Tokens that are scored together.
-_SCORED = 16384
+#: Tokens that are scored together, and rows of a matrix of scores, so that it stays in a core's cache.
+_SCORED, _BLOCK = 1 << 18, 1024
 
 
 def held_out():
@@ -149,8 +149,10 @@ class Parameters:
 
     def __init__(self, vocab: Vocabulary, seed: int = 7) -> None:
         size = len(vocab.prior)
-        width = max(1, math.isqrt(size))
-        self.group = np.concatenate(([0], 1 + np.arange(size - 1) // width)).astype(np.int32)
+        # each class has an equal share of the sum of the roots of its symbols' counts: those of frequent symbols are small, so that a token is held against few of its class
+        root = np.cumsum(np.sqrt(vocab.mass[1:]))
+        share = np.floor(root / root[-1] * max(1, math.isqrt(size)) * (1 - 1e-9)) if size > 1 else root
+        self.group = np.concatenate(([0], 1 + np.cumsum(np.diff(share, prepend=share[:1]) > 0))).astype(np.int32)
         self.first = np.concatenate((np.flatnonzero(np.diff(self.group, prepend=-1)), [size]))
         self.class_prior = np.add.reduceat(vocab.prior, self.first[:-1])
         random = np.random.default_rng(seed)
@@ -187,36 +189,59 @@ class _Trainer:
         self.random = np.random.default_rng(seed)
         self.cumulative = [np.cumsum(x) for x in (vocab.prior, self.p.class_prior)]
         self.log_noise = [np.log(PER_TOKEN * x).astype(np.float32) for x in (vocab.prior, self.p.class_prior)]
+        self.last = np.zeros(len(vocab.prior), dtype=np.int32)
         self.squares = [np.full(len(x), 1e-2, dtype=np.float32) for x in (*[vocab.prior] * 4, *[self.p.class_prior] * 2)]
 
-    def _add(self, k: int, matrix: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        at, total = ordered[first], np.add.reduceat(gradient[order], first, axis=0)
-        self.squares[k][at] += (total**2).mean(axis=1) if total.ndim == 2 else total**2
-        rate = self.rate / np.sqrt(self.squares[k][at])
+    def _different(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different ones of rows, and which of them each row is; without sorting, as the last row of its kind is found in a table."""
+        number = np.arange(len(rows), dtype=np.int32)
+        self.last[rows] = number
+        owner = self.last[rows]
+        own = owner == number
+        return rows[own], (np.cumsum(own) - 1)[owner]
+
+    def _add(self, k: int, matrix: np.ndarray, at: np.ndarray, which: np.ndarray, gradient: np.ndarray) -> None:
+        """A step of the rows `at` of matrix by the sums of their gradients; `which` of them each gradient belongs to."""
+        if gradient.ndim == 2:
+            cell = which[:, None] * WIDTH + np.arange(WIDTH)
+            total = np.bincount(cell.ravel(), gradient.ravel(), len(at) * WIDTH).astype(np.float32).reshape(-1, WIDTH)
+            self.squares[k][at] += np.einsum("ij,ij->i", total, total) / np.float32(WIDTH)
+        else:
+            total = np.bincount(which, gradient, len(at)).astype(np.float32)
+            self.squares[k][at] += total**2
+        rate = self.rate / np.sqrt(self.squares[k].take(at))
         matrix[at] += rate[:, None] * total if total.ndim == 2 else rate * total
 
     def _against_noise(self, k: int, vectors: np.ndarray, bias: np.ndarray, w: np.ndarray, context: np.ndarray) -> np.ndarray:
         """A step of the symbols (k 0) or the classes (k 1) w after the contexts; returns the contexts' gradient."""
         cumulative, log_noise, at = self.cumulative[k], self.log_noise[k], (2, 4)[k]
         noise = np.minimum(np.searchsorted(cumulative, self.random.random(NOISE) * cumulative[-1]), len(cumulative) - 1).astype(w.dtype)
-        mine = vectors[w]
-        right = 1 / (1 + np.exp((context * mine).sum(axis=1) + bias[w] - log_noise[w]))
+        mine = vectors.take(w, axis=0)
+        right = 1 / (1 + np.exp(np.einsum("ij,ij->i", context, mine) + bias.take(w) - log_noise.take(w)))
         others = vectors[noise]
-        wrong = (-PER_TOKEN / NOISE) / (1 + np.exp(-(context @ others.T + (bias - log_noise)[noise])))
-        down = right[:, None] * mine + wrong @ others
-        self._add(at, vectors, np.concatenate((w, noise)), np.concatenate((right[:, None] * context, wrong.T @ context)))
-        self._add(at + 1, bias, np.concatenate((w, noise)), np.concatenate((right, wrong.sum(axis=0))))
-        return down
+        wrong = context @ -others.T
+        wrong -= bias[noise] - log_noise[noise]
+        np.exp(wrong, out=wrong)
+        wrong += 1
+        np.divide(np.float32(-PER_TOKEN / NOISE), wrong, out=wrong)
+        mine *= right[:, None]
+        mine += wrong @ others  # the contexts' gradient
+        gradient = np.empty((len(w) + NOISE, WIDTH), dtype=np.float32)
+        np.multiply(right[:, None], context, out=gradient[: len(w)])
+        np.matmul(wrong.T, context, out=gradient[len(w) :])
+        found, which = self._different(np.concatenate((w, noise)))
+        self._add(at, vectors, found, which, gradient)
+        self._add(at + 1, bias, found, which, np.concatenate((right, wrong.sum(axis=0))))
+        return mine
 
     def step(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         p = self.p
-        context = p.r1[a] + p.r2[b]
-        down = self._against_noise(0, p.q, p.bias, w, context) + self._against_noise(1, p.k, p.class_bias, p.group[w], context)
-        self._add(0, p.r1, a, down)
-        self._add(1, p.r2, b, down)
+        context = p.r1.take(a, axis=0)
+        context += p.r2.take(b, axis=0)
+        down = self._against_noise(0, p.q, p.bias, w, context)
+        down += self._against_noise(1, p.k, p.class_bias, p.group.take(w), context)
+        self._add(0, p.r1, *self._different(a), down)
+        self._add(1, p.r2, *self._different(b), down)
 
     def train(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         """All tokens once; a step takes tokens from all over the texts."""
@@ -304,7 +329,7 @@ def _log_probability(context: np.ndarray, vectors: np.ndarray, chosen: np.ndarra
     scores = context @ vectors.T
     mine = scores[np.arange(len(chosen)), chosen].astype(np.float64)
     np.exp(scores, out=scores)
-    total = scores.sum(axis=1, dtype=np.float64)
+    total = scores.sum(axis=1).astype(np.float64)
     far = np.flatnonzero(~np.isfinite(total) | (total < 1e-30))  # out of the range of single precision
     out = mine - np.log(np.where(total > 0, total, 1.0))
     if len(far):
@@ -321,22 +346,62 @@ class Scorer:
         self.p = p
         self.k, self.q = (np.concatenate((vectors, bias[:, None]), axis=1) for vectors, bias in ((p.k, p.class_bias), (p.q, p.bias)))
 
+    def _factors(self, symbols: np.ndarray, vectors: np.ndarray, bias: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the product of each class with the vector of each different symbol (its bias included, if given), and the row of each symbol."""
+        seen = np.zeros(len(vectors), dtype=bool)
+        seen[symbols] = True
+        found = np.flatnonzero(seen)
+        row = np.zeros(len(vectors), dtype=np.int32)
+        row[found] = np.arange(len(found))
+        out = np.empty((len(found), len(self.p.k)), dtype=np.float32)
+        for i in range(0, len(found), _BLOCK):
+            part = out[i : i + _BLOCK]
+            np.matmul(vectors[found[i : i + _BLOCK]], self.p.k.T, out=part)
+            if bias is not None:
+                part += bias
+            np.exp(part, out=part)
+        return out, row[symbols]
+
+    def _class(self, a: np.ndarray, b: np.ndarray, context: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """log of the share of each token's class.
+
+        A context is a sum of two vectors, so that exp of its product with a class is a product of two numbers, which are made once for each different symbol.
+        """
+        (first, at_first), (second, at_second) = self._factors(a, self.p.r1, None), self._factors(b, self.p.r2, self.p.class_bias)
+        total = np.empty(len(a), dtype=np.float32)
+        some, others = np.empty((2, min(_BLOCK, len(a)), len(self.k)), dtype=np.float32)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for i in range(0, len(a), _BLOCK):
+                n = min(_BLOCK, len(a) - i)
+                first.take(at_first[i : i + n], axis=0, out=some[:n], mode="clip")
+                second.take(at_second[i : i + n], axis=0, out=others[:n], mode="clip")
+                np.einsum("ij,ij->i", some[:n], others[:n], out=total[i : i + n])
+        right = np.isfinite(total) & (total > 1e-30)
+        out = np.einsum("ij,ij->i", context, self.k.take(group, axis=0)) - np.log(np.where(right, total, 1.0).astype(np.float64))
+        far = np.flatnonzero(~right)  # out of the range of single precision
+        for i in range(0, len(far), _BLOCK):
+            at = far[i : i + _BLOCK]
+            out[at] = _log_probability(context[at], self.k, group[at])
+        return out
+
     def log10(self, w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         p = self.p
         out = np.zeros(len(w))
-        order = np.argsort(p.group[w], kind="stable")  # tokens of a class together
+        order = np.argsort(p.group[w].astype(np.uint16) if len(p.k) <= 1 << 16 else p.group[w], kind="stable")  # tokens of a class together
         for i in range(0, len(w), _SCORED):
             at = order[i : i + _SCORED]
-            group = p.group[w[at]]
+            symbols, group = w[at], p.group[w[at]]
             context = np.ones((len(at), WIDTH + 1), dtype=np.float32)
-            np.add(p.r1[a[at]], p.r2[b[at]], out=context[:, :WIDTH])
-            out[at] = _log_probability(context, self.k, group)
+            np.add(p.r1.take(a[at], axis=0), p.r2.take(b[at], axis=0), out=context[:, :WIDTH])
+            found = self._class(a[at], b[at], context, group)
             edges = np.concatenate((np.flatnonzero(np.diff(group, prepend=-1)), [len(at)]))
             for begin, end in zip(edges[:-1], edges[1:], strict=True):
                 first, last = p.first[group[begin]], p.first[group[begin] + 1]
                 if last - first > 1:
-                    mine = at[begin:end]
-                    out[mine] += _log_probability(context[begin:end], self.q[first:last], w[mine] - first)
+                    for j in range(begin, end, _BLOCK):
+                        mine = slice(j, min(j + _BLOCK, end))
+                        found[mine] += _log_probability(context[mine], self.q[first:last], symbols[mine] - first)
+            out[at] = found
         return out / math.log(10)
 
 

@@ -125,3 +125,32 @@ def test_the_model_does_not_depend_on_how_the_input_is_split(spark, monkeypatch)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     one, other = (L.fit(df).parameters.flat() for df in (docs.coalesce(1), docs.repartition(9, "text")))
     assert np.array_equal(one, other) and np.abs(one - L.Parameters(L.vocabulary(L.count_words(docs))).flat()).max() > 0.01
+
+
+def test_frequent_words_are_in_small_classes_and_wide_products_are_right():
+    counts = (100_000 / np.arange(1, 400)).astype(np.int64)
+    vocab = L.Vocabulary(np.arange(1, 400, dtype=np.uint64), counts, int(counts.sum()), 399)
+    p = L.Parameters(vocab)
+    sizes = np.diff(p.first)[1:]
+    assert 15 <= len(sizes) <= 20 and sizes[0] < 5 < sizes[-1] and sizes.sum() == len(vocab.prior) - 1
+    p.r1, p.r2 = p.r1 * 900, p.r2 * 900  # exp of many products is no number of single precision
+    w, a, b = np.random.default_rng(3).integers(0, len(vocab.prior), (3, 500))
+    found = L.Scorer(p).log10(w, a, b)
+    h = (p.r1[a] + p.r2[b]).astype(np.float64)
+    classes, words = h @ p.k.T.astype(np.float64) + p.class_bias, h @ p.q.T.astype(np.float64) + p.bias
+    same = p.group[w][:, None] == p.group[None]
+    log_sum = lambda x: x.max(axis=1) + np.log(np.exp(x - x.max(axis=1)[:, None]).sum(axis=1))
+    each = np.arange(500)
+    expected = classes[each, p.group[w]] - log_sum(classes) + words[each, w] - log_sum(np.where(same, words, -np.inf))
+    assert np.abs(h @ p.k.T).max() > 100 and np.allclose(found, expected / math.log(10), rtol=1e-4, atol=1e-3)
+
+
+def test_a_table_of_a_file_for_each_core_is_not_sent_again(spark, tmp_path):
+    from shelfmark.sources.corpus import spread
+
+    texts = spark.range(40).select("id")
+    cores = spark.sparkContext.defaultParallelism
+    for files in (1, cores):
+        texts.coalesce(1).repartition(files).write.parquet(f"{tmp_path}/{files}")
+        plan = spread(spark.read.parquet(f"{tmp_path}/{files}"))._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Repartition" in plan) == (files < cores)
