@@ -164,3 +164,14 @@ def test_blocks_take_time_by_length():
         began = time.perf_counter()
         K.visible_blocks(html)
         assert time.perf_counter() - began < 5, html[:20]
+
+
+def test_pieces_are_put_together_where_they_lie(spark):
+    """Packing where a text lies gives what packing of rows gives; cutting sends nothing, and merging deals rows out once."""
+    texts = [None, "", "  ", "one", "One. Two! Three?\nfour " + "x" * 40 + ". " + "y " * 30, *[". ".join(f"s{i} {'w' * (i * k % 23)}" for k in range(i)) for i in range(2, 30)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "file_id int, text string")
+    rows, lying = (sorted(map(tuple, K.pack_sentences(docs, 6, different=d).collect())) for d in (False, True))
+    assert rows == lying and len(rows) > 60
+    chunks = docs.select("file_id", F.col("file_id").alias("chunk_index"), F.lit(1).alias("page_no"), "text")
+    for plan, sent in ((K.pack_sentences(docs, 6, different=True), 0), (K.refine_oversized(docs.select(F.col("file_id").alias("node_id"), "text"), 40), 0), (K.merge_small(chunks, 40), 1)):
+        assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == sent
