@@ -105,3 +105,27 @@ def test_a_half_written_version_does_not_stop_the_stream(spark, empty, tmp_path)
     (tmp_path / "index" / "v=0" / "part-0.parquet").write_bytes(b"half")
     J.auto_index_corpus(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "index"), str(tmp_path / "chunks"), str(tmp_path / "c"), empty).awaitTermination()
     assert status(spark.read.parquet(str(tmp_path / "index/v=0"))) == {"f": ("en", "indexed", "h1", 1)}
+
+
+def test_the_embedder_gives_signed_counts_of_hashed_words(monkeypatch):
+    """Each word is hashed once while it is kept; vectors are those of a plain count, also when words are forgotten."""
+    import hashlib
+
+    import numpy as np
+
+    from shelfmark.plans import index as I
+
+    texts = ["", " ", "a A b", *[" ".join(f"W{i * k % 31}" for k in range(i)) for i in range(1, 60)]]
+    expected = []
+    for text in texts:
+        v = np.zeros(I.DIMENSIONS)
+        for word in text.lower().split():
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            v[h % I.DIMENSIONS] += 1 if h >> 63 else -1
+        expected.append((v / max(1e-12, float(np.linalg.norm(v)))).tolist())
+    hashed, plain = [], hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda word, **k: hashed.append(word) or plain(word, **k))
+    I._cells.clear()
+    assert I.hashing_embedder(texts) == expected and len(hashed) == len(set(hashed)) == 33
+    monkeypatch.setattr(I, "MOST_CELLS", 5)
+    assert I.hashing_embedder(texts) == expected
