@@ -29,11 +29,13 @@ from shelfmark.sources.durable import Scratch
 from .ranking import top_k
 
 #: Leaves of a slice and of a block; tokens of a slice (a longer leaf is a slice of its own).
-SLICE, BLOCK, SLICE_TOKENS = 4096, 8, 1 << 19
+SLICE, BLOCK, SLICE_TOKENS = 16384, 8, 1 << 19
 #: Queries that a task holds against a slice.
 QUERIES = 2048
 #: The first round scores leaves with a query's rarest terms, until these have so many leaves for each one asked for.
 SEEDS = 4
+#: Bits that tell which terms an index for given queries needs: 128 KB, however many terms they have.
+_BITS = 1 << 20
 #: Scores are rounded to nine places; a bound that misses by less does not rule out.
 _SLACK = 1e-8
 
@@ -65,11 +67,31 @@ def _scope(df: DataFrame, scoped: bool) -> Column:
     return (F.col("folder_id").cast("string") if scoped else F.lit("")).alias("scope")
 
 
-def build_index(leaves: DataFrame, path: str, k1: float = 1.2, b: float = 0.75, segmenter: Column | None = None, slice_leaves: int = SLICE, block: int = BLOCK) -> KeywordIndex:
+def _terms(queries: DataFrame, scoped: bool) -> DataFrame:
+    words = queries.select("query_id", _scope(queries, scoped), F.explode(or_query(F.col("query"))).alias("word"))
+    return words.select("query_id", "scope", _term(F.col("word"), F.col("scope")).alias("term"))
+
+
+def _bits(terms: DataFrame) -> bytes:
+    """A bit for each remainder of a term by _BITS; Spark gathers them in pieces of 4 KB."""
+    size = 1 << 15
+    bit = terms.select(F.pmod("term", F.lit(_BITS)).alias("bit"))
+    pieces = bit.groupBy(F.floor(F.col("bit") / size).alias("piece")).agg(F.bitmap_construct_agg(F.col("bit") % size).alias("bits")).collect()
+    out = bytearray(_BITS // 8)
+    for row in pieces:
+        out[row.piece * size // 8 : (row.piece + 1) * size // 8] = row.bits
+    return bytes(out)
+
+
+def build_index(
+    leaves: DataFrame, path: str, k1: float = 1.2, b: float = 0.75, segmenter: Column | None = None, slice_leaves: int = SLICE, block: int = BLOCK, queries: DataFrame | None = None,
+) -> KeywordIndex:
     """Writes the index of leaves (node_id, text[, tokens][, folder_id]) under path.
 
     segmenter: tokens of a leaf from another segmenter; a null falls back to the text's own tokens, as does a leaf without `tokens`. With folder_id the
     statistics are those of each folder. Leaves without text and tokens are left out.
+    queries: all that will be asked (query_id, query[, folder_id]); terms that none of them has need no rows then. Which these are is told by a bit for each
+    remainder, so that some others stay. Lengths and statistics are those of all tokens.
     """
     spark, scoped = leaves.sparkSession, "folder_id" in leaves.columns
     own = tokenize(F.col("text"))
@@ -82,7 +104,8 @@ def build_index(leaves: DataFrame, path: str, k1: float = 1.2, b: float = 0.75,
     kind = leaves.schema["node_id"].dataType.simpleString()
     schema = f"slice bigint, term bigint, n int, best double, leaf array<int>, impact array<double>, block array<int>, block_best array<double>, nodes array<{kind}>"
     counted = tokens.join(index.scopes.select("scope", "mean"), "scope").select("node_id", "tokens", "mean")
-    counted.mapInArrow(_inverted(k1, b, slice_leaves, block), schema).write.mode("overwrite").parquet(f"{path}/postings")
+    asked = None if queries is None else _bits(_terms(queries, scoped))
+    counted.mapInArrow(_inverted(k1, b, slice_leaves, block, asked), schema).write.mode("overwrite").parquet(f"{path}/postings")
     scratch.clear()
     return index
 
@@ -93,9 +116,10 @@ def open_index(spark: SparkSession, path: str) -> KeywordIndex:
     return KeywordIndex(spark, path, *(made or (False, BLOCK)))
 
 
-def _inverted(k1: float, b: float, most: int, block: int):
+def _inverted(k1: float, b: float, most: int, block: int, asked: bytes | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held, leaves, size = TaskContext.get().partitionId(), 0, [], 0, 0
+        needed = None if asked is None else np.unpackbits(np.frombuffer(asked, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             ends = np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False))
             i = 0
@@ -108,10 +132,10 @@ def _inverted(k1: float, b: float, most: int, block: int):
                     leaves, size = leaves + take, size + int(ends[i + take - 1] - before)
                     i += take
                 if i < batch.num_rows or leaves == most:
-                    yield from _slice(held, (part << 32) + made, k1, b, block)
+                    yield from _slice(held, (part << 32) + made, k1, b, block, needed)
                     made, held, leaves, size = made + 1, [], 0, 0
         if held:
-            yield from _slice(held, (part << 32) + made, k1, b, block)
+            yield from _slice(held, (part << 32) + made, k1, b, block, needed)
 
     return run
 
@@ -120,29 +144,35 @@ def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values))
 
 
-def _slice(held: list[pa.RecordBatch], number: int, k1: float, b: float, block: int) -> Iterator[pa.RecordBatch]:
+def _slice(held: list[pa.RecordBatch], number: int, k1: float, b: float, block: int, needed: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """The rows of one slice."""
     table = pa.Table.from_batches(held).combine_chunks()
     tokens = table.column("tokens").combine_chunks()
     length = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
     each = tokens.flatten().to_numpy(zero_copy_only=False)
-    order = np.lexsort((each, np.repeat(np.arange(len(length)), length)))
-    leaf, term = np.repeat(np.arange(len(length)), length)[order], each[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(leaf)), dtype=bool), (leaf[1:] != leaf[:-1]) | (term[1:] != term[:-1]))))
-    tf = np.diff(np.append(first, len(leaf)))
-    leaf, term = leaf[first], term[first]
+    leaf = np.repeat(np.arange(len(length)), length)
+    if needed is not None:
+        kept = needed[each & (_BITS - 1)]
+        leaf, each = leaf[kept], each[kept]
+    # terms by their places in order, so that one number tells a leaf and a term
+    known, at = np.unique(each, return_inverse=True)
+    pairs, tf = np.unique(leaf * max(1, len(known)) + at, return_counts=True)
+    leaf, at = np.divmod(pairs, max(1, len(known)))
+    term = known[at]
     # leaves with the same most frequent term lie together, the shorter ones first
-    by_count = np.lexsort((term, -tf, leaf))
+    starting = np.flatnonzero(np.concatenate((np.ones(min(1, len(leaf)), dtype=bool), leaf[1:] != leaf[:-1])))
     mode = np.zeros(len(length), dtype=np.int64)
-    lead = np.flatnonzero(np.concatenate((np.ones(min(1, len(leaf)), dtype=bool), leaf[by_count][1:] != leaf[by_count][:-1])))
-    mode[leaf[by_count][lead]] = term[by_count][lead]
+    if len(starting):
+        most = np.repeat(np.maximum.reduceat(tf, starting), np.diff(np.append(starting, len(leaf))))
+        lead = np.flatnonzero(tf == most)[::-1]
+        mode[leaf[lead]] = term[lead]  # of several the least term, which is set last
     laid = np.lexsort((length, mode))
     place = np.empty(len(laid), dtype=np.int64)
     place[laid] = np.arange(len(laid))
     mean = table.column("mean").to_numpy()
     impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[leaf] / np.maximum(mean[leaf], 1e-12)))
     leaf = place[leaf]
-    order = np.lexsort((leaf, term))
+    order = np.argsort(at * len(length) + leaf)
     leaf, term, impact = leaf[order], term[order], impact[order]
     nodes = table.column("node_id").combine_chunks().take(pa.array(laid))
     names = ["slice", "term", "n", "best", "leaf", "impact", "block", "block_best", "nodes"]
@@ -232,7 +262,7 @@ def ask(index: KeywordIndex, queries: DataFrame, k: int, measure: bool = False)
     queries: (query_id, query[, folder_id]). An index with folders gives a query leaves of its own folder only. The result is written, k rows a query.
     """
     scratch = Scratch(index.spark, "asked")
-    terms = scratch.keep(queries.select("query_id", _scope(queries, index.scoped), F.explode(or_query(F.col("query"))).alias("word")).select("query_id", "scope", _term(F.col("word"), F.col("scope")).alias("term")))
+    terms = scratch.keep(_terms(queries, index.scoped))
     parts = max(1, -(-queries.count() // QUERIES))
     # of the postings only four narrow columns are read here
     here = scratch.keep(index.postings.select("slice", "term", "n", "best").join(terms.select("term").distinct(), "term"))

@@ -11,7 +11,7 @@ from shelfmark.functions.text import is_low_value
 from shelfmark.operators import retrieval as R
 from shelfmark.operators.chunking import chunk_corpus
 from shelfmark.operators.ranking import read_files, top_k
-from shelfmark.sources.durable import durable
+from shelfmark.sources.durable import Scratch, durable
 
 #: Candidates that are fetched for each one asked for when they are reranked.
 OVER_FETCH = 3
@@ -53,15 +53,17 @@ def search(queries: DataFrame, leaves: DataFrame, parents: DataFrame, k: int = 1
     follow. vectors: by default where both sides have an embedding.
     """
     vectors = vectors if vectors is not None else "embedding" in queries.columns and "embedding" in leaves.columns
-    found = candidates(queries, leaves, k * OVER_FETCH if rerank else k, fusion, vectors)
+    # few rows a query, written so that nothing before them is done again and Spark sends them to the leaves
+    scratch = Scratch(leaves.sparkSession, "hits")
+    found = scratch.keep(candidates(queries, leaves, k * OVER_FETCH if rerank else k, fusion, vectors))
     if rerank:
         found = ordered(found, queries, leaves, k, None)
     elif cutoff is not None:
         found = R.apply_cutoff(found, cutoff)
-    hits = found.select("query_id", "node_id", "score").join(leaves.select("node_id", "parent_node_id", "file_id", "chunk_index"), "node_id")
-    merged = R.auto_merge(hits, parents, threshold)
+    hits = scratch.keep(found.select("query_id", "node_id", "score").join(leaves.select("node_id", "parent_node_id", "file_id", "chunk_index"), "node_id"))
+    merged = scratch.keep(R.auto_merge(hits, parents, threshold))
     whole = merged.where("role = 'parent'").join(parents.select("node_id", "text"), "node_id")
-    single = merged.where("role = 'leaf'").join(leaves.select("node_id", "file_id", "chunk_index"), "node_id")
+    single = merged.where("role = 'leaf'").join(hits.select("query_id", "node_id", "file_id", "chunk_index"), ["query_id", "node_id"])
     wide = R.neighbor_windows(single.select("query_id", "node_id", "score", "merged", "file_id", "chunk_index"), leaves.select("file_id", "chunk_index", "text"), neighbours)
     wide = wide.select("query_id", "node_id", "score", F.lit("expanded" if neighbours else "leaf").alias("role"), "merged", "text")
     out = whole.select("query_id", "node_id", "score", "role", "merged", "text").unionByName(wide).withColumn("score", F.round("score", 4))

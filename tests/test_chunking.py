@@ -175,3 +175,16 @@ def test_pieces_are_put_together_where_they_lie(spark):
     chunks = docs.select("file_id", F.col("file_id").alias("chunk_index"), F.lit(1).alias("page_no"), "text")
     for plan, sent in ((K.pack_sentences(docs, 6, different=True), 0), (K.refine_oversized(docs.select(F.col("file_id").alias("node_id"), "text"), 40), 0), (K.merge_small(chunks, 40), 1)):
         assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == sent
+
+
+def test_a_corpus_is_cut_where_it_lies(spark):
+    """Without sending a text; leaves and parents are those of the steps one after another, also where a file_id is repeated or missing."""
+    texts = [None, "", " ", "```", "a.\x01 b.\n a.\n\x02a.\na. \n---\n | ", "会议记录。下一句! x\n" * 9, "é ü ñ. " * 40, "\x07\n\u200b\n\u3000", "One. Two! Three?\nfour " + "x" * 300 + ". " + "y " * 30]
+    texts += [". ".join(f"s{i} {'w' * (i * k % 23)}" for k in range(i)) for i in range(2, 40)] + ["same line here.\n" * 50 + "another one.\n" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")
+    rows = lambda df: sorted((str(sorted(r.asDict().items())) for r in df.collect()))
+    for odd, table in ((False, docs), (True, docs.unionByName(docs.where("file_id > 40"))), (True, docs.unionByName(spark.createDataFrame([(None, "no file. none.")], docs.schema)))):
+        found = K.chunk_corpus(table, 8, 40)
+        expected = K.build_hierarchy(K.clean_leaves(K.pack_sentences(table, 8)), 40)
+        assert rows(found[0]) == rows(expected[0]) and rows(found[1].select(expected[1].columns)) == rows(expected[1]) and found[0].count() > 100
+        assert odd or not any("Exchange" in df._jdf.queryExecution().executedPlan().toString() for df in found)

@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,42 @@ def test_search_on_a_small_set(spark):
     leaves, parents = chunk_corpus(docs, 10, 100)
     rows = P.search(spark.createDataFrame([("q", "apple")], "query_id string, query string"), leaves, parents, k=5, neighbours=1).collect()
     assert rows and all("apple" in r.text for r in rows) and rows[0]["rank"] == 1
+
+
+def test_an_index_for_given_queries_has_their_terms_only(spark, tmp_path):
+    """It had a row for each term of each slice, whatever is asked; the answers are the same."""
+    rng = random.Random(8)
+    leaves = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(30))) for i in range(900)], "node_id long, text string")
+    queries = spark.createDataFrame([(i, f"w1 w{i} w{i * i}") for i in range(2, 30)], "query_id long, query string")
+    whole, fitting = X.build_index(leaves, str(tmp_path / "a")), X.build_index(leaves, str(tmp_path / "b"), queries=queries)
+    assert fitting.postings.count() < 0.2 * whole.postings.count()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(X.ask(whole, queries, 7)) == rows(X.ask(fitting, queries, 7)) == rows(R.bm25_topk(queries, leaves, 7))
+
+
+def test_vectors_beyond_what_is_reached_are_left_out(spark, monkeypatch):
+    """Over many small blocks, with ties and a pool that is cut often, the list is that of all pairs; repeated queries share a list."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(R, "LEAVES", 16), monkeypatch.setattr(R, "POOL", 100)
+    vectors = rng.integers(0, 3, (700, 4)).astype(float)
+    leaves = spark.createDataFrame([(f"n{i:03}", v.tolist()) for i, v in enumerate(vectors)], "node_id string, embedding array<double>").coalesce(2)
+    asked = [(f"q{i}", v.tolist()) for i, v in enumerate(rng.integers(0, 3, (9, 4)).astype(float)) if v.any()]
+    unit = lambda v: np.asarray(v) / max(1e-12, np.linalg.norm(v))
+    rows = R.dense_topk(spark.createDataFrame(asked, "query_id string, embedding array<double>"), leaves, 12).orderBy("query_id", "rank").collect()
+    for q, v in asked:
+        expected = sorted((-round(float(unit(v) @ unit(x)), 9), f"n{i:03}") for i, x in enumerate(vectors))[:12]
+        assert [(pytest.approx(r.score, abs=2e-9), r.node_id) for r in rows if r.query_id == q] == [(-s, n) for s, n in expected]
+
+
+def test_search_ranks_once(spark):
+    """Lists were made anew for each of merging, parents and neighbours; now what follows them reads the hits."""
+    from shelfmark.operators.chunking import chunk_corpus
+
+    docs = spark.createDataFrame([(i, "\n".join(f"apple number {i * j} is here." for j in range(12))) for i in range(9)], "file_id long, text string")
+    leaves, parents = chunk_corpus(docs, 10, 100)
+    embed = embed_with()
+    queries = spark.createDataFrame([(0, "apple number 8"), (1, "here")], "query_id long, query string").withColumn("embedding", embed(F.col("query")))
+    found = P.search(queries, leaves.withColumn("embedding", embed(F.col("text"))), parents, k=5, rerank=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
+    assert {r.query_id for r in found.collect()} == {0, 1}
