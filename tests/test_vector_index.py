@@ -112,3 +112,54 @@ def test_small_blocks_meet_packs_of_queries_in_rows_of_many_leaves(spark, monkey
     queries = leaves.where("node_id % 20 = 0").withColumnRenamed("node_id", "query_id")
     found = V.ask_vectors(index, queries, leaves, 5, share=1.0, refine=300).collect()
     assert {(r.query_id, r.rank): r.node_id for r in found} == {(q, i + 1): n for q, best in brute(rows, rows[::20], 5).items() for i, (_, n) in enumerate(best)}
+
+
+def test_a_task_holds_as_much_of_each_query_for_any_number_of_leaves():
+    """A task held four times what it keeps, and that for each pack of queries that it met."""
+    rng = np.random.default_rng(3)
+    asks, leaves = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(n, 16)).astype(np.float32) for n in (300, 40_000)))
+    best = V._Best(50, asks, np.ones((1, len(asks)), bool))
+    most = 0
+    for i in range(0, len(leaves), 4000):
+        best.add(0, i, leaves[i : i + 4000])
+        most = max(most, best.size)
+    assert most <= 50 * len(asks) + (1 << 18) + V.TILE * V.LEAVES
+    query, place = best.cut()
+    assert (np.bincount(query) == 50).all()
+    exact = np.argsort(np.round(-(asks.astype(float) @ leaves.T.astype(float)), 5), axis=1, kind="stable")[:, :50]
+    assert sum(len(np.intersect1d(exact[q], place[query == q])) for q in range(300)) >= 300 * 50 - 15
+
+
+def test_a_pack_is_met_in_one_task_by_codes_alone(spark, monkeypatch):
+    """A pair of a pack and a row of leaves was a row of its own, with the vectors of the one and the ids of the other, and each task kept its own candidates of a query."""
+    for name, value in (("QUERIES", 64), ("LEAVES", 64), ("BLOCKS", 2), ("TASK", 400)):
+        monkeypatch.setattr(V, name, value)
+    rows = clustered(1500)
+    leaves = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    queries = leaves.where("node_id % 5 = 0").withColumnRenamed("node_id", "query_id")
+    found = V.ask_vectors(V.build_vector_index(leaves, fresh(spark)), queries, leaves, 5, share=1.0, refine=20)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and " Cross" not in plan and "shuffle_replicate_nl" not in plan
+    assert "LocalLimit" not in plan and plan.count("Window ") == 1
+    expected = brute(rows, rows[::5], 5)
+    hits = sum(r.node_id in {n for _, n in expected[r.query_id]} for r in found.collect())
+    assert hits >= 0.99 * 5 * 300
+
+
+def test_each_row_of_a_repeated_id_is_found_once(spark):
+    rows = clustered(200, width=6)
+    rows += [(3, rows[3][1]), (3, rows[150][1]), (8, rows[9][1])]
+    leaves = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    queries = spark.createDataFrame([(1, rows[3][1]), (2, rows[9][1])], "query_id long, embedding array<float>")
+    found = V.ask_vectors(V.build_vector_index(leaves, fresh(spark)), queries, leaves, 6, share=1.0, refine=300).orderBy("query_id", "rank").collect()
+    expected = brute(rows, [(1, rows[3][1]), (2, rows[9][1])], 6)
+    assert [(r.query_id, r.node_id) for r in found] == [(q, n) for q in (1, 2) for _, n in expected[q]]
+    assert [n for _, n in expected[1]][:2] == [3, 3]
+
+
+def test_packs_hold_a_bounded_number_of_queries():
+    for total in (1, 63, 64, 5000, 42_182, 421_820, 2_530_920):
+        for cores in (4, 12):
+            packs = V._packs(total, cores)
+            assert 1 <= packs and -(-total // packs) <= max(64, 0.75 * V.QUERIES + 1)
+            assert packs <= 2 * cores or total / packs >= V.QUERIES / 4
