@@ -163,3 +163,12 @@ def test_packs_hold_a_bounded_number_of_queries():
             packs = V._packs(total, cores)
             assert 1 <= packs and -(-total // packs) <= max(64, 0.75 * V.QUERIES + 1)
             assert packs <= 2 * cores or total / packs >= V.QUERIES / 4
+
+
+def test_few_candidates_hold_what_many_find(spark, chunks):
+    """Scores of codes were not of unit length, so that the share of the exact list that 200 candidates hold fell with the number of leaves."""
+    queries, leaves = chunks
+    index = V.build_vector_index(leaves, fresh(spark))
+    many, few = ({(r.query_id, r.node_id) for r in V.ask_vectors(index, queries, leaves, 10, refine=n).collect()} for n in (50, 2))
+    print("kept by 20 candidates", len(many & few) / len(many))
+    assert len(many & few) >= 0.91 * len(many)
